@@ -44,6 +44,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_array(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``let`` for an array-valued body that is going to be exploded.
+
+    The optimizer guards explode over a plain field access with a non-empty
+    filter, which would evaluate the whole expression a second time.
+    """
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 

@@ -75,7 +75,7 @@ def sections(title: Column, text: Column) -> Column:
         return F.when(F.size(found) > 0, found).otherwise(page)
 
     folded = tx.let(_pieces(text), fold)
-    return tx.let(F.filter(folded, lambda s: s["text"] != ""), or_whole_page)
+    return tx.let_array(F.filter(folded, lambda s: s["text"] != ""), or_whole_page)
 
 
 def word_windows(text: Column, max_words: int, overlap_words: int) -> Column:
