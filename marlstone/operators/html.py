@@ -64,9 +64,7 @@ def _read(html: str) -> dict:
     return {"body": "".join(body), "title": "".join(title), "headings": found}
 
 
-@F.arrow_udf(READ_SCHEMA)
-def read_html(content: pa.Array) -> pa.Array:
-    """Raw text, title and headings of each page; undecodable bytes are ignored."""
+def _read_batch(content: pa.Array) -> pa.Array:
     kind = pa.struct(
         [("body", pa.string()), ("title", pa.string()), ("headings", pa.list_(pa.string()))]
     )
@@ -80,6 +78,11 @@ def read_html(content: pa.Array) -> pa.Array:
     return pa.array([one(data) for data in content.to_pylist()], kind)
 
 
+def read_html(content: Column) -> Column:
+    """Raw text, title and headings of each page; undecodable bytes are ignored."""
+    return F.arrow_udf(_read_batch, READ_SCHEMA)(content)
+
+
 def normalize(body: Column) -> Column:
     """One space per blank run, stripped lines, at most one empty line in a row."""
     flat = F.regexp_replace(tx.unify_breaks(body), "[ \t]+", " ")

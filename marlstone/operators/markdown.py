@@ -38,9 +38,7 @@ def headings(text: Column) -> Column:
     return F.transform(found, tx.clean_heading)
 
 
-@F.arrow_udf("struct<title:string,error:string>")
-def yaml_title(block: pa.Array) -> pa.Array:
-    """The ``title`` of each YAML block when it is a non-blank string."""
+def _yaml_batch(block: pa.Array) -> pa.Array:
     import yaml
 
     def read(text):
@@ -56,3 +54,8 @@ def yaml_title(block: pa.Array) -> pa.Array:
 
     kind = pa.struct([("title", pa.string()), ("error", pa.string())])
     return pa.array([read(text) for text in block.to_pylist()], kind)
+
+
+def yaml_title(block: Column) -> Column:
+    """title and error of each YAML block; the title only when it is non-blank text."""
+    return F.arrow_udf(_yaml_batch, "struct<title:string,error:string>")(block)

@@ -52,9 +52,7 @@ def _outline(code: str) -> dict:
     return {"doc": doc(tree), "objects": objects, "error": None}
 
 
-@F.arrow_udf(OUTLINE_SCHEMA)
-def read_python(code: pa.Array) -> pa.Array:
-    """Module docstring and public objects of each module."""
+def _outline_batch(code: pa.Array) -> pa.Array:
     item = pa.struct(
         [("name", pa.string()), ("level", pa.int32()), ("signature", pa.string()), ("doc", pa.string())]
     )
@@ -63,6 +61,11 @@ def read_python(code: pa.Array) -> pa.Array:
     return pa.array([None if t is None else _outline(t) for t in texts], kind)
 
 
+def read_python(code: Column) -> Column:
+    """Module docstring and public objects of each module."""
+    return F.arrow_udf(_outline_batch, OUTLINE_SCHEMA)(code)
+
+
 def _docblock(doc: Column) -> Column:
     return F.when(doc != "", F.concat(F.lit("\n\n"), doc)).otherwise("")
 

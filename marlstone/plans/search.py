@@ -21,6 +21,7 @@ def retrieve(index: ChunkIndex, questions: DataFrame, top_k: int = TOP_K) -> Dat
     """
     if not index.exists():
         raise RuntimeError("the index has not been built yet")
+    index.check_model()
     asked = questions.select("query_id", index.embedder.embed(F.col("question")).alias("embedding"))
     hits = nearest(asked, index.vectors(), top_k).withColumnRenamed("id", "chunk_id")
     chunks = index.chunks().drop("embedding_text")

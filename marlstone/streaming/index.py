@@ -102,6 +102,14 @@ class ChunkIndex:
     def exists(self) -> bool:
         return self._has("commits")
 
+    def check_model(self) -> None:
+        """Vectors of different models do not compare."""
+        for commit in self.commits()[-1:]:
+            if commit.model != self.embedder.name:
+                raise RuntimeError(
+                    f"the index holds vectors of {commit.model}, not of {self.embedder.name}"
+                )
+
     def _live(self, rows: DataFrame, commits: list) -> DataFrame:
         """Rows of finished batches whose id no later batch dropped."""
         rows = rows.where(F.col("batch").isin([c.batch for c in commits]))
@@ -127,7 +135,11 @@ class ChunkIndex:
 
     def vectors(self) -> DataFrame:
         """id, embedding of every live chunk."""
-        live = self._live(self._table("vectors", VECTORS_SCHEMA), self.commits())
+        commits = self.commits()
+        # A batch that added nothing owns no vectors; a folder of that number
+        # can only be left over from an unfinished run.
+        owned = F.col("batch").isin([c.batch for c in commits if c.added])
+        live = self._live(self._table("vectors", VECTORS_SCHEMA).where(owned), commits)
         return live.select(F.col("chunk_id").alias("id"), "embedding")
 
     def chunks(self) -> DataFrame:
@@ -146,7 +158,10 @@ class ChunkIndex:
     # -- writing ---------------------------------------------------------
 
     def sync(self, chunks: DataFrame, delete_stale: bool = True) -> SyncResult:
-        """Bring the index to ``chunks``; only chunks not stored yet are embedded."""
+        """Bring the index to ``chunks``; only chunks not stored yet are embedded.
+
+        Refuses an empty ``chunks`` rather than emptying the index.
+        """
         batch = self._next_batch()
         flagged = diff(dedupe_chunks(chunks.select(*STORED_COLUMNS)), self.ids())
         return self._apply(flagged, batch, {"add", "drop"} if delete_stale else {"add"})
@@ -160,6 +175,7 @@ class ChunkIndex:
         return self._apply(flagged, batch, {"add", "drop"})
 
     def _next_batch(self) -> int:
+        self.check_model()
         done = self.commits()
         return done[-1].batch + 1 if done else 1
 
@@ -178,6 +194,8 @@ class ChunkIndex:
         )
         counts = seen.get
         added, unchanged = counts["add"], counts["keep"]
+        if not added + unchanged:
+            raise RuntimeError("No indexable docs chunks were produced.")
         removed = counts["drop"] if "drop" in ops else 0
         if added:
             written = self.spark.read.schema(CHANGES_SCHEMA).parquet(changes)
