@@ -10,11 +10,6 @@ from marlstone.operators.chunk import chunk_pages, page_sections
 from marlstone.operators.parse import good_pages, parse_files
 from marlstone.sources.tables import as_files, read_table, spread
 
-_DROPPED = "".join(
-    f"'(?s)<{tag}[ >].*?</{tag}>|" for tag in ()
-)
-
-
 def _replace(inner: str, pattern: str, by: str) -> str:
     return f"regexp_replace({inner}, '{pattern}', {by}, 'g')"
 
@@ -41,7 +36,14 @@ def _entities(expression: str) -> str:
     return f"replace(replace({expression}, chr(38) || 'quot;', chr(34)), chr(38) || 'amp;', chr(38))"
 
 
-H1 = f"trim({_replace(_entities(_replace(chr(39).join(['regexp_extract(html, ', '(?s)<h1[^>]*>(.*?)</h1>', ', 1)']), '<[^>]*>', chr(39) * 2)), '[ ' + chr(10) + ']+', chr(39) + ' ' + chr(39))}, '#' || ' ')"
+def _heading() -> str:
+    raw = "regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
+    text = _entities(_replace(raw, "<[^>]*>", "''"))
+    return f"trim({_replace(text, '[ ' + chr(10) + ']+', SPACE)}, '# ')"
+
+
+SPACE = "' '"
+H1 = _heading()
 PARSED = f"parsed as (select page_id, {H1} as title, {_html_text()} as text from pages)"
 
 
