@@ -45,4 +45,4 @@ def text_of(alias: str, order: str, spark_dialect: bool) -> str:
     return f"string_agg({alias}, chr(10) order by {order})"
 
 
-from checks import documents, markup, pages  # noqa: E402,F401
+from checks import code, documents, markup, pages, search, trees  # noqa: E402,F401
