@@ -13,7 +13,7 @@ from marlstone.sources.tables import spread
 
 # -- analyzer ------------------------------------------------------------------
 
-# Twenty parts make a file. Every part is a documented function of seven lines;
+# Twenty parts make a file. Every part is a documented function of seven lines and an empty one;
 # the file starts with ten lines and ends with one. chr(123) and chr(125) are
 # the braces, which the named table parameters of spark.sql claim for themselves.
 BLOCKS = """
@@ -24,7 +24,7 @@ select floor(p_partkey / 20) as grp, p_partkey, p_name, p_size, p_brand,
   || chr(123) || chr(10)
   || '    if (a) ' || chr(123) || ' call_' || cast(p_size as varchar(20)) || '("x(1)", '
     || chr(39) || '(' || chr(39) || '); ' || chr(125) || ' // skip(2)' || chr(10)
-  || '    return /* old( */ make_' || cast(p_partkey - 1 as varchar(20)) || '(a);' || chr(10)
+  || '    return /* old( */ make_' || cast(p_partkey + 1 as varchar(20)) || '(a);' || chr(10)
   || chr(125) || chr(10) as block
 from part
 """
@@ -61,7 +61,7 @@ _LIST = "array_to_string({}, ', ')"
 EXPECTED = f"""{FILES},
 placed as (
   select *, cast(cast(grp as int) as varchar) as g,
-    11 + 7 * (row_number() over (partition by grp order by p_partkey) - 1) as doc_line
+    11 + 8 * (row_number() over (partition by grp order by p_partkey) - 1) as doc_line
   from blocks
 ),
 expected as (
@@ -71,7 +71,7 @@ expected as (
     cast(doc_line + 1 as int) as line_start, cast(doc_line + 6 as int) as line_end,
     'int ' || {_CLASS} || '::' || {_MAKE} || '(int a, int b)' as signature,
     'Makes ' || p_name || '.' as docstring, 'memory, pond/f' || g || '.h' as imports,
-    'call_' || cast(p_size as varchar) || ', make_' || cast(p_partkey - 1 as varchar) as calls,
+    'call_' || cast(p_size as varchar) || ', make_' || cast(p_partkey + 1 as varchar) as calls,
     rtrim(substr(block, position(chr(10) in block) + 1), chr(10)) as code
   from placed
   union all

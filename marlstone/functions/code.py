@@ -17,7 +17,6 @@ TYPE_WORDS = ("class", "struct", "enum", "namespace")
 TRUNCATED = "[truncated]"
 LOOK_AHEAD = 12
 
-NOT_WS = "[^" + WS[1:]
 IDENTIFIER = rf"[A-Za-z_]{WORD}*+"
 INCLUDE = rf"^{WS}*#include{WS}+[<\"]([^>\"]+)[>\"]"
 NAMESPACE = rf"^{WS}*namespace{WS}+({IDENTIFIER}){WS}*\{{"
@@ -66,7 +65,7 @@ def can_start_signature(stripped: Column) -> Column:
 def raw_function_name(signature: Column) -> Column:
     """Last word before the first parenthesis, without pointer and reference marks."""
     prefix = tx.strip(F.substring_index(signature, "(", 1))
-    return F.btrim(F.regexp_extract(prefix, rf"{NOT_WS}++\z", 0), F.lit("*&"))
+    return F.btrim(F.regexp_replace(prefix, rf"(?s)\A.*{WS}", ""), F.lit("*&"))
 
 
 def looks_like_function(signature: Column) -> Column:

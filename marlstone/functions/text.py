@@ -19,7 +19,15 @@ LINE_BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def _char_class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """A regex class that turns away an ordinary character after two checks.
+
+    Characters below U+0100 share one bit set; the rest sit behind a range test.
+    """
+    codes = [f"\\x{{{ord(c):x}}}" for c in sorted(chars)]
+    low = [code for code, c in zip(codes, sorted(chars)) if ord(c) < 0x100]
+    high = codes[len(low) :]
+    rare = f"[{high[0]}-{high[-1]}&&[{''.join(high)}]]" if high else ""
+    return f"[{''.join(low)}{rare}]"
 
 
 WS = _char_class(WHITESPACE)
@@ -27,7 +35,8 @@ WS = _char_class(WHITESPACE)
 BLANK = _char_class("".join(c for c in WHITESPACE if c not in LINE_BREAKS))
 # One word character as Python's \w sees it; Java's (?U)\w also takes marks.
 WORD = r"[\p{L}\p{N}_]"
-BREAK = r"\r\n|" + _char_class(LINE_BREAKS)
+_RARE_BREAK = _char_class(LINE_BREAKS.replace("\n", ""))
+BREAK = rf"\r\n|{_RARE_BREAK}"
 
 # U+001E is a line break, so it cannot survive unify_breaks and is free to
 # serve as a section mark.
@@ -35,8 +44,8 @@ MARK = "\x1e"
 
 # A fenced block: from a line opening with three backticks to the next such
 # line, or to the end of the text when the fence is never closed.
-FENCE = rf"^{BLANK}*+```[^\n]*+(?:(?s:.*?)\n{BLANK}*+```[^\n]*+|(?s:.*))"
-HEADING = rf"^{BLANK}*+(#{{1,6}})(?={BLANK}++[^\n])"
+FENCE = rf"{BLANK}*+```[^\n]*+(?:(?s:.*?)\n{BLANK}*+```[^\n]*+|(?s:.*))"
+HEADING = rf"{BLANK}*+(#{{1,6}})(?={BLANK}++[^\n])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,12 +91,18 @@ def words(col: Column) -> Column:
 
 def unify_newlines(col: Column) -> Column:
     """What reading a file in text mode does to its line ends."""
-    return F.regexp_replace(col, r"\r\n?", "\n")
+    return F.when(col.contains("\r"), F.regexp_replace(col, r"\r\n?", "\n")).otherwise(col)
 
 
 def unify_breaks(col: Column) -> Column:
     """Turn every line break into "\\n" and drop one at the very end."""
-    return F.regexp_replace(F.regexp_replace(col, BREAK, "\n"), r"\n\z", "")
+    usual = F.when(col.rlike(_RARE_BREAK), F.regexp_replace(col, BREAK, "\n")).otherwise(col)
+    return let(
+        usual,
+        lambda t: F.when(
+            F.endswith(t, F.lit("\n")), F.substring(t, F.lit(1), F.length(t) - 1)
+        ).otherwise(t),
+    )
 
 
 def lines(col: Column) -> Column:

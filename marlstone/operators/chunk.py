@@ -26,7 +26,9 @@ def _pieces(text: Column) -> Column:
     not followed by "#" belongs to a fence and is dropped again.
     """
     marked = F.regexp_replace(
-        tx.unify_breaks(text), rf"(?md)({tx.FENCE})|{tx.HEADING}", f"$1{tx.MARK}$2"
+        tx.unify_breaks(text),
+        rf"(?md)^(?={tx.BLANK}*+[`#])(?:({tx.FENCE})|{tx.HEADING})",
+        f"$1{tx.MARK}$2",
     )
     return F.split(F.regexp_replace(marked, f"{tx.MARK}(?!#)", ""), tx.MARK, -1)
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as tx
 
 FRONT_MATTER = rf"(?s)\A---{tx.WS}*\n(.*?)\n---{tx.WS}*\n?"
-_FENCE_OR = rf"(?md)({tx.FENCE})|"
 # A line holding only an import/export statement or one component tag.
 _COMPONENT_LINE = (
-    rf"^{tx.BLANK}*+(?:(?:import|export) {tx.BLANK}*+[^\n]++"
+    rf"{tx.BLANK}*+(?:(?:import|export) {tx.BLANK}*+[^\n]++"
     rf"|</?[A-Z][A-Za-z0-9_.:-]*(?:{tx.BLANK}[^>\n]*)?/?>{tx.BLANK}*)(?:\n|\z)"
 )
+_FENCE_OR_COMPONENT = (
+    rf"(?md)^(?={tx.BLANK}*+(?:```|[ie<]))(?:({tx.FENCE})|{_COMPONENT_LINE})"
+)
 
 
 def front_matter(raw: Column) -> Column:
@@ -28,13 +30,13 @@ def body(raw: Column) -> Column:
 
 def drop_component_lines(text: Column) -> Column:
     """Remove MDX-only lines outside fenced blocks."""
-    return F.regexp_replace(tx.unify_breaks(text), _FENCE_OR + _COMPONENT_LINE, "$1")
+    return F.regexp_replace(tx.unify_breaks(text), _FENCE_OR_COMPONENT, "$1")
 
 
 def headings(text: Column) -> Column:
     """Cleaned headings outside fenced blocks, in page order."""
-    unfenced = F.regexp_replace(tx.unify_breaks(text), rf"(?md){tx.FENCE}", "")
-    found = F.regexp_extract_all(unfenced, F.lit(rf"(?md){tx.HEADING}([^\n]++)"), F.lit(2))
+    unfenced = F.regexp_replace(tx.unify_breaks(text), rf"(?md)^{tx.FENCE}", "")
+    found = F.regexp_extract_all(unfenced, F.lit(rf"(?md)^{tx.HEADING}([^\n]++)"), F.lit(2))
     return F.transform(found, tx.clean_heading)
 
 
