@@ -62,6 +62,7 @@ def main() -> None:
         f"local[{cpus}]",
         **{
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
         },

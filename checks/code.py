@@ -374,6 +374,12 @@ def related_tests(spark, folder):
     )
 
 
+@query("related_pairs", f"with {PAIRS} select qualified_name, test from pairs")
+def related_pairs(spark, folder):
+    tests = supplier_tests(spark, folder).withColumnRenamed("rel_path", "test")
+    return relate.related_pairs(part_records(spark, folder), tests)
+
+
 @query(
     "test_files",
     f"""with t as (

@@ -99,7 +99,8 @@ _HINT = "\nRun `marlstone ingest` first if the index is empty."
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
-        _VERBS[args.verb](build_session(), args)
+        session = build_session(**{"spark.ui.showConsoleProgress": "false"})
+        _VERBS[args.verb](session, args)
     except Exception as problem:
         hint = _HINT if args.verb in ("search", "context") else ""
         _say(f"{args.verb} failed: {problem}{hint}")

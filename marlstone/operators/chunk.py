@@ -140,6 +140,11 @@ def chunk_pages(
     )
 
 
+def metadata() -> Column:
+    """A chunk's metadata as a map, without the embedding text."""
+    return F.create_map(*(part for c in METADATA_COLUMNS for part in (F.lit(c), F.col(c))))
+
+
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk_id.
 

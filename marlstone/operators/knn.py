@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest question matrix shipped whole to every task. A larger question set
-# takes the block join below.
+# Largest question set shipped whole to every task. A larger one takes the
+# block join below.
+BROADCAST_QUESTIONS = 8192
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -134,22 +135,15 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    probe = questions.select("query_id", "embedding").limit(1).toArrow()
-    if probe.num_rows == 0:
-        width = 1
-    else:
-        width = max(1, len(probe.column("embedding")[0]))
-    most = max(1, BROADCAST_BYTES // (8 * width))
-    held = questions.select("query_id", "embedding").limit(most + 1).toArrow().combine_chunks()
     vectors = vectors.select("id", "embedding")
-    if held.num_rows > most:
+    sample = questions.select("query_id", "embedding").limit(BROADCAST_QUESTIONS + 1)
+    held = sample.toArrow().combine_chunks()
+    if held.num_rows > BROADCAST_QUESTIONS or held.nbytes > BROADCAST_BYTES:
         return _nearest_blocks(questions, vectors, k)
 
     id_type = vectors.schema["id"].dataType.simpleString()
     key_type = questions.schema["query_id"].dataType
-    matrix = (
-        _matrix(held.column("embedding").chunk(0)) if held.num_rows else np.empty((0, width))
-    )
+    matrix = _matrix(held.column("embedding").chunk(0)) if held.num_rows else np.empty((0, 1))
     found = vectors.mapInArrow(
         _candidates(matrix, k), f"position int, id {id_type}, distance double"
     )
@@ -157,7 +151,7 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         [(i, name) for i, name in enumerate(held.column("query_id").to_pylist())],
         f"position int, query_id {key_type.simpleString()}",
     )
-    # ``names`` holds at most ``most`` rows, checked above.
+    # ``names`` holds at most BROADCAST_QUESTIONS rows, checked above.
     return _ranked(found.join(F.broadcast(names), "position").drop("position"), k)
 
 
@@ -168,8 +162,10 @@ def _nearest_blocks(questions: DataFrame, vectors: DataFrame, k: int) -> DataFra
     """
     spark = questions.sparkSession
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = {c: questions.schema["query_id"].dataType.simpleString() for c in ("query_id",)}
-    kind["id"] = vectors.schema["id"].dataType.simpleString()
+    kind = {
+        "query_id": questions.schema["query_id"].dataType.simpleString(),
+        "id": vectors.schema["id"].dataType.simpleString(),
+    }
 
     def packed(df: DataFrame, key: str, item: str) -> DataFrame:
         return df.select(key, "embedding").mapInArrow(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans partition counts and splits skewed join partitions at run time;
 # the initial partition number is only an upper bound that AQE coalesces.
@@ -41,3 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(tempfile.gettempdir(), f"marlstone-{spark.sparkContext.applicationId}")
+
+
+def keep(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``frame`` as a table in the shared folder and read it from there.
+
+    For inputs that several branches of a plan use: they are worked out once,
+    lineage ends at the files, and a lost executor costs no recomputation.
+    """
+    spark = frame.sparkSession
+    table = path or os.path.join(shared_dir(spark), f"kept-{os.urandom(8).hex()}")
+    frame.write.parquet(table)
+    return spark.read.schema(frame.schema).parquet(table)
