@@ -62,6 +62,15 @@ def let_array(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
+def evaluated_once(reader: Callable, schema: str) -> Callable[[Column], Column]:
+    """An Arrow UDF whose calls the optimizer may not copy.
+
+    A filter on a field of the result would otherwise be pushed below the
+    projection together with a second call of the reader.
+    """
+    return F.arrow_udf(reader, schema).asNondeterministic()
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 

@@ -80,7 +80,7 @@ def _read_batch(content: pa.Array) -> pa.Array:
 
 def read_html(content: Column) -> Column:
     """Raw text, title and headings of each page; undecodable bytes are ignored."""
-    return F.arrow_udf(_read_batch, READ_SCHEMA)(content)
+    return tx.evaluated_once(_read_batch, READ_SCHEMA)(content)
 
 
 def normalize(body: Column) -> Column:

@@ -60,4 +60,4 @@ def _yaml_batch(block: pa.Array) -> pa.Array:
 
 def yaml_title(block: Column) -> Column:
     """title and error of each YAML block; the title only when it is non-blank text."""
-    return F.arrow_udf(_yaml_batch, "struct<title:string,error:string>")(block)
+    return tx.evaluated_once(_yaml_batch, "struct<title:string,error:string>")(block)

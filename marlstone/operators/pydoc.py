@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import evaluated_once
+
 OUTLINE_SCHEMA = (
     "struct<doc:string,"
     "objects:array<struct<name:string,level:int,signature:string,doc:string>>,"
@@ -63,7 +65,7 @@ def _outline_batch(code: pa.Array) -> pa.Array:
 
 def read_python(code: Column) -> Column:
     """Module docstring and public objects of each module."""
-    return F.arrow_udf(_outline_batch, OUTLINE_SCHEMA)(code)
+    return evaluated_once(_outline_batch, OUTLINE_SCHEMA)(code)
 
 
 def _docblock(doc: Column) -> Column:

@@ -14,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Adds and drops of a sync go to two folders at once instead of being sorted
+    # by folder first, which keeps the files in chunk_id order.
+    "spark.sql.maxConcurrentOutputFileWriters": "4",
     # Pages can be large; small Arrow batches bound the memory of a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
