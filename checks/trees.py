@@ -98,15 +98,16 @@ def glob_filter(spark, folder):
 @query(
     "path_sort",
     f"""with t as ({PATHS})
-    select p_brand, path,
-           cast(row_number() over (partition by p_brand order by string_split(path, '/')) as int) as position
+    select floor(p_partkey / 40) as folder, path,
+           cast(row_number() over (partition by floor(p_partkey / 40) order by string_split(path, '/')) as int)
+             as position
     from t""",
 )
 def path_sort(spark, folder):
-    order = Window.partitionBy("p_brand").orderBy(paths.parts(F.col("path")))
-    return path_table(spark, folder).select(
-        "p_brand", "path", F.row_number().over(order).alias("position")
-    )
+    """Order by path components, within groups of forty paths."""
+    groups = path_table(spark, folder).withColumn("folder", F.floor(F.col("p_partkey") / 40).cast("double"))
+    order = Window.partitionBy("folder").orderBy(paths.parts(F.col("path")))
+    return groups.select("folder", "path", F.row_number().over(order).alias("position"))
 
 
 _BLOB = "'https://git.example.com/x/blob/main/'"

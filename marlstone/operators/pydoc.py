@@ -17,6 +17,7 @@ OUTLINE_SCHEMA = (
 
 def _outline(code: str) -> dict:
     import ast
+    import copy
     import inspect
 
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -30,12 +31,12 @@ def _outline(code: str) -> dict:
         return (n for n in body if isinstance(n, kinds) and not n.name.startswith("_"))
 
     def signature(node) -> str:
+        """The object's own header: unparsed with nothing but bases or arguments left."""
+        shell = copy.copy(node)
+        shell.body, shell.decorator_list, shell.type_params = [ast.Pass()], [], []
         if isinstance(node, ast.ClassDef):
-            bases = ", ".join(map(ast.unparse, node.bases))
-            return f"class {node.name}" + (f"({bases})" if bases else "")
-        keyword = "async def" if isinstance(node, ast.AsyncFunctionDef) else "def"
-        arrow = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-        return f"{keyword} {node.name}({ast.unparse(node.args)}){arrow}"
+            shell.keywords = []
+        return ast.unparse(shell).strip().rsplit(":\n", 1)[0]
 
     def entry(node, name, level) -> dict:
         return {"name": name, "level": level, "signature": signature(node), "doc": doc(node)}

@@ -53,7 +53,8 @@ def search_block(rank: Column) -> Column:
     return F.format_string(
         "[%d] %s\nHeading: %s\nURL: %s\nSource: %s\nScore: %.4f\nExcerpt: %s",
         rank, F.col("title"), F.col("heading_path"), F.col("url"), F.col("source_path"),
-        F.col("score"), squeeze(F.col("text")),
+        # Halves go to the even digit, as they do in Python.
+        F.bround("score", 4), squeeze(F.col("text")),
     )
 
 

@@ -217,6 +217,29 @@ def test_results_from_response(spark):
     assert (out[0].heading_path, out[0].url, out[0].source_path) == ("A > B", "u", "s")
 
 
+def test_scores_round_like_python(spark):
+    scores = [0.03125, 0.09375, 0.87, 1.0, 0.21875, 1 / 3]
+    schema = "query_id long, rank int, title string, heading_path string, url string, source_path string, text string, score double"
+    hits = spark.createDataFrame([(i, 1, "", "", "", "", "", s) for i, s in enumerate(scores)], schema)
+    asked = spark.createDataFrame([(i,) for i in range(len(scores))], "query_id long")
+    out = render.render_search(asked, hits).orderBy("query_id").collect()
+    assert [r.output.split("Score: ")[1][:6] for r in out] == [f"{s:.4f}" for s in scores]
+
+
+def test_a_hot_group_of_copies(spark, tmp_path):
+    """A third of all pages are copies of one another under one path."""
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("source_path"),
+        F.lit("T").alias("title"), F.lit("u").alias("url"),
+        F.when(F.col("id") % 3 == 0, "same words").otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+    )
+    index = open_index(spark, tmp_path)
+    result = index.sync(chunk_pages(rows))
+    assert (result.added, result.removed) == (4001, 0)
+    again = index.sync(chunk_pages(rows.where("source_path <> 'hot'")))
+    assert (again.added, again.removed, again.unchanged) == (0, 1, 4000)
+
+
 def test_empty_results_render(spark):
     asked = spark.createDataFrame([(1, "why?")], "query_id long, question string")
     schema = "query_id long, rank int, title string, heading_path string, url string, source_path string, text string, score double"
