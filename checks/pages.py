@@ -14,6 +14,13 @@ def _replace(inner: str, pattern: str, by: str) -> str:
     return f"regexp_replace({inner}, '{pattern}', {by}, 'g')"
 
 
+def _entities(text: str) -> str:
+    """The entities in the tables; as in HTML, their semicolon may be missing."""
+    for name, char in (("quot", "chr(34)"), ("lt", "chr(60)"), ("gt", "chr(62)"), ("amp", "chr(38)")):
+        text = _replace(text, f"&{name};?", char)
+    return text
+
+
 def _html_text() -> str:
     text = "html"
     text = _replace(text, "(?s)<!--.*?-->|<!DOCTYPE[^>]*>", "''")
@@ -24,18 +31,13 @@ def _html_text() -> str:
     blocks = "article|blockquote|br|div|h[1-6]|li|p|pre|section|table|td|th|tr|ul|ol"
     text = _replace(text, f"</?(?:{blocks})(?: [^>]*)?>", "chr(10)")
     text = _replace(text, "<[^>]*>", "''")
-    for entity, char in (("quot", "chr(34)"), ("lt", "chr(60)"), ("gt", "chr(62)"), ("amp", "chr(38)")):
-        text = f"replace({text}, chr(38) || '{entity};', {char})"
+    text = _entities(text)
     text = _replace(text, "[ \t]+", "' '")
     text = _replace(text, "(?m)^ | $", "''")
     text = _replace(text, "\n{3,}", "chr(10) || chr(10)")
     return f"trim({text}, ' ' || chr(10))"
 
 
-def _entities(expression: str) -> str:
-    return f"replace(replace({expression}, chr(38) || 'quot;', chr(34)), chr(38) || 'amp;', chr(38))"
-
-
 def _heading() -> str:
     raw = "regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)"
     text = _entities(_replace(raw, "<[^>]*>", "''"))
