@@ -297,10 +297,11 @@ def ambiguous_calls(spark, folder):
 
 EDGES = f"""{SYMBOLS},
 resolved as (select symbol, min(qualified_name) as callee from symbols group by symbol having count(*) = 1),
+resolved_calls as materialized (select p_partkey, callee from calls join resolved on call = symbol),
 edges as (
-  select distinct r.qualified_name as caller, callee
-  from calls join records r using (p_partkey) join resolved on call = symbol
-  where r.qualified_name <> callee
+  select distinct qualified_name as caller, callee
+  from resolved_calls join records using (p_partkey)
+  where qualified_name <> callee
 ),
 called_by as (
   select callee as qualified_name, string_agg(caller, ',' order by caller) as called_by
