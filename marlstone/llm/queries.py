@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import lines, packing, token_counts, warc
+from marlstone.llm import lines, packing, pii, quality, token_counts, warc
 from marlstone.llm.common import SPACES, UPPER, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,34 @@ group by r, doc_id
 def op9(spark, folder):
     kept = lines.drop_common_lines(table(spark, folder, "documents"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op4_quality")
+def op4(spark, folder):
+    scored = quality.weak_quality(table(spark, folder, "documents"), threshold=0.5)
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "p_good",
+    )
+
+
+@query("op5_pii")
+def op5(spark, folder):
+    found = pii.find_disclosures(table(spark, folder, "documents"))
+    kinds = F.array(*map(F.lit, pii.KINDS))
+
+    def joined(spans):
+        named = F.transform(
+            spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["stop"])
+        )
+        return F.array_join(named, ",")
+
+    def count(rank):
+        return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{pii.KINDS[rank]}")
+
+    base = F.filter("spans", lambda s: s["rank"] < 4)
+    return found.select(
+        "doc_id", *map(count, range(4)), F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), count(4),
+    )
