@@ -124,7 +124,7 @@ def rules() -> dict[str, Column]:
     n = F.col("n_words")
     mean = share("word_chars", "n_words")
     return {
-        "length": vote(n >= 50, n < 20),
+        "length": vote(n >= 50, n < 10),
         "symbols": vote(share("n_symbols", "word_chars") < 0.01, share("n_symbols", "word_chars") > 0.05),
         "bare_symbols": vote(share("n_bare", "n_words") < 0.02, share("n_bare", "n_words") > 0.1),
         "shouts": vote(share("n_shouts", "n_words") < 0.05, share("n_shouts", "n_words") > 0.3),

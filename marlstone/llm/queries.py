@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import lines, packing, pii, quality, token_counts, warc
+from marlstone.llm import decontaminate, lines, packing, pii, quality, token_counts, warc
 from marlstone.llm.common import SPACES, UPPER, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,16 @@ def op5(spark, folder):
         "doc_id", *map(count, range(4)), F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"), count(4),
     )
+
+
+@query("op6_decontamination")
+def op6(spark, folder):
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10, near=20
+    )
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
