@@ -10,13 +10,26 @@ from marlstone.llm.common import LOWER, SPACES, UPPER, row_key
 
 def line_key(line: Column) -> Column:
     """A line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
+    return _lower(F.btrim(line, F.lit(SPACES)))
 
 
-def _hash(line: Column) -> Column:
-    key = line_key(line)
-    first, second = row_key(key)
-    return F.struct(first.alias("h1"), second.alias("h2"), F.char_length(key).alias("n"))
+def _lower(text: Column) -> Column:
+    """A-Z in lower case; of other letters none."""
+    # lower() is several times as quick as translate(), and does the same where
+    # no other upper-case letter can be: in ASCII, and with U+00DF to U+00FF.
+    same = (F.octet_length(text) == F.char_length(text)) | ~text.rlike("[^\\x00-\\x7f\\xdf-\\xff]")
+    return F.when(same, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def _hashes(lines: Column) -> Column:
+    """Hashes and lengths of the lines' keys, each key worked out once."""
+    stripped = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACES)))
+
+    def hashed(key: Column) -> Column:
+        first, second = row_key(key)
+        return F.struct(first.alias("h1"), second.alias("h2"), F.char_length(key).alias("n"))
+
+    return F.transform(F.transform(stripped, _lower), hashed)
 
 
 def _without(lines: Column, drops: Column) -> Column:
@@ -57,7 +70,7 @@ def drop_common_lines(
     hashed = docs.select(
         k1.alias("k1"),
         k2.alias("k2"),
-        F.transform(lines, _hash).alias("hashes"),
+        _hashes(lines).alias("hashes"),
     )
     long_enough = F.filter("hashes", lambda h: h["n"] >= min_chars)
     common = (
