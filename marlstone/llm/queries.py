@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, lines, packing, pii, quality, token_counts, warc
+from marlstone.llm import decontaminate, lines, lm, packing, pii, quality, token_counts, toxicity, warc
 from marlstone.llm.common import SPACES, UPPER, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,26 @@ def op6(spark, folder):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+def remainder(id: str, by: int):
+    """crc32 of an id as text, modulo ``by``; null for null."""
+    return F.crc32(F.col(id).cast("string")) % by
+
+
+@query("op7_toxicity")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, table(spark, folder, "labels"), train=remainder("doc_id", 5) != 0)
+    scored = toxicity.toxicity(docs, index)
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_lm_scoring")
+def op8(spark, folder):
+    return lm.code_lengths(table(spark, folder, "documents"), train=remainder("doc_id", 7) != 2)
