@@ -55,6 +55,8 @@ def _projection() -> np.ndarray:
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents: damped counts of hashed tokens, projected and cut into cells."""
+    if len(ids) > 1024:
+        return np.concatenate([curve_keys(ids[i : i + 1024]) for i in range(0, len(ids), 1024)])
     counts = np.zeros((len(ids), BUCKETS), np.float32)
     for row, own in zip(counts, ids):
         row[:] = np.bincount((own * np.uint32(2654435761)) >> np.uint32(22), minlength=BUCKETS)

@@ -74,7 +74,7 @@ class TokenCounts:
             .join(self.stored().select("digest"), "digest", "left_anti")
         )
         texts = docs.select(F.col(id).alias("id"), digest.alias("digest"), content.alias("text"))
-        picked = broadcast_within(misses, 500_000).alias("m")
+        picked = broadcast_within(misses, 300_000).alias("m")
         wanted = texts.alias("t").join(
             picked,
             F.col("t.id").eqNullSafe(F.col("m.id")) & (F.col("t.digest") == F.col("m.digest")),
