@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, lines, lm, packing, pii, quality, token_counts, toxicity, warc
+from marlstone.llm import decontaminate, lines, lm, near_dup, packing, pii, quality, token_counts, toxicity, warc
 from marlstone.llm.common import SPACES, UPPER, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op7(spark, folder):
 @query("op8_lm_scoring")
 def op8(spark, folder):
     return lm.code_lengths(table(spark, folder, "documents"), train=remainder("doc_id", 7) != 2)
+
+
+@query("op10_minhash")
+def op10(spark, folder):
+    found = near_dup.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
