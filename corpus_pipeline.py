@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that ten or more have; texts that lose all lines stay as "", null becomes ""."""
-    kept = lines.drop_common_lines(docs, min_docs=10, min_chars=1)
+    kept = lines.drop_common_lines(docs, min_docs=10, min_chars=1, counts=False)
     return kept.select(
         *[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns]
     )

@@ -44,7 +44,7 @@ def _without(lines: Column, drops: Column) -> Column:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", id: str = "doc_id"
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", id: str = "doc_id", counts: bool = True
 ) -> DataFrame:
     r"""``docs`` without lines whose key at least ``min_docs`` documents have.
 
@@ -53,7 +53,8 @@ def drop_common_lines(
     document is a row of ``docs``, and counts once for a key however often it
     has it. Returned are all columns of ``docs``, with the kept lines as
     ``text``, plus ``n_lines`` (before) and ``n_dropped``; columns that had
-    these two names are replaced.
+    these two names are replaced. Without ``counts`` the columns are those of
+    ``docs`` alone.
 
     A null or empty text is one empty line and comes back as "". Equal rows are
     separate documents and lose the same lines. An empty table gives an empty
@@ -89,18 +90,19 @@ def drop_common_lines(
         .agg(F.sort_array(F.collect_set("pos")).alias("drops"))
     )
     wide = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2")
+        F.struct(*[docs[c] for c in docs.columns]).alias("__row"), k1.alias("__k1"), k2.alias("__k2")
     )
-    joined = wide.join(drops.hint("shuffle_hash"), ["k1", "k2"], "left")
-    split = F.split(F.coalesce(F.col("row")[text], F.lit("")), "\n", -1)
-    kept = F.when(F.col("drops").isNull(), F.coalesce(F.col("row")[text], F.lit(""))).otherwise(
-        F.array_join(_without(split, F.col("drops")), "\n")
+    joined = wide.join(drops.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "drops": "__drops"}).hint("shuffle_hash"), ["__k1", "__k2"], "left")
+    split = F.split(F.coalesce(F.col("__row")[text], F.lit("")), "\n", -1)
+    kept = F.when(F.col("__drops").isNull(), F.coalesce(F.col("__row")[text], F.lit(""))).otherwise(
+        F.array_join(_without(split, F.col("__drops")), "\n")
     )
-    others = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    added = {
+        "n_lines": F.size(split).cast("long"),
+        "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long"),
+    }
+    added = added if counts else {}
     return joined.select(
-        *[F.col("row")[c].alias(c) for c in others],
-        kept.alias(text),
-        F.size(split).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
-    ).select(*order, "n_lines", "n_dropped")
+        *[(kept if c == text else F.col("__row")[c]).alias(c) for c in docs.columns if c not in added],
+        *[column.alias(name) for name, column in added.items()],
+    )

@@ -227,7 +227,7 @@ def sanitise(docs: DataFrame, how: str = "generalise", id: str = "doc_id", text:
     Overlapping spans are replaced as one, named after the first. Other columns
     stay; a null text stays null.
     """
-    found = find_disclosures(docs, id=id, text=text, **options).groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
+    found = find_disclosures(docs, id=id, text=text, **options).groupBy("k1", "k2").agg(F.first("spans").alias("__spans"))
 
     @F.udf("string")
     def replaced(value: str | None, spans) -> str | None:
@@ -241,8 +241,8 @@ def sanitise(docs: DataFrame, how: str = "generalise", id: str = "doc_id", text:
         return "".join([*out, value[last:]])
 
     k1, k2 = row_key(F.col(id), F.col(text))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
     joined = docs.select(row, k1.alias("k1"), k2.alias("k2")).join(found.hint("shuffle_hash"), ["k1", "k2"], "left")
     return joined.select(
-        *[(replaced(F.col("row")[c], F.col("spans")) if c == text else F.col("row")[c]).alias(c) for c in docs.columns]
+        *[(replaced(F.col("__row")[c], F.col("__spans")) if c == text else F.col("__row")[c]).alias(c) for c in docs.columns]
     )

@@ -131,7 +131,9 @@ class ExampleIndex:
         evidence = []
         for e, c in zip(entries[:3].tolist(), cosines[:3].tolist()):
             evidence += [(name, toxic_, min(1.0, c)) for name, toxic_ in self.entries[e][3]]
-        result = float((toxic + 2 * self.prior) / (every + 2)), evidence[:3]
+        # Neighbours that aren't there vote as the prior does, from nearby.
+        unsure = 2 + max(0, self.neighbours - self.votes[entries, 0].sum()) / self.SOFT
+        result = float((toxic + unsure * self.prior) / (every + unsure)), evidence[:3]
         if len(at) == 1:
             self.common = result
         return result
@@ -214,7 +216,7 @@ def fit(
     index = ExampleIndex(
         terms={s: i for i, s in enumerate(chosen["stem"])},
         idf=np.log(1 + total / chosen["docs"].to_numpy(np.float64)),
-        prior=(n_toxic + 1) / (both + 4),
+        prior=(n_toxic + 1) / (both + 10),
         neighbours=neighbours,
     )
     examples = []
@@ -236,7 +238,7 @@ def toxicity(docs: DataFrame, index: ExampleIndex, id: str = "doc_id", text: str
 
     A null or empty text has the common term alone and is scored like any text
     without words of the vocabulary. Without labels every score is the prior, a
-    quarter. Columns with the two new names are replaced. An empty table gives
+    tenth; a few labels cannot make every text toxic. Columns with the two new names are replaced. An empty table gives
     an empty table. The index, bounded by its parameters, goes to the tasks by
     broadcast; nothing is shuffled.
     """
