@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+import checks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,7 +28,7 @@ def comparable(rows, columns):
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(checks.QUERIES))
 def test_query(spark, tables, name):
     frame = entry_point.queries()[name](spark, FOLDER)
     cursor = tables.execute(entry_point.oracle_sql()[name])
@@ -43,6 +44,6 @@ def test_entry(spark):
 
 
 def test_no_cross_joins(spark):
-    for name, run in entry_point.queries().items():
+    for name, run in checks.QUERIES.items():
         plan = run(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
