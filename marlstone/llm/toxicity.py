@@ -28,9 +28,9 @@ class ExampleIndex:
     """Inverted index over the TF-IDF vectors of labelled examples.
 
     Examples with equal vectors are one entry with their summed votes. Entries
-    lie in blocks of ``BLOCK``; of each term the index has its postings (entry,
-    weight) by block, and its largest weight in each block. Words outside the
-    vocabulary count as one common term, the last one.
+    lie in blocks of ``BLOCK``; of each term the index has its postings by block
+    (the weights of the block's entries), and its largest weight in each block.
+    Words outside the vocabulary count as one common term, the last one.
     """
 
     terms: dict[str, int]
@@ -39,6 +39,8 @@ class ExampleIndex:
     neighbours: int
     entries: list[tuple] = field(default_factory=list)
     BLOCK = 64
+    FIRST = 4
+    KNOWN = 20_000
     REST = 0.05
     SOFT = 0.05
 
@@ -66,56 +68,45 @@ class ExampleIndex:
         # Entries with the same leading term lie together, so that blocks differ in their maxima.
         order = sorted(groups, key=lambda k: (max(k, key=lambda x: (x[0] != len(self.terms), x[1])), k))
         self.entries = [(g[2], g[3], g[4], sorted(g[5])[:3]) for g in map(groups.get, order)]
-        blocks = -(-len(order) // self.BLOCK)
-        self.maxima = np.zeros((len(self.terms) + 1, max(blocks, 1)))
-        lists: list[list] = [[] for _ in range(len(self.terms) + 1)]
+        # Postings in tiles: of each term, its weights in each block of entries.
+        blocks = max(1, -(-len(order) // self.BLOCK))
+        self.tiles = np.zeros((len(self.terms) + 1, blocks, self.BLOCK))
         for entry, key in enumerate(order):
-            at, values = groups[key][0].tolist(), groups[key][1].tolist()
-            for t, w in zip(at, values):
-                lists[t].append((entry, w))
-                self.maxima[t, entry // self.BLOCK] = max(self.maxima[t, entry // self.BLOCK], w)
-        self.postings = [
-            (np.array([e for e, _ in x], np.int64), np.array([w for _, w in x], np.float64)) for x in lists
-        ]
-        edges = np.arange(blocks + 1) * self.BLOCK
-        self.edges = [np.searchsorted(e, edges).tolist() for e, _ in self.postings]
+            at, values = groups[key][0], groups[key][1]
+            self.tiles[at, entry // self.BLOCK, entry % self.BLOCK] = values
+        self.maxima = self.tiles.max(axis=2)
         self.votes = np.array([(e[0], e[1], e[2]) for e in self.entries], np.float64).reshape(-1, 3)
+        self.known = {}
         return self
 
     def _nearest(self, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines of the nearest examples, all ties of the last one included."""
+        """Entries and cosines of the nearest examples, all ties of the last one included.
+
+        The blocks with the highest bounds set a limit; then those whose bound
+        reaches it are scored. No other block can hold a neighbour.
+        """
         bounds = values @ self.maxima[at]
-        order = np.argsort(-bounds, kind="stable")
-        entries: list[np.ndarray] = []
-        cosines: list[np.ndarray] = []
-        limit, seen = -1.0, 0
-        for block in order.tolist():
-            if bounds[block] < limit - 1e-9:
-                break
-            base = block * self.BLOCK
-            scores = np.zeros(min(self.BLOCK, len(self.entries) - base))
-            for t, v in zip(at.tolist(), values.tolist()):
-                own, weights = self.postings[t]
-                a, b = self.edges[t][block], self.edges[t][block + 1]
-                if a < b:
-                    scores[own[a:b] - base] += v * weights[a:b]
-            pick = np.flatnonzero(scores >= limit - 1e-9)
-            entries.append(pick + base)
-            cosines.append(scores[pick])
-            seen += 1
-            if seen % 2 == 0 or limit < 0:
-                limit = max(limit, self._kth(np.concatenate(entries), np.concatenate(cosines)))
-        if not entries:
-            return np.zeros(0, np.int64), np.zeros(0)
-        found, near = np.concatenate(entries), np.concatenate(cosines)
-        keep_from = self._kth(found, near) - 1e-9
-        best = near >= keep_from
+        first = np.argpartition(-bounds, self.FIRST)[: self.FIRST] if len(bounds) > self.FIRST else np.arange(len(bounds))
+        limit = self._kth(*self._scored(at, values, first))
+        found, near = self._scored(at, values, np.flatnonzero(bounds >= limit - 1e-9))
+        limit = self._kth(found, near)
+        best = near >= limit - 1e-9
         found, near = found[best], near[best]
         order = np.lexsort((found, -np.round(near, 9)))
         return found[order], near[order]
 
+    def _scored(self, at: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of some blocks and their cosines."""
+        scores = sum(v * self.tiles[t, blocks] for t, v in zip(at.tolist(), values.tolist()))
+        entries = (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
+        real = entries < len(self.entries)
+        return entries[real], scores.ravel()[real]
+
     def _kth(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Cosine of the last neighbour among these entries, each as many as its examples; -1 if they are too few."""
+        if len(cosines) > 4 * self.neighbours:  # an entry is an example at least
+            cut = np.partition(cosines, -self.neighbours)[-self.neighbours]
+            entries, cosines = entries[cosines >= cut], cosines[cosines >= cut]
         order = np.argsort(-cosines)
         enough = np.searchsorted(np.cumsum(self.votes[entries[order], 0]), self.neighbours)
         return float(cosines[order[enough]]) if enough < len(order) else -1.0
@@ -123,8 +114,9 @@ class ExampleIndex:
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         """Share of toxic votes weighted by nearness, smoothed by the prior, and the nearest examples."""
         at, values = self.vector(text)
-        if len(at) == 1 and hasattr(self, "common"):
-            return self.common
+        key = at.tobytes(), values.tobytes()
+        if key in self.known:
+            return self.known[key]
         entries, cosines = self._nearest(at, values)
         weights = 1 / (self.SOFT + np.maximum(0, 1 - cosines))
         toxic, every = (weights * self.votes[entries, 1]).sum(), (weights * self.votes[entries, 2]).sum()
@@ -134,8 +126,8 @@ class ExampleIndex:
         # Neighbours that aren't there vote as the prior does, from nearby.
         unsure = 2 + max(0, self.neighbours - self.votes[entries, 0].sum()) / self.SOFT
         result = float((toxic + unsure * self.prior) / (every + unsure)), evidence[:3]
-        if len(at) == 1:
-            self.common = result
+        if len(self.known) < self.KNOWN:
+            self.known[key] = result
         return result
 
 
