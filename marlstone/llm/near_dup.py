@@ -207,39 +207,120 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _vectors(docs: DataFrame, picks: DataFrame, idf, text: str) -> DataFrame:
-    """(node, features, weights) of picked rows (k1, k2, node), as bytes."""
+def _vectors(docs: DataFrame, picks: DataFrame, text: str) -> DataFrame:
+    """(node, features, times) of picked rows (k1, k2, node): sorted shingles and how often each occurs, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for part in slices(batches, text):
-            pairs = [weighted(words(t), known, idf.value) for t in part.column(text).to_pylist()]
+            pairs = [shingles(words(t), known) for t in part.column(text).to_pylist()]
+            features, times = ([p[i].astype(k).tobytes() for p in pairs] for i, k in ((0, "<u8"), (1, "<u4")))
             yield pa.record_batch(
-                [part.column("node"), *(pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1))],
-                ["node", "features", "weights"],
+                [part.column("node"), pa.array(features, pa.binary()), pa.array(times, pa.binary())],
+                ["node", "features", "times"],
             )
 
     return docs.join(picks, ["k1", "k2"]).select("node", text).mapInArrow(
-        run, "node binary, features binary, weights binary"
+        run, "node binary, features binary, times binary"
     )
 
 
-def _alike(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those with a weighted Jaccard similarity of SIMILARITY or more."""
+def _slot_weights(features: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf[(features >> np.uint64(64 - SLOTS)).astype(np.int64)]
+
+
+def _alike(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
+    """Of pairs (a, b), where few nodes are a b, those with a weighted Jaccard similarity of SIMILARITY or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [batch.column(c) for c in ("fa", "wa", "fb", "wb")]
+            sides = [batch.column(c) for c in ("fa", "ta", "fb", "tb")]
             good = []
             for i in range(batch.num_rows):
-                fa, wa, fb, wb = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(sides, ("<u8", "<f8") * 2))
-                good.append(weighted_jaccard(fa, wa, fb, wb) >= SIMILARITY)
+                fa, ta, fb, tb = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(sides, ("<u8", "<u4") * 2))
+                found = weighted_jaccard(fa, ta * _slot_weights(fa, idf.value), fb, tb * _slot_weights(fb, idf.value))
+                good.append(found >= SIMILARITY)
             mask = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    one = vectors.select(F.col("node").alias("a"), F.col("features").alias("fa"), F.col("weights").alias("wa"))
-    two = vectors.select(F.col("node").alias("b"), F.col("features").alias("fb"), F.col("weights").alias("wb"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a binary, b binary")
+    one = vectors.select(F.col("node").alias("a"), F.col("features").alias("fa"), F.col("times").alias("ta"))
+    two = vectors.select(F.col("node").alias("b"), F.col("features").alias("fb"), F.col("times").alias("tb"))
+    centres = keep(pairs.select("b").distinct())
+    two = two.join(broadcast_within(centres, 300_000), "b", "left_semi")
+    return one.join(broadcast_within(pairs, 300_000), "a").join(two, "b").mapInArrow(run, "a binary, b binary")
+
+
+def block_links(roots: list, features: list[np.ndarray], times: list[np.ndarray], idf: np.ndarray) -> list[tuple]:
+    """Pairs of roots that have nodes with a similarity of SIMILARITY or more, as many as connect them.
+
+    Nodes are rows of a matrix over the shingles that at least two of them
+    have, a shingle that occurs n times being n columns; the products of rows
+    sum the smaller weights of all pairs of nodes at once.
+    """
+    parts = []
+    for f, t in zip(features, times):
+        again = np.repeat(f, t)
+        turn = np.arange(len(again)) - np.repeat(np.cumsum(t) - t, t)
+        parts.append((again, again + turn.astype(np.uint64) * _ODD[4]))
+    totals = np.array([_slot_weights(p[0], idf).sum() for p in parts])
+    row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    plain, named = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    _, first, column, seen = np.unique(named, return_index=True, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    place = np.cumsum(seen > 1) - 1
+    weights = _slot_weights(plain[first[seen > 1]], idf)
+    row, column = row[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    low = np.zeros((len(parts), len(parts)))
+    for start in range(0, len(weights), 4096):
+        stop = min(start + 4096, len(weights))
+        a, b = np.searchsorted(column, [start, stop])
+        block = np.zeros((len(parts), stop - start))
+        block[row[a:b], column[a:b] - start] = 1
+        low += (block * weights[start:stop]) @ block.T
+    alike = low >= (SIMILARITY - 1e-12) * (totals[:, None] + totals - low)
+    codes = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    code = np.array([codes[r] for r in roots])
+    i, j = np.nonzero(alike & (code[:, None] > code))
+    parent, names, links = list(range(len(codes))), list(codes), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in set(zip(code[i].tolist(), code[j].tolist())):
+        if find(x) != find(y):
+            parent[find(x)] = find(y)
+            links.append((names[x], names[y]))
+    return links
+
+
+def _links_in_bands(rows: DataFrame, vectors: DataFrame, idf, block: int = 256) -> DataFrame:
+    """(a, b): roots to connect, from all pairs of nodes of a band (key, node, root) with different roots.
+
+    Members of a band are dealt over blocks of about ``block``, and each pair
+    of blocks is compared in a task of its own.
+    """
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = rows.join(sizes, "key").select(
+        "key", "node", "root", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), blocks.alias("blocks")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("key", "node", "root", "own", other.alias("other"))
+    dealt = dealt.select(
+        "key", "node", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        features = [np.frombuffer(v.as_buffer(), "<u8") for v in group.column("features")]
+        times = [np.frombuffer(v.as_buffer(), "<u4") for v in group.column("times")]
+        links = block_links(group.column("root").to_pylist(), features, times, idf.value)
+        return pa.table({n: pa.array([x[i] for x in links], pa.binary()) for i, n in enumerate(("a", "b"))})
+
+    return dealt.join(vectors, "node").groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,12 +342,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     table gives an empty table. Other columns are ignored.
 
     Texts with equal words are one node from the start. Bands are never
-    expanded to all pairs: members first meet the smallest node of a band (one
-    per node, then the other bands'), and what still lies in different
-    components of a band is compared with the members of the others, so that no
-    pair of a band is left that is neither connected nor compared. Similarities
-    are worked out in joins on one node, which adaptive execution splits where a
-    node is hot. Vectors are made only for nodes that share a band with another.
+    expanded to rows of pairs: each node first meets the smallest node of its
+    bands, in a join on that node, which adaptive execution splits where it is
+    hot. The members of bands that still lie in different components are then
+    compared block by block, so that no pair of a band is left that is neither
+    connected nor compared; a task holds two blocks, and gives the links that
+    connect components, not those of all pairs. Vectors are made only for nodes
+    that share a band with another.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(_idf(docs, text))
@@ -285,37 +367,28 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     )
     k1, k2 = row_key(F.col(id), F.col(text))
     texts = docs.select(F.col(text).alias(text), k1.alias("k1"), k2.alias("k2"))
-    vectors = keep(_vectors(texts, broadcast_within(picks, 300_000), idf, text))
+    vectors = keep(_vectors(texts, broadcast_within(picks, 300_000), text))
     roots = picks.select("node", F.col("node").alias("root"))
-    done = None
-    for step in ("one", "stars", "rest"):
+    near = lambda p, q: F.least(p, q) >= (SIMILARITY - 1e-9) * F.greatest(p, q)
+    for step in ("stars", "rest"):
         placed = buckets.join(roots, "node")
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("node", "root", "weight")).alias("c")).where("x != y")
-        near = lambda p, q: F.least(p, q) >= (SIMILARITY - 1e-9) * F.greatest(p, q)
-        if step == "rest":
-            open_rows = keep(placed.join(open_keys.select("key"), "key", "left_semi"))
-            a, b = open_rows.alias("a"), open_rows.alias("b")
-            pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(
-                (F.col("a.root") != F.col("b.root")) & (F.col("a.node") > F.col("b.node")) & near(F.col("a.weight"), F.col("b.weight"))
-            )
-            pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-        else:
+        open_keys = (
+            placed.groupBy("key")
+            .agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("node", "weight")).alias("c"))
+            .where("x != y")
+        )
+        if step == "stars":
             pairs = placed.join(open_keys.select("key", "c"), "key").where(
-                (F.col("root") != F.col("c.root")) & near(F.col("weight"), F.col("c.weight"))
+                (F.col("node") != F.col("c.node")) & near(F.col("weight"), F.col("c.weight"))
             )
-            pairs = pairs.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if step == "one" else pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        links = keep(_alike(pairs, vectors))
-        done = pairs if done is None else done.unionByName(pairs)
+            pairs = keep(pairs.groupBy(F.col("node").alias("a")).agg(F.min("c.node").alias("b")))
+            links = keep(_alike(pairs, vectors, idf))
+        else:
+            open_rows = keep(placed.join(open_keys.select("key"), "key", "left_semi").select("key", "node", "root"))
+            links = keep(_links_in_bands(open_rows, vectors, idf).distinct())
         if links.isEmpty():
             continue
-        ends = links
-        for end in ("a", "b"):
-            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end)
-        merged = keep(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()))
+        merged = keep(components(links))
         moved = merged.select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = keep(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
     labelled = rows.join(roots, "node", "left").select(
