@@ -162,6 +162,7 @@ def fit(
     train: Column | None = None,
     max_examples: int = 4096,
     max_terms: int = 512,
+    min_share: float = 0.3,
     neighbours: int = 15,
     id: str = "doc_id",
     text: str = "text",
@@ -173,9 +174,10 @@ def fit(
     of repeated ids the larger label holds). ``train`` is a condition on
     ``labels`` that says which rows may be learned from.
 
-    The vocabulary are the stems that set toxic training documents apart, by
-    the chi-squared test (at least 30, at least five documents; the
-    ``max_terms`` largest), counted over all labelled documents; inverse
+    The vocabulary are the stems that set toxic training documents apart: in at
+    least five documents, at least ``min_share`` of them (and three times the
+    share of all) toxic, chi-squared at least 30, the ``max_terms`` largest of
+    them; counted over all labelled documents; inverse
     document frequencies count all documents. Examples are a bounded sample:
     per class the ``max_examples`` / 2 documents with the smallest hashed ids,
     with votes in proportion to the size of their class.
@@ -199,6 +201,7 @@ def fit(
     gap = F.col("toxic") - expected
     chosen = (
         counts.where((seen >= 5) & (gap > 0) & (expected > 0) & (rest > 0))
+        .where((F.col("toxic") >= min_share * seen) & (F.col("toxic") >= 3 * expected))
         .withColumn("chi2", gap * gap / expected + gap * gap / rest)
         .where(F.col("chi2") >= 30)
         .orderBy(F.desc("chi2"), "stem")
