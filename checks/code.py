@@ -9,7 +9,6 @@ from checks import derived, for_spark, query, text_of
 from marlstone.functions import code as cx
 from marlstone.functions import text as tx
 from marlstone.operators import code_text, cpp, relate
-from marlstone.sources.tables import spread
 
 # -- analyzer ------------------------------------------------------------------
 
@@ -48,7 +47,7 @@ FILES = f"blocks as ({BLOCKS}), files as ({_files(False)})"
 def cpp_files(spark, folder) -> DataFrame:
     sql = f"with blocks as ({BLOCKS}) {_files(True)}"
     files = derived(spark, folder, for_spark(sql, "part"), "part")
-    return spread(files.select("rel_path", "text"))
+    return files.select("rel_path", "text")
 
 
 def cpp_records(spark, folder) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import query
 from marlstone.operators.chunk import chunk_pages, dedupe_chunks
-from marlstone.sources.tables import read_table, spread
+from marlstone.sources.tables import read_table
 from marlstone.streaming.index import added_ids, diff, stale_ids, unchanged_ids
 
 # The words of a text, and its 900-word windows that start every 780 words.
@@ -42,7 +42,7 @@ DOCUMENT_PAGES = """page as (
 
 
 def document_pages(spark, folder) -> DataFrame:
-    documents = spread(read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text"))
+    documents = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     return documents.select(
         "doc_id",
         F.concat_ws(":", "source", "doc_id").alias("source_path"),

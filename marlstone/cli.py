@@ -38,6 +38,7 @@ def _parser() -> argparse.ArgumentParser:
         verb = verbs.add_parser(name, help=text)
         verb.add_argument("question")
         verb.add_argument("--top-k", type=_at_least(1), default=TOP_K)
+        verb.add_argument("--docs-path", help="Without effect; the index is what is searched.")
 
     verb = verbs.add_parser("map-code", help="Map a C/C++ tree to records.")
     verb.add_argument("codebase_path")
@@ -69,6 +70,10 @@ def _ingest(spark, args) -> None:
     print(f"Embedded {sync.added} new chunks; {sync.unchanged} unchanged, {sync.removed} removed.")
     if result.bad_files:
         _say(f"warning: {result.bad_files} files could not be parsed")
+        for source, path, reason in result.bad_examples:
+            _say(f"warning: {source} {path}: {reason}")
+        if result.bad_table:
+            _say(f"warning: all of them with their reasons: {result.bad_table}")
     print(f"Vector DB: {config.db_path}")
 
 

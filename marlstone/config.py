@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # The defaults.
 DEFAULT_DOCS_PATH = ".cache/xrpl-dev-portal"
@@ -12,11 +11,9 @@ DEFAULT_DB_PATH = ".rag/index"
 DEFAULT_COLLECTION = "xrpl_docs"
 SENTENCE_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
 OFFLINE_MODEL = "hashed-words-256"
-
-
-def default_embedding_model() -> str:
-    """The sentence model where its package is installed, else the offline embedder."""
-    return SENTENCE_MODEL if importlib.util.find_spec("sentence_transformers") else OFFLINE_MODEL
+# The same on every machine; the sentence model is chosen by name, and fails
+# where its package is absent.
+DEFAULT_MODEL = OFFLINE_MODEL
 
 
 @dataclass(frozen=True)
@@ -24,7 +21,7 @@ class CorpusConfig:
     docs_path: str = DEFAULT_DOCS_PATH
     db_path: str = DEFAULT_DB_PATH
     collection_name: str = DEFAULT_COLLECTION
-    embedding_model: str = field(default_factory=default_embedding_model)
+    embedding_model: str = DEFAULT_MODEL
 
     @classmethod
     def from_env(cls, env=os.environ) -> CorpusConfig:
@@ -33,7 +30,7 @@ class CorpusConfig:
             env.get("MARLSTONE_DOCS_PATH", DEFAULT_DOCS_PATH),
             env.get("MARLSTONE_DB_PATH", DEFAULT_DB_PATH),
             env.get("MARLSTONE_COLLECTION", DEFAULT_COLLECTION),
-            env.get("MARLSTONE_EMBEDDING_MODEL") or default_embedding_model(),
+            env.get("MARLSTONE_EMBEDDING_MODEL") or DEFAULT_MODEL,
         )
 
     def resolve(self, base: str | None = None) -> CorpusConfig:

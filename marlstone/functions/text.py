@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +72,24 @@ def evaluated_once(reader: Callable, schema: str) -> Callable[[Column], Column]:
     return F.arrow_udf(reader, schema).asNondeterministic()
 
 
+def read_each(read: Callable, values: pa.Array, kind: pa.StructType, name: str) -> pa.Array:
+    """``read`` of every value as a struct of type ``kind``; NULL stays NULL.
+
+    Whatever a value does to its reader (wrong syntax, too deep nesting, text
+    that is not Unicode) becomes the row's ``error``, never the job's.
+    """
+
+    def one(value) -> pa.Array:
+        try:
+            return pa.array([None if value is None else read(value)], kind)
+        except Exception as problem:
+            reason = f"{name}: {problem or type(problem).__name__}".encode("utf-8", "replace").decode()
+            return pa.array([{"error": reason}], kind)
+
+    rows = [one(value) for value in values.to_pylist()]
+    return pa.concat_arrays(rows) if rows else pa.array([], kind)
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
@@ -130,3 +149,19 @@ def contains_word(text: Column, word: Column) -> Column:
     boundary = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
     quoted = F.concat(F.lit(r"\Q"), F.replace(word, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     return (word != "") & F.regexp_like(text, F.concat(F.lit(boundary), quoted, F.lit(boundary)))
+
+
+def four_decimals(x: Column) -> Column:
+    """A number from 0 up as Python's ``.4f`` prints it: by its exact binary value, exact ties to even.
+
+    The number is split into two halves whose products with 20,000 are exact,
+    so its place against the tie between two neighbours is known exactly.
+    """
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    low = x - high
+    base = F.floor(x * F.lit(10000.0))
+    over = (high * F.lit(20000.0) - (base * 2 + 1).cast("double")) + low * F.lit(20000.0)
+    up = (over > 0) | ((over == 0) & (base % 2 == 1))
+    n = base + F.when(up, 1).otherwise(0)
+    return F.format_string("%d.%04d", F.floor(n / 10000), n % 10000)

@@ -148,8 +148,17 @@ def metadata() -> Column:
 def dedupe_chunks(chunks: DataFrame) -> DataFrame:
     """One row per chunk_id.
 
-    Equal ids mean equal text, so any copy will do. Copies merge on the map
-    side first: however many rows share an id, each task ships it once. The
-    result stays partitioned by chunk_id for the diff against the index.
+    Equal ids mean equal text; title and url may differ. With a ``position``
+    column (of any ordered type) the copy with the last one counts, else the
+    one with the largest values, so the result never depends on the run. Copies
+    merge on the map side first: however many rows share an id, each task ships
+    it once. The result stays partitioned by chunk_id.
     """
-    return chunks.dropDuplicates(["chunk_id"])
+    others = [c for c in chunks.columns if c != "chunk_id"]
+    if not others:
+        return chunks.distinct()
+    order = sorted(others, key=lambda c: c != "position")
+    last = F.max(F.struct(*order)).alias("last")
+    return chunks.groupBy("chunk_id").agg(last).select(
+        *[F.col("chunk_id") if c == "chunk_id" else F.col(f"last.{c}") for c in chunks.columns]
+    )

@@ -19,7 +19,7 @@ BLOCK_TAGS = frozenset(
 )
 HEADING_TAGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
-READ_SCHEMA = "struct<body:string,title:string,headings:array<string>>"
+READ_SCHEMA = "struct<body:string,title:string,headings:array<string>,error:string>"
 
 
 def _events(html: str) -> list[tuple[str, str]]:
@@ -64,18 +64,20 @@ def _read(html: str) -> dict:
     return {"body": "".join(body), "title": "".join(title), "headings": found}
 
 
+def _read_page(data: bytes) -> dict:
+    return _read(data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n"))
+
+
 def _read_batch(content: pa.Array) -> pa.Array:
     kind = pa.struct(
-        [("body", pa.string()), ("title", pa.string()), ("headings", pa.list_(pa.string()))]
+        [
+            ("body", pa.string()),
+            ("title", pa.string()),
+            ("headings", pa.list_(pa.string())),
+            ("error", pa.string()),
+        ]
     )
-
-    def one(data):
-        if data is None:
-            return None
-        page = data.decode("utf-8", "ignore").replace("\r\n", "\n").replace("\r", "\n")
-        return _read(page)
-
-    return pa.array([one(data) for data in content.to_pylist()], kind)
+    return tx.read_each(_read_page, content, kind, "HTML")
 
 
 def read_html(content: Column) -> Column:

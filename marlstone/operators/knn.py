@@ -20,33 +20,37 @@ BROADCAST_QUESTIONS = 8192
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+# Questions that one matrix product takes at a time.
+QUESTION_BLOCK = 256
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = np.asarray(column.flatten(), dtype=np.float64)
     return flat.reshape(len(column), -1)
 
 
-def _closest(question: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, rough=None):
-    """Positions and distances of the k nearest rows, ties broken by id.
+def _closest(questions: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
+    """Positions and distances of the k nearest rows of each question, ties broken by id.
 
-    ``rough`` distances only shortlist; the reported distances are always the
-    plain sum of squared differences.
+    Distances from a matrix product only shortlist, with room for its rounding,
+    which grows with the squared norms; what is reported is always the plain
+    sum of squared differences.
     """
-    pool = np.arange(len(ids))
-    if rough is not None and len(ids) > k:
-        limit = np.partition(rough, k - 1)[k - 1]
-        pool = np.flatnonzero(rough <= limit + 1e-6 * max(1.0, abs(limit)))
-    delta = vectors[pool] - question
-    distance = (delta * delta).sum(axis=1)
-    if len(pool) > k:
-        near = distance <= np.partition(distance, k - 1)[k - 1]
-        pool, distance = pool[near], distance[near]
-    order = np.lexsort((ids[pool], distance))[:k]
-    return pool[order], distance[order]
-
-
-def _rough(questions: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    squares = (questions * questions).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1)
-    return squares - 2.0 * questions @ vectors.T
+    squares = (vectors * vectors).sum(axis=1)
+    for start in range(0, len(questions), QUESTION_BLOCK):
+        block = questions[start : start + QUESTION_BLOCK]
+        own = (block * block).sum(axis=1)
+        shortlist = None
+        if len(ids) > k:
+            rough = own[:, None] + squares - 2.0 * block @ vectors.T
+            room = 8 * (vectors.shape[1] + 4) * np.finfo(np.float64).eps * (own + squares.max())
+            shortlist = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * room)[:, None]
+        for q, question in enumerate(block):
+            pool = np.arange(len(ids)) if shortlist is None else np.flatnonzero(shortlist[q])
+            delta = vectors[pool] - question
+            distance = (delta * delta).sum(axis=1)
+            order = np.lexsort((ids[pool], distance))[:k]
+            yield pool[order], distance[order]
 
 
 def _candidates(questions: np.ndarray, k: int):
@@ -61,9 +65,7 @@ def _candidates(questions: np.ndarray, k: int):
             id_type = batch.column(0).type
             ids = np.array(batch.column(0).to_pylist())
             vectors = _matrix(batch.column(1))
-            rough = _rough(questions, vectors)
-            for q, question in enumerate(questions):
-                found, distance = _closest(question, vectors, ids, k, rough[q])
+            for q, (found, distance) in enumerate(_closest(questions, vectors, ids, k)):
                 found = ids[found]
                 if best[q] is not None:
                     found = np.concatenate([best[q][0], found])
@@ -109,10 +111,8 @@ def _pair_search(k: int, result: str):
             names, keys = names.as_py(), np.array(keys.as_py())
             asked = np.asarray(questions.values, dtype=np.float64).reshape(len(names), -1)
             stored = np.asarray(vectors.values, dtype=np.float64).reshape(len(keys), -1)
-            rough = _rough(asked, stored)
             hits = []
-            for q, question in enumerate(asked):
-                found, distance = _closest(question, stored, keys, k, rough[q])
+            for q, (found, distance) in enumerate(_closest(asked, stored, keys, k)):
                 hits += [
                     {"query_id": names[q], "id": keys[i].item(), "distance": float(d)}
                     for i, d in zip(found, distance)
@@ -131,12 +131,20 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
 def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors of every question: query_id, id, distance, rank.
 
-    ``questions`` is (query_id, embedding), ``vectors`` is (id, embedding).
+    ``questions`` is (query_id, embedding), ``vectors`` is (id, embedding), with
+    embeddings of any numeric type; rows without an embedding take no part. A
+    question set below a checked size goes to every task, which saves shuffling
+    the vectors; any other meets them in blocks. Both compute the same numbers.
     """
     if k < 1:
         raise ValueError("top_k must be at least 1")
-    vectors = vectors.select("id", "embedding")
-    sample = questions.select("query_id", "embedding").limit(BROADCAST_QUESTIONS + 1)
+    vectors, questions = (
+        side.select(key, F.col("embedding").cast("array<double>").alias("embedding")).where(
+            F.col("embedding").isNotNull()
+        )
+        for side, key in ((vectors, "id"), (questions, "query_id"))
+    )
+    sample = questions.limit(BROADCAST_QUESTIONS + 1)
     held = sample.toArrow().combine_chunks()
     if held.num_rows > BROADCAST_QUESTIONS or held.nbytes > BROADCAST_BYTES:
         return _nearest_blocks(questions, vectors, k)
@@ -169,7 +177,7 @@ def _nearest_blocks(questions: DataFrame, vectors: DataFrame, k: int) -> DataFra
 
     def packed(df: DataFrame, key: str, item: str) -> DataFrame:
         return df.select(key, "embedding").mapInArrow(
-            _pack, f"ids array<{item}>, flat array<float>"
+            _pack, f"ids array<{item}>, flat array<double>"
         )
 
     asked = packed(questions, "query_id", kind["query_id"]).select(

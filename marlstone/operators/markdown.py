@@ -40,22 +40,17 @@ def headings(text: Column) -> Column:
     return F.transform(found, tx.clean_heading)
 
 
-def _yaml_batch(block: pa.Array) -> pa.Array:
+def _yaml_title(block: str) -> dict:
     import yaml
 
-    def read(text):
-        if text is None:
-            return None
-        try:
-            data = yaml.safe_load(text)
-        except yaml.YAMLError as problem:
-            return {"title": None, "error": f"YAML: {problem}"}
-        title = data.get("title") if isinstance(data, dict) else None
-        is_text = isinstance(title, str) and title.strip()
-        return {"title": title.strip() if is_text else None, "error": None}
+    data = yaml.safe_load(block)
+    title = data.get("title") if isinstance(data, dict) else None
+    return {"title": title.strip() or None} if isinstance(title, str) else {}
+
 
+def _yaml_batch(block: pa.Array) -> pa.Array:
     kind = pa.struct([("title", pa.string()), ("error", pa.string())])
-    return pa.array([read(text) for text in block.to_pylist()], kind)
+    return tx.read_each(_yaml_title, block, kind, "YAML")
 
 
 def yaml_title(block: Column) -> Column:

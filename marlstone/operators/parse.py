@@ -28,13 +28,15 @@ def parse_files(files: DataFrame, main_source: str = "", site_suffix: str = "")
     ``files`` needs source_name, rel_path, content (binary), url_base,
     source_url_base and prefix_source_path. The result holds PAGE_COLUMNS and
     ``error``, which is NULL for a good page. Files that cannot be decoded or
-    parsed keep their row with the reason in ``error``.
+    parsed keep their row with the reason in ``error``. A ``position`` column is
+    carried along.
     """
+    extra = ["position"] if "position" in files.columns else []
     suffix = F.col("suffix")
     is_markdown = suffix.isin(*MARKDOWN_SUFFIXES)
 
     decoded = files.select(
-        "source_name", "rel_path", "content", "prefix_source_path",
+        *extra, "source_name", "rel_path", "content", "prefix_source_path",
         F.col("url_base"),
         F.coalesce("source_url_base", "url_base").alias("code_url_base"),
         paths.suffix(F.col("rel_path")).alias("suffix"),
@@ -88,6 +90,7 @@ def parse_files(files: DataFrame, main_source: str = "", site_suffix: str = "")
     html_title = html.title(F.col("html.title"), F.col("headings"), site_suffix)
 
     return with_text.select(
+        *extra,
         "source_name",
         paths.source_path(
             F.col("source_name"), F.col("rel_path"), F.col("prefix_source_path")
@@ -111,13 +114,15 @@ def parse_files(files: DataFrame, main_source: str = "", site_suffix: str = "")
             ),
             F.when((suffix != ".html") & F.col("raw").isNull(), F.lit("not valid UTF-8")),
             F.col("yaml.error"),
+            F.col("html.error"),
             F.col("python.error"),
         ).alias("error"),
     )
 
 
 def good_pages(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("error").isNull()).select(*PAGE_COLUMNS)
+    extra = ["position"] if "position" in parsed.columns else []
+    return parsed.where(F.col("error").isNull()).select(*extra, *PAGE_COLUMNS)
 
 
 def bad_files(parsed: DataFrame) -> DataFrame:

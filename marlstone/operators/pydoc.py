@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import evaluated_once
+from marlstone.functions.text import evaluated_once, read_each
 
 OUTLINE_SCHEMA = (
     "struct<doc:string,"
@@ -41,18 +41,14 @@ def _outline(code: str) -> dict:
     def entry(node, name, level) -> dict:
         return {"name": name, "level": level, "signature": signature(node), "doc": doc(node)}
 
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError) as problem:
-        return {"doc": None, "objects": None, "error": f"Python: {problem}"}
-
+    tree = ast.parse(code)
     objects = []
     for top in public(tree.body, (ast.ClassDef, *functions)):
         objects.append(entry(top, top.name, 2))
         if isinstance(top, ast.ClassDef):
             methods = public(top.body, functions)
             objects += [entry(m, f"{top.name}.{m.name}", 3) for m in methods]
-    return {"doc": doc(tree), "objects": objects, "error": None}
+    return {"doc": doc(tree), "objects": objects}
 
 
 def _outline_batch(code: pa.Array) -> pa.Array:
@@ -60,8 +56,7 @@ def _outline_batch(code: pa.Array) -> pa.Array:
         [("name", pa.string()), ("level", pa.int32()), ("signature", pa.string()), ("doc", pa.string())]
     )
     kind = pa.struct([("doc", pa.string()), ("objects", pa.list_(item)), ("error", pa.string())])
-    texts = code.to_pylist()
-    return pa.array([None if t is None else _outline(t) for t in texts], kind)
+    return read_each(_outline, code, kind, "Python")
 
 
 def read_python(code: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import rstrip, squeeze
+from marlstone.functions.text import four_decimals, rstrip, squeeze
 from marlstone.operators.knn import similarity
 
 # The labels of the printed results.
@@ -51,10 +51,9 @@ def results_from_response(responses: DataFrame) -> DataFrame:
 
 def search_block(rank: Column) -> Column:
     return F.format_string(
-        "[%d] %s\nHeading: %s\nURL: %s\nSource: %s\nScore: %.4f\nExcerpt: %s",
+        "[%d] %s\nHeading: %s\nURL: %s\nSource: %s\nScore: %s\nExcerpt: %s",
         rank, F.col("title"), F.col("heading_path"), F.col("url"), F.col("source_path"),
-        # Halves go to the even digit, as they do in Python.
-        F.bround("score", 4), squeeze(F.col("text")),
+        four_decimals(F.col("score")), squeeze(F.col("text")),
     )
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.knn import nearest, similarity
 from marlstone.operators.render import render_context, render_search
+from marlstone.session import keep
 from marlstone.streaming.index import ChunkIndex
 
 TOP_K = 5
-_FETCH_BY_FILTER = 1000
+# Hits have rows of some 200 bytes at most, whatever the chunks hold.
+_BROADCAST_HITS = 200_000
 
 
 def retrieve(index: ChunkIndex, questions: DataFrame, top_k: int = TOP_K) -> DataFrame:
@@ -23,29 +25,17 @@ def retrieve(index: ChunkIndex, questions: DataFrame, top_k: int = TOP_K) -> Dat
         raise RuntimeError("the index has not been built yet")
     index.check_model()
     asked = questions.select("query_id", index.embedder.embed(F.col("question")).alias("embedding"))
-    hits = nearest(asked, index.vectors(), top_k).withColumnRenamed("id", "chunk_id")
+    # Written once: the vector scan doesn't run again for the text.
+    hits = keep(nearest(asked, index.vectors(), top_k).withColumnRenamed("id", "chunk_id"))
     chunks = index.chunks().drop("embedding_text")
-    wanted = _few_ids(hits)
-    if wanted is not None:
-        hits, ids = wanted
-        # Reaches the scan as a pushed filter: chunk files are sorted by id, so
-        # row groups without a hit are skipped.
-        chunks = F.broadcast(chunks.where(F.col("chunk_id").isin(ids)))
+    if hits.limit(_BROADCAST_HITS + 1).count() <= _BROADCAST_HITS:
+        hits = F.broadcast(hits)  # else both sides move by chunk id
     return hits.join(chunks, "chunk_id").select(
         "query_id", "rank", "chunk_id", "title", "heading_path", "url", "source_path", "text",
         "distance", similarity(F.col("distance")).alias("score"),
     )
 
 
-def _few_ids(hits: DataFrame):
-    """A small hit list as a local table plus its ids; None when it is not small."""
-    rows = hits.limit(_FETCH_BY_FILTER + 1).collect()
-    if len(rows) > _FETCH_BY_FILTER:
-        return None
-    local = hits.sparkSession.createDataFrame(rows, hits.schema)
-    return local, sorted({row.chunk_id for row in rows})
-
-
 def question_frame(spark: SparkSession, question: str) -> DataFrame:
     return spark.createDataFrame([(0, question)], "query_id long, question string")
 

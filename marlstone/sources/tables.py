@@ -6,15 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Give every core a share of a table that sits in too few files.
-
-    With at least as many files as cores the table is returned as it is.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if len(table.inputFiles()) >= cores else table.repartition(cores)
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

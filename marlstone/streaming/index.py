@@ -9,24 +9,31 @@ Layout under ``<root>/<collection>``::
 
 A batch becomes visible with its commit row, written last. A sync writes only
 what changed, and vectors are stored apart from the text so that a search scans
-vectors alone and fetches the text of its few hits by id.
+vectors alone and fetches the text of its few hits by id. When many batches
+have gathered, the live rows are written again as one batch, sorted by id, whose
+commit hides all before it; so a read never sees more than MAX_BATCHES.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.embedding import Embedder
 from marlstone.operators.chunk import CHUNK_COLUMNS, dedupe_chunks, embedding_text
+from marlstone.session import keep
 
 # embedding_text is derived from the other columns and not stored twice.
 STORED_COLUMNS = tuple(c for c in CHUNK_COLUMNS if c != "embedding_text")
 CHANGES_SCHEMA = ", ".join(f"{c} string" for c in STORED_COLUMNS) + ", batch long, op string"
 VECTORS_SCHEMA = "chunk_id string, embedding array<float>, batch long"
-COMMITS_SCHEMA = "batch long, added long, removed long, model string"
+COMMITS_SCHEMA = "batch long, added long, removed long, model string, base boolean"
+MAX_BATCHES = 16
+# Added ids that are shipped to the tasks whole, at some 100 bytes each.
+BROADCAST_IDS = 200_000
 
 
 def added_ids(desired: DataFrame, existing: DataFrame) -> DataFrame:
@@ -46,8 +53,7 @@ def unchanged_ids(desired: DataFrame, existing: DataFrame) -> DataFrame:
 def diff(desired: DataFrame, existing: DataFrame) -> DataFrame:
     """Deduplicated ``desired`` against stored ids, with ``op`` add/keep/drop.
 
-    One full outer join on the already chunk_id-partitioned chunks serves all
-    three outcomes, so the chunk text is shuffled once.
+    One full outer join on chunk_id serves all three outcomes.
     """
     known = existing.select("chunk_id", F.lit(True).alias("known"))
     wanted = desired.withColumn("wanted", F.lit(True))
@@ -82,25 +88,31 @@ class ChunkIndex:
 
     # -- reading ---------------------------------------------------------
 
-    def _has(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{table}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _read(self, table: str, schema: str, form: str = "parquet") -> DataFrame | None:
+        """The table, or None as long as nothing has been written."""
+        try:
+            frame = self.spark.read.schema(schema).format(form).load(f"{self.base}/{table}")
+            frame.isEmpty() if form == "json" else frame.schema
+            return frame
+        except AnalysisException as problem:
+            if "PATH_NOT_FOUND" not in str(problem.getCondition()):
+                raise
+            return None
 
     def _table(self, table: str, schema: str) -> DataFrame:
-        if not self._has(table):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{table}")
+        found = self._read(table, schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
 
     def commits(self) -> list:
-        """Finished batches in order; one small row each."""
-        if not self._has("commits"):
+        """Finished batches in order, from the last rewritten one on; MAX_BATCHES or so."""
+        rows = self._read("commits", COMMITS_SCHEMA, "json")
+        if rows is None:
             return []
-        rows = self.spark.read.schema(COMMITS_SCHEMA).json(f"{self.base}/commits")
-        return rows.orderBy("batch").collect()
+        base = rows.where("base").agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") >= (base or 0)).orderBy("batch").collect()
 
     def exists(self) -> bool:
-        return self._has("commits")
+        return bool(self.commits())
 
     def check_model(self) -> None:
         """Vectors of different models do not compare."""
@@ -128,24 +140,31 @@ class ChunkIndex:
             .drop("drop_batch")
         )
 
+    def _added(self, table: str, commits: list) -> DataFrame:
+        """Rows that finished batches added.
+
+        A batch that added nothing owns no such rows; a folder of that number
+        can only be left over from an unfinished run.
+        """
+        schema = CHANGES_SCHEMA if table == "changes" else VECTORS_SCHEMA
+        rows = self._table(table, schema).where(F.col("batch").isin([c.batch for c in commits if c.added]))
+        return rows.where(F.col("op") == "add").drop("op") if table == "changes" else rows
+
     def ids(self) -> DataFrame:
         """Ids in the index. Only the id column is read."""
-        changes = self._table("changes", CHANGES_SCHEMA).where(F.col("op") == "add")
-        return self._live(changes.select("chunk_id", "batch"), self.commits()).select("chunk_id")
+        commits = self.commits()
+        return self._live(self._added("changes", commits).select("chunk_id", "batch"), commits).select("chunk_id")
 
     def vectors(self) -> DataFrame:
         """id, embedding of every live chunk."""
         commits = self.commits()
-        # A batch that added nothing owns no vectors; a folder of that number
-        # can only be left over from an unfinished run.
-        owned = F.col("batch").isin([c.batch for c in commits if c.added])
-        live = self._live(self._table("vectors", VECTORS_SCHEMA).where(owned), commits)
+        live = self._live(self._added("vectors", commits), commits)
         return live.select(F.col("chunk_id").alias("id"), "embedding")
 
     def chunks(self) -> DataFrame:
         """Live chunks, embedding_text included."""
-        changes = self._table("changes", CHANGES_SCHEMA).where(F.col("op") == "add").drop("op")
-        return self._live(changes, self.commits()).select(
+        commits = self.commits()
+        return self._live(self._added("changes", commits), commits).select(
             *STORED_COLUMNS,
             embedding_text(F.col("title"), F.col("heading_path"), F.col("text")).alias(
                 "embedding_text"
@@ -160,54 +179,81 @@ class ChunkIndex:
     def sync(self, chunks: DataFrame, delete_stale: bool = True) -> SyncResult:
         """Bring the index to ``chunks``; only chunks not stored yet are embedded.
 
-        Refuses an empty ``chunks`` rather than emptying the index.
+        Refuses an empty ``chunks`` rather than emptying the index. Ids alone
+        are compared; then the text of added chunks is fetched by their ids. A
+        ``position`` column says which of several chunks with one id is the
+        last, whose title and url count.
         """
         batch = self._next_batch()
-        flagged = diff(dedupe_chunks(chunks.select(*STORED_COLUMNS)), self.ids())
-        return self._apply(flagged, batch, {"add", "drop"} if delete_stale else {"add"})
+        ops = keep(diff(chunks.select("chunk_id").distinct(), self.ids()).select("chunk_id", "op"))
+        counts = {r.op: r.n for r in ops.groupBy("op").agg(F.count("*").alias("n")).collect()}
+        added, unchanged = counts.get("add", 0), counts.get("keep", 0)
+        if not added + unchanged:
+            raise RuntimeError("No indexable docs chunks were produced.")
+        removed = counts.get("drop", 0) if delete_stale else 0
+        if added:
+            wanted = ops.where("op = 'add'").select("chunk_id")
+            wanted = wanted.hint("broadcast" if added <= BROADCAST_IDS else "shuffle_hash")
+            self._write(batch, self._last(chunks).join(wanted, "chunk_id", "left_semi"))
+        if removed:
+            drops = ops.where("op = 'drop'").select("chunk_id")
+            drops.write.mode("overwrite").parquet(f"{self.base}/changes/batch={batch}/op=drop")
+        self._commit(batch, added, removed)
+        return SyncResult(added, removed, unchanged)
 
     def upsert(self, chunks: DataFrame) -> SyncResult:
-        """Store every given chunk, replacing rows of the same id."""
+        """Store every given chunk, replacing rows of the same id. No chunks change nothing."""
         batch = self._next_batch()
-        wanted = dedupe_chunks(chunks.select(*STORED_COLUMNS))
-        replaced = self.ids().join(wanted, "chunk_id", "left_semi").withColumn("op", F.lit("drop"))
-        flagged = wanted.withColumn("op", F.lit("add")).unionByName(replaced, allowMissingColumns=True)
-        return self._apply(flagged, batch, {"add", "drop"})
-
-    def _next_batch(self) -> int:
-        self.check_model()
+        if chunks.isEmpty():
+            return SyncResult(0, 0, 0)
+        self._write(batch, self._last(chunks))
+        stored = self.spark.read.schema(CHANGES_SCHEMA).parquet(f"{self.base}/changes/batch={batch}/op=add")
+        drops = self.ids().join(stored.select("chunk_id"), "chunk_id", "left_semi")
+        drops.write.mode("overwrite").parquet(f"{self.base}/changes/batch={batch}/op=drop")
+        added, removed = stored.count(), drops.count()
+        self._commit(batch, added, removed)
+        return SyncResult(added, removed, 0)
+
+    def compact(self) -> None:
+        """Write all live rows as one batch, in id order; older batches are not read any more."""
         done = self.commits()
-        return done[-1].batch + 1 if done else 1
-
-    def _apply(self, flagged: DataFrame, batch: int, ops: set[str]) -> SyncResult:
-        """Write the changes, then embed the added chunks from the written rows."""
-        seen = Observation()
-        of = lambda op: F.count(F.when(F.col("op") == op, 1)).alias(op)
-        changes = f"{self.base}/changes/batch={batch}"
+        if len(done) < 2:
+            return
+        batch, total = done[-1].batch + 1, self.count()
+        for table, rows, sub in (
+            ("changes", self.chunks().select(*STORED_COLUMNS), "/op=add"),
+            ("vectors", self.vectors().withColumnRenamed("id", "chunk_id"), ""),
+        ):
+            ordered = rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+            ordered.write.mode("overwrite").parquet(f"{self.base}/{table}/batch={batch}{sub}")
+        self._add_commit(batch, total, 0, base=True)
+
+    def _last(self, chunks: DataFrame) -> DataFrame:
+        return chunks.select(*STORED_COLUMNS, *[c for c in chunks.columns if c == "position"])
+
+    def _write(self, batch: int, chunks: DataFrame) -> None:
+        """Store chunks of a batch, then embed them from the written rows."""
+        place = f"{self.base}/changes/batch={batch}/op=add"
+        dedupe_chunks(chunks).select(*STORED_COLUMNS).write.mode("overwrite").parquet(place)
+        written = self.spark.read.schema(CHANGES_SCHEMA).parquet(place)
+        text = embedding_text(F.col("title"), F.col("heading_path"), F.col("text"))
         (
-            flagged.observe(seen, of("add"), of("drop"), of("keep"))
-            .where(F.col("op").isin(sorted(ops)))
-            .select(*STORED_COLUMNS, "op")
+            written.select("chunk_id", self.embedder.embed(text).alias("embedding"))
             .write.mode("overwrite")
-            .partitionBy("op")
-            .parquet(changes)
+            .parquet(f"{self.base}/vectors/batch={batch}")
         )
-        counts = seen.get
-        added, unchanged = counts["add"], counts["keep"]
-        if not added + unchanged:
-            raise RuntimeError("No indexable docs chunks were produced.")
-        removed = counts["drop"] if "drop" in ops else 0
-        if added:
-            written = self.spark.read.schema(CHANGES_SCHEMA).parquet(changes)
-            text = embedding_text(F.col("title"), F.col("heading_path"), F.col("text"))
-            (
-                written.where(F.col("op") == "add")
-                .select("chunk_id", self.embedder.embed(text).alias("embedding"))
-                .write.mode("overwrite")
-                .parquet(f"{self.base}/vectors/batch={batch}")
-            )
+
+    def _commit(self, batch: int, added: int, removed: int) -> None:
         if added or removed:
-            row = [(batch, added, removed, self.embedder.name)]
-            commit = self.spark.createDataFrame(row, COMMITS_SCHEMA).coalesce(1)
-            commit.write.mode("append").json(f"{self.base}/commits")
-        return SyncResult(added, removed, unchanged)
+            self._add_commit(batch, added, removed, base=False)
+            if len(self.commits()) > MAX_BATCHES:
+                self.compact()
+
+    def _add_commit(self, batch: int, added: int, removed: int, base: bool) -> None:
+        row = [(batch, added, removed, self.embedder.name, base)]
+        self.spark.createDataFrame(row, COMMITS_SCHEMA).coalesce(1).write.mode("append").json(f"{self.base}/commits")
+
+    def _next_batch(self) -> int:
+        self.check_model()
+        done = self.commits()
+        return done[-1].batch + 1 if done else 1

@@ -193,12 +193,114 @@ def test_search_and_context(spark, tmp_path):
     assert all(abs(r.score - 1 / (1 + r.distance)) < 1e-12 for r in hits)
 
 
-def test_search_fetches_hits_with_a_pushed_filter(spark, tmp_path):
+def test_search_scans_vectors_once(spark, tmp_path):
     index = open_index(spark, tmp_path)
     index.sync(chunks(spark, {"a": "x", "b": "y"}))
     asked = spark.createDataFrame([(0, "x")], "query_id long, question string")
     plan = retrieve(index, asked, 1)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(chunk_id" in plan or "PushedFilters: [IsNotNull(chunk_id), EqualTo(chunk_id" in plan
+    assert "/vectors" not in plan and "BroadcastHashJoin" in plan and "RoundRobin" not in plan
+
+
+def test_compaction_changes_no_answer(spark, tmp_path):
+    index = open_index(spark, tmp_path)
+    for step in range(3):
+        index.sync(chunks(spark, {f"p{n}": f"text {n} {step if n == step else ''}" for n in range(step, step + 4)}))
+    index.upsert(chunks(spark, {"p4": "text 4"}))
+    asked = spark.createDataFrame([(0, "text 4"), (1, "text 3 5")], "query_id long, question string")
+
+    def state():
+        hits = [tuple(r) for r in retrieve(index, asked, 3).orderBy("query_id", "rank").collect()]
+        return hits, index.count(), sorted(r.chunk_id for r in index.ids().collect()), index.vectors().count()
+
+    before, batches = state(), len(index.commits())
+    index.compact()
+    assert len(index.commits()) == 1 < batches
+    assert state() == before
+    index.sync(chunks(spark, {"p8": "text 8"}))
+    assert index.count() == index.ids().count() == 1 and len(index.commits()) == 2
+
+
+def test_many_batches_are_rewritten(spark, tmp_path, monkeypatch):
+    from marlstone.streaming import index as module
+
+    monkeypatch.setattr(module, "MAX_BATCHES", 2)
+    index = open_index(spark, tmp_path)
+    for step in range(4):
+        index.sync(chunks(spark, {"a": f"t{step}"}))
+        assert len(index.commits()) <= 2
+    assert [r.text for r in index.chunks().collect()] == ["t3"]
+
+
+def test_of_equal_ids_the_last_counts(spark, tmp_path):
+    page = spark.createDataFrame([("p", "T", "u", "x")], PAGE)
+    copies = [
+        chunk_pages(page.withColumn("url", F.lit(f"u{n}")).withColumn("position", F.lit(n)), keep=("position",))
+        for n in (2, 9, 5)
+    ]
+    every = copies[0].unionByName(copies[1]).unionByName(copies[2])
+    index = open_index(spark, tmp_path)
+    index.sync(every)
+    assert [r.url for r in index.chunks().collect()] == ["u9"]
+
+
+def test_an_empty_upsert_changes_nothing(spark, tmp_path):
+    index = open_index(spark, tmp_path)
+    assert index.upsert(chunks(spark, {"a": " "})).total == 0 and not index.exists()
+    index.sync(chunks(spark, {"a": "x"}))
+    index.upsert(chunks(spark, {"a": " "}))
+    assert index.count() == 1 and len(index.commits()) == 1
+
+
+def test_an_unchanged_sync_moves_no_text(spark, tmp_path, monkeypatch):
+    index = open_index(spark, tmp_path)
+    pages = {f"p{n}": f"text {n}" for n in range(20)}
+    index.sync(chunks(spark, pages))
+    from marlstone.streaming import index as module
+
+    plans, keep = [], module.keep
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return keep(frame)
+
+    monkeypatch.setattr(module, "keep", watched)
+    monkeypatch.setattr(module.ChunkIndex, "_write", lambda *_: pytest.fail("wrote chunks"))
+    assert index.sync(chunks(spark, pages)).unchanged == 20
+    [plan] = plans
+    # What is dealt out is what the distinct below it has: the id alone.
+    lines = plan.splitlines()
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert shuffles and not any("text" in lines[i + 1] and "HashAggregate" not in lines[i + 1] for i in shuffles)
+
+
+def test_knn_takes_any_float_norm_and_null(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for offset, kind in ((1e6, "double"), (1e5, "float")):
+        stored = rng.normal(size=(60, 8)) + offset
+        stored = stored.astype(np.float32).astype(float) if kind == "float" else stored
+        rows = [(i, v.tolist()) for i, v in enumerate(stored)] + [(99, None)]
+        vectors = spark.createDataFrame(rows, f"id long, embedding array<{kind}>")
+        asked = vectors.withColumnRenamed("id", "query_id")
+        want = {}
+        for q, point in enumerate(stored):
+            distance = ((stored - point) ** 2).sum(axis=1)
+            want[q] = [int(i) for i in np.lexsort((np.arange(60), distance))[:5]]
+        for limit in (8192, 0):
+            monkeypatch.setattr(knn, "BROADCAST_QUESTIONS", limit)
+            got = {}
+            for r in knn.nearest(asked, vectors, 5).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.id)
+            assert got == want, (offset, kind, limit)
+
+
+def test_scores_print_as_python_prints_them(spark):
+    from marlstone.functions.text import four_decimals
+
+    rng = random.Random(4)
+    values = [0.12345, 0.03125, 0.00015, 1.0, 0.0, 0.99995, 0.00005, 0.5, 1 / 3, 0.21875, 12.00005, 0.99999]
+    values += [rng.randrange(20_000) / 20_000 for _ in range(3000)] + [rng.random() for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", four_decimals(F.col("v")).alias("s"))
+    assert [r for r in rows.collect() if r.s != f"{r.v:.4f}"] == []
 
 
 def test_results_from_response(spark):

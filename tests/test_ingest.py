@@ -126,71 +126,84 @@ def test_config(monkeypatch):
     assert config == CorpusConfig("/base/d", "hdfs://x/y", "c", "m")
 
 
-def default_tree(tmp_path):
-    """One page per default source, in the format that source is known for."""
-    roots = {}
-    special = {
-        "xrpl-docs": ("docs/concepts/accounts.md", "# Accounts\n\nAccount docs."),
-        "xrpl-py": ("docs/source/api.rst", "Methods\n=======\n\nPython docs."),
-        "xrpl-js": ("docs/classes/Client.html", "<h1>Class Client</h1><p>Script docs.</p>"),
-    }
+WRITERS = {
+    ".md": lambda name: f"## About {name}\n\n{name} in Markdown.\n",
+    ".rst": lambda name: f"About {name}\n~~~~~~~~~~~~~~~~~~~~\n\n{name} in RST.\n",
+    ".html": lambda name: f"<h5>About {name}</h5>{name} in HTML.",
+    ".py": lambda name: f"'{name} in Python.'\n",
+}
+
+
+def every_source(place):
+    """Of each source of the catalog one file of each suffix that it takes; also the number of files."""
+    roots, files = {}, 0
     for source in catalog.DEFAULT_SOURCES:
-        folder = source.include_parts[0] if source.include_parts else "guides"
-        place, text = special.get(
-            source.name, (f"{folder}/{source.name}.md", f"# {source.name}\n\nDocs for {source.name}.")
-        )
-        roots[source.name] = tmp_path / source.name
-        write(roots[source.name], {place: text})
-    return roots
+        roots[source.name] = place / source.name
+        inside = f"{source.include_parts[0]}/" if source.include_parts else ""
+        for suffix in source.file_suffixes:
+            if suffix in WRITERS:
+                write(roots[source.name], {f"{inside}about_{suffix[1:]}{suffix}": WRITERS[suffix](source.name)})
+                files += 1
+    return roots, files
 
 
 def test_ingest_over_all_sources(spark, tmp_path):
-    roots = default_tree(tmp_path / "sources")
-    write(roots["clio"], {"bad.md": b"\xff", "twice.md": "# T\n\n## S\n\nSame.\n\n## S\n\nSame.\n"})
+    roots, files = every_source(tmp_path / "sources")
     config = CorpusConfig(docs_path="unused", db_path=str(tmp_path / "db"), embedding_model="hashed-words-32")
     acquire = lambda spark, source, update: str(roots[source.name])
-    result = ingest(spark, config, acquire=acquire)
-    assert (result.sync.total, result.sync.added, result.files, result.bad_files, result.sources) == (13, 13, 14, 1, 12)
-
+    first = ingest(spark, config, acquire=acquire)
+    assert (first.files, first.bad_files, first.sources) == (files, 0, len(roots))
+    assert first.sync.added == first.sync.total == files
     index = ChunkIndex(spark, config.db_path, config.collection_name, HashedWords(32))
     stored = {r.source_path: r for r in index.chunks().collect()}
-    assert len(stored) == 13
-    assert stored["docs/concepts/accounts.md"].url == "https://xrpl.org/docs/concepts/accounts"
-    assert stored["xrpl-py:docs/source/api.rst"].heading_path == "Methods"
-    assert stored["xrpl-js:docs/classes/Client.html"].title == "Class Client"
-    assert stored["clio:guides/clio.md"].url.endswith("/blob/develop/guides/clio.md")
-    assert stored["gemwallet-docs:docs/gemwallet-docs.md"].url == "https://gemwallet.app/docs/gemwallet-docs"
-
-    (roots["clio"] / "guides" / "clio.md").write_text("# clio\n\nChanged.")
+    for source in catalog.DEFAULT_SOURCES:
+        own = [r for r in stored.values() if r.text.startswith((f"{source.name} in", "# about"))]
+        if source.prefix_source_path:
+            own = [r for r in own if r.source_path.startswith(f"{source.name}:")]
+        assert own and all(r.url.startswith("https://") for r in own)
+
+    # One file changed, one is new and broken.
+    last = catalog.DEFAULT_SOURCES[-1].name
+    paths = sorted(p for p in roots[last].rglob("*") if p.is_file())
+    paths[0].write_text(WRITERS[paths[0].suffix](f"{last}, revised,"))
+    write(paths[0].parent, {"broken.md": "---\nday: 2024-02-30\n---\nx"})
     again = ingest(spark, config, acquire=acquire)
-    assert (again.sync.added, again.sync.removed, again.sync.unchanged) == (1, 1, 12)
+    assert (again.sync.added, again.sync.removed, again.sync.unchanged, again.bad_files) == (1, 1, files - 1, 1)
+    [(source, path, reason)] = again.bad_examples
+    assert source == last and path.endswith("broken.md") and reason.startswith("YAML")
+    assert spark.read.json(again.bad_table).count() == 1
 
     # A single source never drops what the others brought.
     one = ingest(spark, config, single_source=True, acquire=acquire)
-    assert (one.sync.added, one.sync.removed, one.sync.unchanged, one.sources) == (0, 0, 1, 1)
-    assert index.count() == 13
-    (roots["xrpl4j"] / "guides" / "xrpl4j.md").unlink()
+    assert (one.sync.added, one.sync.removed, one.sources) == (0, 0, 1) and index.count() == files
+    for path in (p for p in roots[last].rglob("*") if p.is_file()):
+        path.unlink()
     with pytest.raises(RuntimeError, match="No supported docs files found"):
         ingest(spark, config, acquire=acquire)
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
-    docs = tmp_path / "docs-repo"
-    write(docs, {"docs/page.md": "# Title\n\n## Section\n\nSame text.\n\n## Section\n\nSame text.\n"})
+    docs = tmp_path / "checkout"
+    mills = "".join(f"# Mill {n}\n\nGrinds grain of kind k{n}.\n\n" for n in range(3))
+    write(docs, {"docs/mills.md": mills, "docs/odd.md": b"\xc3("})
     monkeypatch.setenv("MARLSTONE_DB_PATH", str(tmp_path / "db"))
-    monkeypatch.setenv("MARLSTONE_EMBEDDING_MODEL", "hashed-words-32")
-    assert cli.main(["search", "text"]) == 1
-    assert "search failed" in capsys.readouterr().err
-    assert cli.main(["ingest", "--docs-path", str(docs), "--no-update"]) == 0
-    out = capsys.readouterr().out
-    assert "Indexed 1 chunks from 1 files across 1 sources." in out
-    assert "Embedded 1 new chunks; 0 unchanged, 0 removed." in out
-    assert cli.main(["search", "same text", "--top-k", "3"]) == 0
-    assert "[1] Title\nHeading: Title > Section\nURL: https://xrpl.org/docs/page" in capsys.readouterr().out
-    assert cli.main(["context", "same text"]) == 0
-    shown = capsys.readouterr().out
-    assert shown.startswith("Question: same text\n\nRelevant XRPL docs:") and "Score" not in shown
-    assert cli.main(["ingest", "--docs-path", str(tmp_path / "gone"), "--no-update"]) == 1
-    assert "ingest failed: Docs path does not exist" in capsys.readouterr().err
+    monkeypatch.setenv("MARLSTONE_EMBEDDING_MODEL", "hashed-words-64")
+
+    def said(code, *args):
+        assert cli.main([*args]) == code
+        return capsys.readouterr()
+
+    local = ("ingest", "--docs-path", str(docs), "--no-update")
+    assert "search failed" in said(1, "search", "grain").err
+    ingested = said(0, *local)
+    assert "Indexed 3 chunks from 2 files across 1 sources." in ingested.out
+    assert "docs/odd.md: not valid UTF-8" in ingested.err
+    assert "Embedded 0 new chunks; 3 unchanged, 0 removed." in said(0, *local).out
+    found = said(0, "search", "grain of kind k1", "--top-k", "2", "--docs-path", "ignored").out
+    assert found.startswith("[1] Mill 0\nHeading: Mill 1\n") and "\n[2] " in found and "[3]" not in found
+    shown = said(0, "context", "kind k2").out
+    assert shown.startswith("Question: kind k2\n\n") and "Score" not in shown and "kind k2." in shown
+    gone = said(1, "ingest", "--docs-path", str(tmp_path / "gone"), "--no-update")
+    assert "ingest failed: Docs path does not exist" in gone.err
     with pytest.raises(SystemExit):
         cli.main(["search", "x", "--top-k", "0"])
