@@ -62,15 +62,34 @@ def sections(title: Column, text: Column) -> Column:
             ),
         )
 
+    def state(stack: Column, out: Column, kind: str) -> Column:
+        return F.struct(stack.alias("stack"), out.cast(kind).alias("out"))
+
+    def runs(acc: Column, run: Column) -> Column:
+        start = state(acc["stack"], F.array(), out_type)
+        return tx.let(
+            F.aggregate(run, start, headed),
+            lambda done: F.struct(
+                done["stack"].alias("stack"), F.concat(acc["out"], F.array(done["out"])).alias("out")
+            ),
+        )
+
     def fold(pieces: Column) -> Column:
-        start = F.struct(
-            F.array().cast(stack_type).alias("stack"),
-            section(title, F.get(pieces, F.lit(0))).cast(out_type).alias("out"),
+        # Adding to an array copies it. In runs of about the square root of all
+        # headings no copy gets longer than that.
+        size = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        parts = F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size(pieces) / size).cast("int") - 1),
+            lambda i: F.slice(pieces, i * size + 1, size),
         )
-        # A heading cleaned to NULL cannot occur, so paths are never NULL.
-        return F.aggregate(
-            F.slice(pieces, F.lit(2), F.size(pieces)), start, headed, lambda acc: acc["out"]
+        # The text before the first heading is a section under the page's title.
+        headed_parts = F.transform(
+            parts, lambda run, i: F.when(i == 0, F.slice(run, F.lit(2), size)).otherwise(run)
         )
+        first = section(title, F.get(pieces, F.lit(0)))
+        start = state(F.array().cast(stack_type), F.array(first), f"array<{out_type}>")
+        # A heading cleaned to NULL cannot occur, so paths are never NULL.
+        return F.aggregate(headed_parts, start, runs, lambda acc: F.flatten(acc["out"]))
 
     def or_whole_page(found: Column) -> Column:
         page = F.filter(section(title, text), lambda s: s["text"] != "")
