@@ -130,3 +130,44 @@ def html_chunks(spark, folder):
     return chunk_pages(parsed_pages(spark, folder), keep=("page_id",)).select(
         "page_id", "part_index", "chunk_id", "text"
     )
+
+
+@query(
+    "bad_files",
+    """select 'mixed:' || cast(page_id as varchar)
+        || case page_id % 5 when 0 then '.html' when 1 then '.md' when 2 then '.py' when 3 then '.md' else '.txt' end
+        as source_path,
+      case page_id % 5 when 0 then 'HTML' when 1 then 'YAML' when 2 then 'Python' when 3 then 'good'
+        else 'unsupported file type' end as outcome
+    from pages
+    union all
+    select 'mixed:d' || cast(doc_id as varchar) || '.rst',
+      case when doc_id % 3 = 0 then 'not valid UTF-8' else 'good' end
+    from documents""",
+)
+def bad_files_listed(spark, folder):
+    """Pages and documents, most of them broken in the way of their format, in one parse."""
+    pages = read_table(spark, folder, "pages").select("page_id", "html")
+    kind = F.col("page_id") % 5
+    suffix = F.element_at(F.array(*map(F.lit, (".html", ".md", ".py", ".md", ".txt"))), (kind + 1).cast("int"))
+    content = (
+        F.when(kind == 0, F.concat("html", F.lit("<![odd mark]]>")))
+        .when(kind == 1, F.concat(F.lit("---\nday: 2024-02-30\n---\n"), "html"))
+        .when(kind == 2, F.concat(F.lit("def ("), "html"))
+        .otherwise(F.col("html"))
+    )
+    documents = read_table(spark, folder, "documents").select("doc_id", "text")
+    broken = F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("FF")), F.col("text").cast("binary")))
+    files = as_files(pages, F.concat(F.col("page_id").cast("string"), suffix), content, "mixed", prefix_source_path=True).unionByName(
+        as_files(
+            documents,
+            F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".rst")),
+            F.coalesce(broken, F.col("text").cast("binary")),
+            "mixed",
+            prefix_source_path=True,
+        )
+    )
+    parsed = parse_files(files)
+    return parsed.select(
+        "source_path", F.coalesce(F.substring_index("error", ":", 1), F.lit("good")).alias("outcome")
+    )

@@ -250,3 +250,15 @@ def response_map(spark, folder):
     )
     mapped = results_from_response(responses).withColumn("score", F.round("score", 6))
     return mapped.select("query_id.*", *mapped.columns[1:])
+
+
+@query(
+    "knn_large_norms",
+    f"with {_knn('embeddings').replace('p[1]::double', '(p[1]::double + 1048576)').replace('p[2]::double', '(p[2]::double + 1048576)')} {_HIT}",
+)
+def knn_large_norms(spark, folder):
+    """The same neighbours far from the origin, with vectors of double."""
+    vectors = read_table(spark, folder, "embeddings").withColumn(
+        "embedding", F.transform("embedding", lambda x: x.cast("double") + 1048576)
+    )
+    return _vector_hits(vectors, vectors)
