@@ -200,14 +200,16 @@ def cpp_names(spark, folder):
 # -- relationships -------------------------------------------------------------
 
 # Every part is a function. Forty neighbours share a name suffix, so some names
-# are ambiguous. A part calls the next part of each order it is in.
+# are ambiguous. A part calls the next part of each order it is in. Classes,
+# files and tests belong to blocks of 200 parts and 10 suppliers, so that links
+# grow as the tables do.
 PARTS = """
 select p_partkey, 'function' as kind,
-  case when p_size % 10 = 1 then 's' || cast(p_size as varchar(20))
+  case when p_size % 10 = 1 then 's' || cast(p_size as varchar(20)) || 'b' || cast(cast(floor(p_partkey / 200) as int) as varchar(20))
        else replace(p_name, ' ', '_') || '_' || cast(cast(floor(p_partkey / 40) as int) as varchar(20)) end as name,
-  'Brand_' || substr(p_brand, 7) as class_name,
+  'Brand_' || substr(p_brand, 7) || 'b' || cast(cast(floor(p_partkey / 200) as int) as varchar(20)) as class_name,
   'src/' || case when p_size % 3 = 0 then 'brand' else p_type end || '/'
-    || case when p_size % 2 = 0 then 's' else 'unit' end || cast(p_size as varchar(20)) || '.cpp' as file
+    || case when p_size % 2 = 0 then 's' else 'unit' end || cast(p_size as varchar(20)) || 'b' || cast(cast(floor(p_partkey / 200) as int) as varchar(20)) || '.cpp' as file
 from part
 """
 NEXT = """
@@ -322,8 +324,8 @@ def called_by(spark, folder):
 # Every supplier is a test that calls the parts it supplies.
 TEST_LINES = """
 select s_suppkey, l_partkey, 'src/' || case s_suppkey % 4 when 0 then 'test' when 1 then 'brand/tests'
-    when 2 then 'economy/unit' else 'deep/UNIT_TESTS' end || '/S' || cast(s_nationkey as varchar(20))
-  || '_Brand_' || cast(s_suppkey % 25 as varchar(20)) || '_test' || cast(s_suppkey as varchar(20)) || '.cpp' as test
+    when 2 then 'economy/unit' else 'deep/UNIT_TESTS' end || '/S' || cast(s_nationkey as varchar(20)) || 'b' || cast(cast(floor(s_suppkey / 10) as int) as varchar(20))
+  || '_Brand_' || cast(s_suppkey % 25 as varchar(20)) || 'b' || cast(cast(floor(s_suppkey / 10) as int) as varchar(20)) || '_test' || cast(s_suppkey as varchar(20)) || '.cpp' as test
 from supplier left join (select distinct l_suppkey, l_partkey from lineitem) on s_suppkey = l_suppkey
 """
 TESTS_SQL = f"""lines as ({TEST_LINES}),
