@@ -49,7 +49,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             floor = m.end()
         at = max(at + 1, floor)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") or "0" for p in m[0].split(".")]
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(own := _digits(m[0])) <= 19 and _luhn(own):

@@ -42,10 +42,10 @@ def _restored(value: str) -> str:
 def record_bytes(page_id: str, url: str, payload: bytes, refers_to: str | None) -> tuple[bytes, str]:
     """A gzip member with one WARC record, and its payload digest."""
     digest = payload_digest(payload)
-    kind = "resource" if refers_to is None else "revisit"
+    kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:page:{_one_line(page_id)}>",
         f"WARC-Date: {_EPOCH}",
         f"WARC-Target-URI: {_one_line(url)}",

@@ -248,6 +248,7 @@ def test_base_spans():
     for text in ("4111 1111 1111 1111", "x 1.2.3.4.5.6.7.8", "+1 (017) 555-7713)", "300.1.1.1 1.1.1.1", "a@b.c@d.e"):
         assert pii.base_spans(text) == plain_spans(text)
     assert pii.base_spans("1" * 200_000 + "a" * 200_000) == []
+    assert pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 1, 5007)]
 
 
 @needs_data
