@@ -57,7 +57,7 @@ def piece_starts(kind: np.ndarray, data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of UTF-8 texts; one per Python worker and file."""
 
-    CACHED_PIECES = 2_000_000
+    CACHED_PIECES = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -122,7 +122,7 @@ class Encoder:
     def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
         if len(self.powers) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 19)
             self.powers = np.full(size, self.base, np.uint64)
             self.powers[0] = 1
             np.multiply.accumulate(self.powers, out=self.powers)

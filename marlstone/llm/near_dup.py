@@ -34,7 +34,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -113,7 +113,7 @@ def _idf(docs: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, rows = _WordHashes(), np.zeros(1 << SLOTS, np.int64), 0
-        for part in slices(batches, text):
+        for part in slices(batches, text, 2 << 20):
             values = part.column(text).to_pylist()
             own = np.concatenate([shingles(words(v), known)[0] for v in values])
             counts += np.bincount((own >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, idf, id: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sampler = _WordHashes(), Sampler(BANDS * ROWS)
         turn = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for part in slices(batches, text):
+        for part in slices(batches, text, 2 << 20):
             lists = [words(t) for t in part.column(text).to_pylist()]
             nodes = [hashlib.blake2b(b" ".join(x), digest_size=16).digest() if x else None for x in lists]
             pairs = [weighted(x, known, idf.value) for x in lists]
@@ -212,7 +212,7 @@ def _vectors(docs: DataFrame, picks: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for part in slices(batches, text):
+        for part in slices(batches, text, 2 << 20):
             pairs = [shingles(words(t), known) for t in part.column(text).to_pylist()]
             features, times = ([p[i].astype(k).tobytes() for p in pairs] for i, k in ((0, "<u8"), (1, "<u4")))
             yield pa.record_batch(
