@@ -57,7 +57,7 @@ def piece_starts(kind: np.ndarray, data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of UTF-8 texts; one per Python worker and file."""
 
-    CACHED_PIECES = 1_000_000
+    CACHED_PIECES = 400_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

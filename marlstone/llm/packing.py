@@ -76,7 +76,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None, id: str, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for part in slices(iter([batch]), text, 2 << 20):
+            for part in slices(iter([batch]), text, 1 << 20):
                 own = encode.ids([utf8(t) for t in part.column(text).to_pylist()])
                 if end_id is not None:
                     own = [np.append(x, np.uint32(end_id)) for x in own]

@@ -84,7 +84,7 @@ class TokenCounts:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = _counter(path)
-            for part in slices(batches, "text", 2 << 20):
+            for part in slices(batches, "text", 1 << 20):
                 found = count([utf8(t) for t in part.column("text").to_pylist()])
                 yield pa.record_batch([part.column("digest"), pa.array(found, pa.int64())], ["digest", "n_tokens"])
 
