@@ -354,6 +354,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert ((found.score >= 0) & (found.score <= 1)).all()
 
 
+@pytest.mark.parametrize("percent", [10, 40, 60])
+def test_toxicity_at_any_share_of_labels(spark, percent):
+    rng = random.Random(percent)
+    plain, marks = [f"w{i:03d}" for i in range(200)], ["badly", "worse", "awful"]
+    docs = [
+        (i, " ".join([*rng.choices(plain, k=30), *([rng.choice(marks)] * 2 if i % 100 < percent or i % 100 == 99 else [])]))
+        for i in range(1000)
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    # One clean document in a hundred has a mark too.
+    labels = frame.selectExpr("doc_id", f"int(doc_id % 100 < {percent}) as toxic")
+    index = toxicity.fit(frame, labels, train=F.col("doc_id") < 800)
+    score = {r.doc_id: r.toxicity for r in toxicity.toxicity(frame, index).where("doc_id >= 800").collect()}
+    assert all(score[i] >= 0.5 for i in score if i % 100 < percent)
+    assert all(score[i] < 0.5 for i in score if percent <= i % 100 < 99)
+
+
 def plain_lm(train, test):
     order = lm.ORDER
     contexts = {}
