@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -14,67 +15,86 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, utf8
 
-STEM = 5
+# A term weighs idf * (PLAIN + chi-squared / 10); a term that tells nothing about toxicity has a chi-squared of about 1.
+PLAIN = 0.2
 
 
-def stems(text: str | None) -> list[str]:
-    """The first five code points of each word, A-Z in lower case."""
-    plain = utf8(text).translate(WORD_BYTES).decode("utf-8", "surrogatepass")
-    return [w[:STEM] for w in plain.split()]
+def terms_of(text: str | None) -> list[str]:
+    """The words of a text, A-Z in lower case."""
+    return utf8(text).translate(WORD_BYTES).decode("utf-8", "surrogatepass").split()
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each begin on, as many as its size, one range after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
 
 
 @dataclass
 class ExampleIndex:
-    """Inverted index over the TF-IDF vectors of labelled examples.
+    """Inverted index over the weighted TF-IDF vectors of labelled examples.
 
     Examples with equal vectors are one entry with their summed votes. Entries
-    lie in blocks of ``BLOCK``; of each term the index has its postings by block
-    (the weights of the block's entries), and its largest weight in each block.
-    Words outside the vocabulary count as one common term, the last one.
+    lie in blocks of ``BLOCK``. Of each term the index has its postings, cut at
+    block borders, and its largest weight in each of its blocks; nothing is
+    stored where a term doesn't occur. Words outside ``terms`` count as one
+    common term, the last one, with the weight ``unseen`` for each of them.
     """
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray
     prior: float
     neighbours: int
+    unseen: float = 1.0
     entries: list[tuple] = field(default_factory=list)
     BLOCK = 64
     FIRST = 4
-    KNOWN = 20_000
-    REST = 0.05
+    KNOWN = 2_000
     SOFT = 0.05
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text; unit length."""
-        found = stems(text)
-        counts = Counter(map(self.terms.get, found))
+        """Term numbers and weights of a text; unit length, or empty for a text without words."""
         rest = len(self.terms)
-        counts.pop(None, None)
-        at = np.array(sorted(counts) + [rest], np.int64)
-        weights = np.array([counts[t] * self.idf[t] for t in at[:-1].tolist()] + [max(1, len(found)) * self.REST])
-        return at, weights / np.sqrt((weights**2).sum())
+        counts: Counter = Counter()
+        others = 0
+        for word, n in Counter(terms_of(text)).items():
+            if (t := self.terms.get(word)) is None:
+                others += n * n
+            else:
+                counts[t] = n
+        at = np.array(sorted(counts), np.int64)
+        values = np.array([counts[t] for t in at.tolist()], np.float64) * self.weights[at]
+        if others:
+            at, values = np.append(at, rest), np.append(values, self.unseen * np.sqrt(others))
+        return at, values / np.sqrt((values**2).sum()) if len(at) else values
 
     def build(self, examples: list[tuple]) -> ExampleIndex:
         """From (id, toxic, class weight, text)."""
         groups: dict[tuple, list] = {}
         for name, toxic, weight, text in examples:
             at, values = self.vector(text)
-            key = tuple(zip(at.tolist(), np.round(values, 9).tolist()))
+            key = at.tobytes(), np.round(values, 9).tobytes()
             group = groups.setdefault(key, [at, values, 0, 0.0, 0.0, []])
             group[2] += 1
             group[3] += weight * toxic
             group[4] += weight
             group[5].append((name, toxic))
         # Entries with the same leading term lie together, so that blocks differ in their maxima.
-        order = sorted(groups, key=lambda k: (max(k, key=lambda x: (x[0] != len(self.terms), x[1])), k))
-        self.entries = [(g[2], g[3], g[4], sorted(g[5])[:3]) for g in map(groups.get, order)]
-        # Postings in tiles: of each term, its weights in each block of entries.
-        blocks = max(1, -(-len(order) // self.BLOCK))
-        self.tiles = np.zeros((len(self.terms) + 1, blocks, self.BLOCK))
-        for entry, key in enumerate(order):
-            at, values = groups[key][0], groups[key][1]
-            self.tiles[at, entry // self.BLOCK, entry % self.BLOCK] = values
-        self.maxima = self.tiles.max(axis=2)
+        order = sorted(groups.values(), key=lambda g: (int(g[0][g[1].argmax()]) if len(g[0]) else -1, g[0].tolist(), g[1].tolist()))
+        self.entries = [(g[2], g[3], g[4], sorted(g[5])[:3]) for g in order]
+        self.blocks = max(1, -(-len(order) // self.BLOCK))
+        sizes = [len(g[0]) for g in order]
+        term = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in order)])
+        entry = np.repeat(np.arange(len(order)), sizes)
+        value = np.concatenate([np.zeros(0), *(g[1] for g in order)])
+        sort = np.argsort(term, kind="stable")
+        term, self.entry, self.value = term[sort], entry[sort].astype(np.int32), value[sort]
+        # Postings of a term in a block are a run; of each term, the first of its runs.
+        place = term * self.blocks + self.entry // self.BLOCK
+        run = np.flatnonzero(np.diff(place, prepend=-1))
+        self.run = np.append(run, len(place))
+        self.run_block = (place[run] % self.blocks).astype(np.int32)
+        self.run_max = np.maximum.reduceat(self.value, run) if len(run) else np.zeros(0)
+        self.first_run = np.searchsorted(term[run], np.arange(len(self.terms) + 2))
         self.votes = np.array([(e[0], e[1], e[2]) for e in self.entries], np.float64).reshape(-1, 3)
         self.known = {}
         return self
@@ -85,22 +105,31 @@ class ExampleIndex:
         The blocks with the highest bounds set a limit; then those whose bound
         reaches it are scored. No other block can hold a neighbour.
         """
-        bounds = values @ self.maxima[at]
+        sizes = self.first_run[at + 1] - self.first_run[at]
+        runs, weights = _ranges(self.first_run[at], sizes), np.repeat(values, sizes)
+        bounds = np.bincount(self.run_block[runs], weights * self.run_max[runs], self.blocks)
         first = np.argpartition(-bounds, self.FIRST)[: self.FIRST] if len(bounds) > self.FIRST else np.arange(len(bounds))
-        limit = self._kth(*self._scored(at, values, first))
-        found, near = self._scored(at, values, np.flatnonzero(bounds >= limit - 1e-9))
+        limit = self._kth(*self._scored(runs, weights, first))
+        found, near = self._scored(runs, weights, np.flatnonzero(bounds >= limit - 1e-9))
         limit = self._kth(found, near)
         best = near >= limit - 1e-9
         found, near = found[best], near[best]
         order = np.lexsort((found, -np.round(near, 9)))
         return found[order], near[order]
 
-    def _scored(self, at: np.ndarray, values: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All entries of some blocks and their cosines."""
-        scores = sum(v * self.tiles[t, blocks] for t, v in zip(at.tolist(), values.tolist()))
+    def _scored(self, runs: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All entries of some blocks and their cosines, from the runs of a text's terms."""
+        if len(blocks) < self.blocks:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            mine = wanted[self.run_block[runs]]
+            runs, weights = runs[mine], weights[mine]
+        sizes = self.run[runs + 1] - self.run[runs]
+        postings = _ranges(self.run[runs], sizes)
+        scores = np.bincount(self.entry[postings], np.repeat(weights, sizes) * self.value[postings], len(self.entries))
         entries = (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
-        real = entries < len(self.entries)
-        return entries[real], scores.ravel()[real]
+        entries = entries[entries < len(self.entries)]
+        return entries, scores[entries]
 
     def _kth(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Cosine of the last neighbour among these entries, each as many as its examples; -1 if they are too few."""
@@ -114,7 +143,7 @@ class ExampleIndex:
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         """Share of toxic votes weighted by nearness, smoothed by the prior, and the nearest examples."""
         at, values = self.vector(text)
-        key = at.tobytes(), values.tobytes()
+        key = hashlib.blake2b(at.tobytes() + values.tobytes(), digest_size=16).digest()
         if key in self.known:
             return self.known[key]
         entries, cosines = self._nearest(at, values)
@@ -131,8 +160,8 @@ class ExampleIndex:
         return result
 
 
-def _stem_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
-    """(stem, docs, toxic, clean): rows with the stem, and of these the labelled ones."""
+def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
+    """(term, docs, toxic, clean): rows with the term, and of these the labelled ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {None: Counter(), 1: Counter(), 0: Counter()}
@@ -140,20 +169,20 @@ def _stem_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
         def flush() -> pa.RecordBatch:
             names = list(set().union(*sums.values()))
             columns = [[sum(c[n] for c in sums.values()) for n in names], *([sums[k][n] for n in names] for k in (1, 0))]
-            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["stem", "docs", "toxic", "clean"])
+            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["term", "docs", "toxic", "clean"])
             for c in sums.values():
                 c.clear()
             return out
 
         for batch in batches:
             for value, toxic in zip(batch.column(text).to_pylist(), batch.column("toxic").to_pylist()):
-                sums[toxic].update(set(stems(value)))
+                sums[toxic].update(set(terms_of(value)))
                 if sum(map(len, sums.values())) > most:
                     yield flush()
         yield flush()
 
-    counted = docs.select(text, "toxic").mapInArrow(run, "stem string, docs long, toxic long, clean long")
-    return counted.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
+    counted = docs.select(text, "toxic").mapInArrow(run, "term string, docs long, toxic long, clean long")
+    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
 
 
 def fit(
@@ -161,7 +190,6 @@ def fit(
     labels: DataFrame,
     train: Column | None = None,
     max_examples: int = 4096,
-    max_terms: int = 512,
     neighbours: int = 15,
     id: str = "doc_id",
     text: str = "text",
@@ -173,12 +201,14 @@ def fit(
     of repeated ids the larger label holds). ``train`` is a condition on
     ``labels`` that says which rows may be learned from.
 
-    The vocabulary are the stems that set toxic training documents apart, by
-    the chi-squared test (at least 30, at least five documents; the
-    ``max_terms`` largest), counted over all labelled documents; inverse
-    document frequencies count all documents. Examples are a bounded sample:
-    per class the ``max_examples`` / 2 documents with the smallest hashed ids,
-    with votes in proportion to the size of their class.
+    Examples are a bounded sample: per class the ``max_examples`` / 2 documents
+    with the smallest hashed ids, with votes in proportion to the size of their
+    class. All their words are terms. A term weighs log(1 + N / d), d of all N
+    documents having it, times 0.2 plus a tenth of its chi-squared for toxic
+    against clean, over all labelled documents learned from: without the latter
+    the many words that tell nothing hide those that do. A word that no example
+    has matches nothing and counts in a text's length only, with the root mean
+    square weight of all such words over the corpus.
     """
     mine = labels.where(train) if train is not None else labels
     known = keep(
@@ -188,34 +218,35 @@ def fit(
     )
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     labelled = texts.join(broadcast_within(known, 300_000), "id", "left")
-    counts = keep(_stem_counts(labelled, "text"))
+    counts = keep(_term_counts(labelled, "text"))
     present = keep(texts.select("id").distinct().join(known, "id"))
     sizes = {r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
     n_toxic, n_clean, total = sizes.get(1, 0), sizes.get(0, 0), docs.count()
     both = n_toxic + n_clean
+    examples = []
+    for value, size in sizes.items():
+        own = present.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2)
+        taken = texts.join(F.broadcast(own), "id").toLocalIterator()
+        examples += [(r["id"], r["toxic"], size / min(size, max_examples // 2), r["text"]) for r in taken]
+    used = pa.table({"term": pa.array(sorted({w for e in examples for w in terms_of(e[3])}), pa.string())})
     seen = F.col("toxic") + F.col("clean")
     expected = seen * (n_toxic / max(both, 1))
     rest = seen - expected
     gap = F.col("toxic") - expected
-    chosen = (
-        counts.where((seen >= 5) & (gap > 0) & (expected > 0) & (rest > 0))
-        .withColumn("chi2", gap * gap / expected + gap * gap / rest)
-        .where(F.col("chi2") >= 30)
-        .orderBy(F.desc("chi2"), "stem")
-        .limit(max_terms)
-        .toPandas()
-    )
+    chi2 = F.when((expected > 0) & (rest > 0), gap * gap / expected + gap * gap / rest).otherwise(0.0)
+    weighed = counts.withColumn("weight", F.log1p(F.lit(float(total)) / F.col("docs")) * (PLAIN + chi2 / 10))
+    # Few and narrow: no more than the words of the examples.
+    terms = F.broadcast(docs.sparkSession.createDataFrame(used))
+    chosen = weighed.join(terms, "term").select("term", "weight").orderBy("term").toArrow()
+    others = weighed.join(terms, "term", "left_anti")
+    unseen = others.agg(F.sqrt(F.sum(F.col("docs") * F.col("weight") ** 2) / F.sum("docs"))).first()[0]
     index = ExampleIndex(
-        terms={s: i for i, s in enumerate(chosen["stem"])},
-        idf=np.log(1 + total / chosen["docs"].to_numpy(np.float64)),
+        terms={w: i for i, w in enumerate(chosen.column("term").to_pylist())},
+        weights=np.array(chosen.column("weight").to_pylist(), np.float64),
         prior=(n_toxic + 1) / (both + 10),
         neighbours=neighbours,
+        unseen=unseen or 1.0,
     )
-    examples = []
-    for value, size in sizes.items():
-        own = present.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2)
-        taken = texts.join(F.broadcast(own), "id").toLocalIterator()
-        examples += [(r["id"], r["toxic"], size / min(size, max_examples // 2), r["text"]) for r in taken]
     return index.build(sorted(examples, key=lambda e: (e[0], e[3] or "")))
 
 
@@ -223,13 +254,13 @@ def toxicity(docs: DataFrame, index: ExampleIndex, id: str = "doc_id", text: str
     """All columns of ``docs``, plus ``toxicity`` (0 to 1) and ``evidence``.
 
     The score is the share of toxic votes among the nearest examples by exact
-    TF-IDF cosine, all ties of the last one included, each weighted by
+    cosine of TF-IDF vectors, weighted as :func:`fit` says, all ties of the last one included, each weighted by
     1 / (0.05 + 1 - cosine), smoothed by the prior. ``evidence`` has up to three
     nearest examples (id, toxic, cosine). Blocks of examples whose bound stays
     below the last neighbour's cosine are not visited; the result is the same.
 
-    A null or empty text has the common term alone and is scored like any text
-    without words of the vocabulary. Without labels every score is the prior, a
+    A null or empty text is scored like any text that shares no word with an
+    example: all examples vote alike. Without labels every score is the prior, a
     tenth; a few labels cannot make every text toxic. Columns with the two new names are replaced. An empty table gives
     an empty table. The index, bounded by its parameters, goes to the tasks by
     broadcast; nothing is shuffled.

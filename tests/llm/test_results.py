@@ -371,6 +371,17 @@ def test_toxicity_at_any_share_of_labels(spark, percent):
     assert all(score[i] < 0.5 for i in score if percent <= i % 100 < 99)
 
 
+def test_toxicity_keeps_every_word_of_the_examples(spark):
+    # A thousand toxic words, each in four documents, with the first letters of clean ones.
+    docs = [(i, f"marks{i // 8 * 2 + i % 2:05d} filler") for i in range(8000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = frame.selectExpr("doc_id", "int(doc_id % 2) as toxic")
+    index = toxicity.fit(frame, labels, train=F.col("doc_id") % 8 < 6, max_examples=8000)
+    assert len(index.terms) == 2001
+    held = toxicity.toxicity(frame, index).where("doc_id % 8 >= 6").collect()
+    assert len(held) == 2000 and all((r.toxicity >= 0.5) == r.doc_id % 2 for r in held)
+
+
 def plain_lm(train, test):
     order = lm.ORDER
     contexts = {}
