@@ -202,8 +202,8 @@ def fit(
     ``labels`` that says which rows may be learned from.
 
     Examples are a bounded sample: per class the ``max_examples`` / 2 documents
-    with the smallest hashed ids, with votes in proportion to the size of their
-    class. All their words are terms. A term weighs log(1 + N / d), d of all N
+    with the smallest hashed ids, one row of each id, with votes in proportion
+    to the size of their class. All their words are terms. A term weighs log(1 + N / d), d of all N
     documents having it, times 0.2 plus a tenth of its chi-squared for toxic
     against clean, over all labelled documents learned from: without the latter
     the many words that tell nothing hide those that do. A word that no example
@@ -226,7 +226,9 @@ def fit(
     examples = []
     for value, size in sizes.items():
         own = present.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2)
-        taken = texts.join(F.broadcast(own), "id").toLocalIterator()
+        # One row of each id, so that a repeated id brings no more than its text with the smallest hash.
+        one = F.min(F.struct(F.xxhash64("text"), "text")).alias("one")
+        taken = texts.join(F.broadcast(own), "id").groupBy("id", "toxic").agg(one).select("id", "toxic", "one.text").toLocalIterator()
         examples += [(r["id"], r["toxic"], size / min(size, max_examples // 2), r["text"]) for r in taken]
     used = pa.table({"term": pa.array(sorted({w for e in examples for w in terms_of(e[3])}), pa.string())})
     seen = F.col("toxic") + F.col("clean")
