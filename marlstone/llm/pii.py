@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import keep, row_key, words
+from marlstone.llm.common import broadcast_within, keep, row_key, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -66,74 +66,116 @@ def _number(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int, min_chars: int):
-    """(entity, term, start, end) of the terms within ``reach`` terms of each base span.
+def free_terms(text: str, spans: list[tuple[int, int, int]], min_chars: int) -> list[tuple[int, int]]:
+    """(start, end) of the terms that touch no base span."""
+    begins, stops = [], []
+    for start, _, end in spans:
+        if stops and start <= stops[-1]:
+            stops[-1] = max(stops[-1], end)
+        else:
+            begins.append(start)
+            stops.append(end)
+    out = []
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        i = bisect_left(begins, e) - 1
+        if e - s >= min_chars and (i < 0 or stops[i] <= s):
+            out.append((s, e))
+    return out
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], reach: int | None, min_chars: int) -> list[tuple[list, list]]:
+    """(entities, terms) that occur together, each pair of them once: in the text, or within ``reach`` terms.
 
     Entities and terms are named by 64-bit hashes of their normal form.
     """
     if not spans:
         return []
-    out = []
-    terms = [(m.start(), m.end()) for m in _TERM.finditer(text)]
-    starts = [s for s, _ in terms]
-    from bisect import bisect_left
-
-    covered = set()
-    for start, _, end in spans:
-        covered.update(range(max(0, bisect_left(starts, start) - 1), bisect_left(starts, end)))
-    covered = {i for i in covered if any(terms[i][0] < e and s < terms[i][1] for s, _, e in _around(spans, terms[i]))}
+    named = []
     for start, kind, end in spans:
         value = text[start:end].lower() if kind == 0 else _digits(text[start:end]) if kind else text[start:end]
-        entity = _number(f"{kind}:{value}".encode())
+        named.append((_number(f"{kind}:{value}".encode()), start, end))
+    free = free_terms(text, spans, min_chars)
+    if reach is None:
+        return [(sorted({n[0] for n in named}), sorted({_number(w) for w in {words(text[s:e])[0] for s, e in free}}))]
+    starts = [m.start() for m in _TERM.finditer(text)]
+    free_at = dict(free)
+    found: dict[int, set] = {}
+    for entity, start, end in named:
         left, right = bisect_left(starts, start), bisect_left(starts, end)
-        for i in [*range(max(0, left - reach), left), *range(right, min(len(terms), right + reach))]:
-            s, e = terms[i]
-            if i not in covered and e - s >= min_chars:
-                term = words(text[s:e])
-                out.append((entity, _number(term[0]), s, e))
-    return out
+        for s in [*starts[max(0, left - reach) : left], *starts[right : right + reach]]:
+            if s in free_at:
+                found.setdefault(entity, set()).add(_number(words(text[s : free_at[s]])[0]))
+        found.setdefault(entity, set())
+    return [([entity], sorted(terms)) for entity, terms in found.items()]
 
 
-def _around(spans, term):
-    """Spans that may touch a term; spans are sorted by start but may overlap."""
-    from bisect import bisect_left
+def _scan(docs: DataFrame, text: str, reach: int | None, min_chars: int) -> DataFrame:
+    """(entities, terms): a row for each part of a text in which all of them occur together."""
+    longs = pa.list_(pa.int64())
 
-    stop = bisect_left(spans, (term[1],))
-    return spans[max(0, stop - 8) : stop]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [c for t in batch.column(text).to_pylist() for c in contexts(t or "", base_spans(t or ""), reach, min_chars)]
+            yield pa.record_batch([pa.array([c[i] for c in found], longs) for i in (0, 1)], ["entities", "terms"])
 
+    return docs.select(text).mapInArrow(run, "entities array<long>, terms array<long>")
 
-def _scan(docs: DataFrame, id: str, text: str, reach: int, min_chars: int) -> DataFrame:
+
+def _mark(docs: DataFrame, terms: DataFrame, id: str, text: str, min_chars: int, most: int) -> DataFrame:
+    """(id, k1, k2, spans): base spans, and every occurrence of ``terms`` outside of them.
+
+    Up to ``most`` terms go to the tasks by broadcast; more meet the words of the
+    texts in a join, and come back as a list for each text.
+    """
     kind = docs.schema[id].dataType
     span = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("stop", pa.int32())])
-    context = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-    schema = pa.schema(
-        [(id, to_arrow_type(kind)), ("k1", pa.int64()), ("k2", pa.int64()), ("uid", pa.string())]
-        + [("spans", pa.list_(span)), ("contexts", pa.list_(context))]
-    )
+    k1, k2 = row_key(F.col(id), F.col(text))
+    texts = docs.select(id, text, k1.alias("k1"), k2.alias("k2"))
+    shared = None
+    if terms.limit(most + 1).count() <= most:
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow().column("term").to_pylist()))
+        texts = texts.withColumn("own", F.lit(None).cast("array<long>"))
+    else:
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [sorted({_number(w) for w in set(words(t))}) for t in batch.column(text).to_pylist()]
+                yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(own, pa.list_(pa.int64()))], ["k1", "k2", "own"])
+
+        each = texts.select(text, "k1", "k2").mapInArrow(split, "k1 long, k2 long, own array<long>")
+        each = each.select("k1", "k2", F.explode("own").alias("term")).join(terms, "term", "left_semi")
+        texts = texts.join(each.groupBy("k1", "k2").agg(F.collect_set("term").alias("own")), ["k1", "k2"], "left")
+        texts = texts.select(id, text, "k1", "k2", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, done = os.urandom(8).hex(), 0
+        known: dict[bytes, int] = {}
         for batch in batches:
-            spans, around = [], []
-            for t in batch.column(text).to_pylist():
-                own = base_spans(t or "")
-                spans.append([{"start": s, "rank": k, "stop": e} for s, k, e in own])
-                around.append(
-                    [dict(zip(("entity", "term", "start", "stop"), c)) for c in contexts(t or "", own, reach, min_chars)]
-                )
-            names = [f"{task}-{done + i}" for i in range(len(spans))]
-            done += len(spans)
+            out = []
+            for t, own in zip(batch.column(text).to_pylist(), batch.column("own").to_pylist()):
+                t = t or ""
+                wanted = shared.value if shared is not None else frozenset(own or ())
+                spans = base_spans(t)
+                if wanted:
+                    marked = set()
+                    for w in set(words(t)):
+                        if (n := known.get(w)) is None:
+                            if len(known) > 200_000:
+                                known.clear()
+                            n = known[w] = _number(w)
+                        if n in wanted:
+                            marked.add(w)
+                    if marked:
+                        extra = [(s, KINDS.index("term"), e) for s, e in free_terms(t, spans, min_chars) if words(t[s:e])[0] in marked]
+                        spans = sorted(spans + extra)
+                out.append([{"start": s, "rank": k, "stop": e} for s, k, e in spans])
             yield pa.record_batch(
-                [batch.column(id), batch.column("k1"), batch.column("k2"), pa.array(names)]
-                + [pa.array(spans, schema.field("spans").type), pa.array(around, schema.field("contexts").type)],
-                schema=schema,
+                [batch.column(id), batch.column("k1"), batch.column("k2"), pa.array(out, pa.list_(span))],
+                [id, "k1", "k2", "spans"],
             )
 
-    k1, k2 = row_key(F.col(id), F.col(text))
-    return docs.select(id, text, k1.alias("k1"), k2.alias("k2")).mapInArrow(
-        run,
-        f"`{id}` {kind.simpleString()}, k1 long, k2 long, uid string, spans array<struct<start:int,rank:int,stop:int>>,"
-        " contexts array<struct<entity:long,term:long,start:int,stop:int>>",
+    return texts.mapInArrow(
+        run, f"`{id}` {kind.simpleString()}, k1 long, k2 long, spans array<struct<start:int,rank:int,stop:int>>"
     )
 
 
@@ -164,62 +206,56 @@ def document_frequencies(docs: DataFrame, text: str, most: int = 500_000) -> Dat
 
 def find_disclosures(
     docs: DataFrame,
-    reach: int = 10,
+    reach: int | None = None,
     threshold: float = 0.8,
     support: int = 2,
     min_chars: int = 3,
     id: str = "doc_id",
     text: str = "text",
+    most_terms: int = 1_000_000,
 ) -> DataFrame:
     """Of each row: its id, ``spans`` (array of start, rank, stop; by start, then rank) and a row key (k1, k2).
 
     Ranks 0 to 3 are e-mail addresses, IP addresses, card and phone numbers, the
     protected entities; rank 4 are terms that disclose one. With N documents of
-    which d(e), d(t) and d(e, t) hold an entity, a term, and the term within
-    ``reach`` terms of the entity, the term tells log(d(e, t) N / (d(e) d(t)))
-    of the entity's information log(N / d(e)). A term counts as disclosing near
-    an entity if it tells at least the share ``threshold`` of it, in at least
-    ``support`` documents. Terms are words of ``min_chars`` code points or more.
-    Positions are code points, ends exclusive.
+    which d(e), d(t) and d(e, t) hold an entity, a term, and both, the term tells
+    log(d(e, t) N / (d(e) d(t))) of the entity's information log(N / d(e)). A term
+    discloses an entity if it tells at least the share ``threshold`` of it, in at
+    least ``support`` documents; then all its occurrences in all documents are
+    spans, whether the entity is there or not, but for those inside a protected
+    entity. With ``reach`` given, d(e, t) counts only documents with the term
+    within that many terms of the entity. Terms are words of ``min_chars`` code
+    points or more. Positions are code points, ends exclusive.
 
     A null text is an empty one, without spans. Null and repeated ids get a row
     each, an empty table none. Other columns are ignored.
 
-    The scan writes spans and the terms around them to a table in the shared
-    folder; each entity brings at most 2 ``reach`` terms. Frequencies are summed
-    in the tasks before they are shuffled. Joins are on (entity, term) hashes
-    with narrow rows, which adaptive execution splits where one is hot.
+    The scan writes the distinct entities and terms of texts with entities to a
+    table in the shared folder. Entities in fewer than ``support`` documents
+    have no pair and are left out before pairs are made; pairs and frequencies are
+    summed in the tasks before they are shuffled. A second pass over the texts
+    marks; it gets up to ``most_terms`` terms by broadcast, more by a join.
     """
-    rows = keep(_scan(docs, id, text, reach, min_chars))
-    near = rows.where(F.size("contexts") > 0).select("uid", F.explode("contexts").alias("c")).select("uid", "c.*")
+    rows = keep(_scan(docs, text, reach, min_chars))
+    each = rows.select(F.explode("entities").alias("entity"), "terms")
+    entities = keep(each.groupBy("entity").agg(F.count("*").alias("own")).where(F.col("own") >= support))
     pairs = (
-        near.select("uid", "entity", "term")
-        .distinct()
+        each.join(broadcast_within(entities, 300_000), "entity")
+        .select("entity", "own", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("both"))
+        .agg(F.count("*").alias("both"), F.first("own").alias("own"))
         .where(F.col("both") >= support)
     )
-    entities = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("own"))
-    candidates = keep(pairs.join(entities, "entity"))
-    terms = document_frequencies(docs, text).join(candidates.select("term").distinct(), "term")
-    total = rows.count()
-    information = F.log(F.lit(float(max(total, 1))) / F.col("own"))
-    told = F.log(F.col("both") * float(max(total, 1)) / (F.col("own") * F.col("docs")))
-    disclosing = (
-        candidates.join(terms, "term").where((information > 0) & (told >= threshold * information)).select("entity", "term")
-    )
-    extra = (
-        near.join(disclosing, ["entity", "term"])
-        .groupBy("uid")
-        .agg(
-            F.collect_set(
-                F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "stop")
-            ).alias("extra")
-        )
+    total = float(max(docs.count(), 1))
+    information = F.log(F.lit(total) / F.col("own"))
+    told = F.log(F.col("both") * total / (F.col("own") * F.col("docs")))
+    disclosing = keep(
+        pairs.join(document_frequencies(docs, text), "term")
+        .where((information > 0) & (told >= threshold * information))
+        .select("term")
+        .distinct()
     )
-    joined = rows.select(id, "k1", "k2", "uid", "spans").join(extra, "uid", "left")
-    every = F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.concat("spans", "extra"))
-    return joined.select(id, "k1", "k2", F.sort_array(every).alias("spans"))
+    return _mark(docs, disclosing, id, text, min_chars, most_terms)
 
 
 def sanitise(docs: DataFrame, how: str = "generalise", id: str = "doc_id", text: str = "text", **options) -> DataFrame:

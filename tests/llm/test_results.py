@@ -280,6 +280,17 @@ def test_disclosing_terms(spark):
     assert 1 - math.log(53 / 3) / math.log(53 / 3) < 0.8
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_disclosing_terms_are_marked_everywhere(spark, most):
+    filler = " ".join(["some common words"] * 10)
+    docs = [(i, f"Zanzibar {filler} q.zan@mail.example {filler} Zanzibar") for i in range(3)]
+    docs += [(3, f"{filler} and zanzibar alone"), *((i, f"{filler} number {i}") for i in range(10, 100))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame, most_terms=most).collect()}
+    for i, text in docs:
+        assert clean[i] == re.sub("(?i)zanzibar", "[TERM]", text).replace("q.zan@mail.example", "[EMAIL]")
+
+
 def plain_contamination(docs, items, size=10):
     def split(text):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(ASCII))
