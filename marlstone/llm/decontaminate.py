@@ -127,16 +127,33 @@ def phrase_starts(window: np.ndarray, postings: list[np.ndarray], counts: np.nda
 
 
 def near_positions(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, reach: int) -> np.ndarray:
-    """Positions of the rarest term that have every other term within ``reach`` words, in any order."""
-    order = np.argsort(counts[window], kind="stable")
-    found = postings[window[order[0]]]
-    for j in order[1:]:
+    """First positions of the places of at most 2 ``reach`` + 1 words that have every term of the window, in any order.
+
+    Counts only say which terms to look at first.
+    """
+    width = 2 * reach
+    own = np.unique(window)
+    own = own[np.argsort(counts[own], kind="stable")]
+    found = postings[own[0]]
+    for t in own[1:]:
         if not len(found):
-            break
-        other = postings[window[j]]
-        at = np.searchsorted(other, found - reach)
-        found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= found + reach)]
-    return found
+            return found
+        other = postings[t]
+        at = np.searchsorted(other, found - width)
+        found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= found + width)]
+    # A place begins with one of the terms, at or before the rarest one in it.
+    firsts = []
+    for t in own:
+        low, high = np.searchsorted(postings[t], found - width), np.searchsorted(postings[t], found, "right")
+        low[1:] = np.maximum(low[1:], high[:-1])
+        sizes = np.maximum(high - low, 0)
+        firsts.append(postings[t][np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)])
+    firsts = np.unique(np.concatenate(firsts))
+    for t in own:
+        other = postings[t]
+        at = np.searchsorted(other, firsts)
+        firsts = firsts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= firsts + width)]
+    return firsts
 
 
 def search_segment(row: dict, phrases: Phrases, near: int | None) -> tuple[dict, dict, dict]:
@@ -192,9 +209,10 @@ def contamination(
     shorter item. ``items`` are those with a window that stands in the document
     word for word (a set, as an array); ``hits`` are the ranges of words inside
     such places, from start up to stop, and ``n_hit`` counts these words.
-    With ``near`` given, ``near_items`` are those with a window whose rarest
-    term (in the segment) has every other one within ``near`` words, in any
-    order; else it is null.
+    With ``near`` given, ``near_items`` are those with a window all of whose
+    terms stand in one place of at most 2 ``near`` + 1 words, that is within
+    ``near`` words of its middle, in any order, whatever else is in the table;
+    else it is null.
 
     Null texts and items have no words; items without words never match.
     Repeated items count by their id, null ids of items are left out of the
@@ -207,7 +225,7 @@ def contamination(
     of text (or one item); each block is a pass over the index, and the
     passes' rows are merged by document.
     """
-    gap = window + (near or 0) + 1
+    gap = window + 2 * (near or 0) + 1
     index = keep(build_index(docs, gap, id, text, segment_words))
     kind, item_kind = docs.schema[id].dataType, tests.schema[item].dataType
     names = tests.select(F.col(item).alias("item"), F.col(item_text).alias("text"))

@@ -331,6 +331,27 @@ def test_proximity(spark):
     assert got == {1: ([], [7]), 2: ([], [7]), 3: ([], [])}
 
 
+@pytest.mark.parametrize("common", ["alpha", "beta", "gamma"])
+def test_proximity_does_not_hang_on_other_documents(spark, common):
+    far = " ".join(["x"] * 14)
+    docs = [(1, f"beta {far} alpha {far} gamma"), (2, f"beta {far} alpha {far} {far} gamma"), (3, f"{common} " * 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
+    for words_ in (1, 1 << 21):
+        got = decontaminate.contamination(frame, items, near=20, segment_words=words_).collect()
+        assert {r.doc_id: r.near_items for r in got} == {1: [7], 2: [], 3: []}
+
+
+def test_near_positions_are_those_of_a_plain_loop():
+    rng = random.Random(6)
+    for _ in range(300):
+        text, reach = [rng.randrange(12) for _ in range(80)], rng.randrange(1, 8)
+        postings = [np.array([i for i, t in enumerate(text) if t == k], np.int64) for k in range(12)]
+        window = np.array([rng.choice(text) for _ in range(4)])
+        want = [i for i, t in enumerate(text) if t in window and set(window.tolist()) <= set(text[i : i + 2 * reach + 1])]
+        assert decontaminate.near_positions(window, postings, np.array(list(map(len, postings))), reach).tolist() == want
+
+
 def test_block_bounds_lose_no_neighbour():
     rng = random.Random(8)
     vocabulary = [f"word{i}"[:5] + str(i) for i in range(40)]
