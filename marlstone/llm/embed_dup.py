@@ -414,8 +414,9 @@ def _rim_links(nodes, rim, own, balls, threshold: float, window: int) -> DataFra
         return _found(a, [None] * (len(i) + len(j)) + [root] * len(i), [*n[i].tolist(), *back[j].tolist(), *[0] * len(i)])
 
     keys = ["ball", "xs", "ys"]
-    left = outer.join(vectors, "node").groupBy(*keys)
-    return left.cogroup(inner.join(vectors, "node").groupBy(*keys)).applyInArrow(run, _FOUND)
+    left, right = outer.join(vectors, "node"), inner.join(vectors, "node")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # tables of both sides are the same
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND)
 
 
 def near_vectors(
