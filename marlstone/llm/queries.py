@@ -23,7 +23,7 @@ from marlstone.llm import (
     warc,
     whitening,
 )
-from marlstone.llm.common import SPACES, UPPER, shared_dir
+from marlstone.llm.common import SPACES, UPPER, keep, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,7 +158,8 @@ def remainder(id: str, by: int):
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     index = toxicity.fit(docs, table(spark, folder, "labels"), train=remainder("doc_id", 5) != 0)
-    scored = toxicity.toxicity(docs, index)
+    scored = keep(toxicity.toxicity(docs, index).select("doc_id", "toxicity"))
+    index.release()
     return scored.select(
         "doc_id",
         F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, utf8
+from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, slices, utf8
 
 # A term weighs idf * (PLAIN + chi-squared / 10); a term that tells nothing about toxicity has a chi-squared of about 1.
 PLAIN = 0.2
@@ -53,25 +56,31 @@ class ExampleIndex:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text; unit length, or empty for a text without words."""
-        rest = len(self.terms)
-        counts: Counter = Counter()
-        others = 0
-        for word, n in Counter(terms_of(text)).items():
-            if (t := self.terms.get(word)) is None:
-                others += n * n
-            else:
-                counts[t] = n
-        at = np.array(sorted(counts), np.int64)
-        values = np.array([counts[t] for t in at.tolist()], np.float64) * self.weights[at]
+        counts = Counter(terms_of(text))
+        return self.vector_of(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
+
+    def vector_of(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from distinct words and how often each occurs."""
+        get, rest = self.terms.get, len(self.terms)
+        at = np.fromiter((get(w, rest) for w in words), np.int64, len(words))
+        own = at < rest
+        others = int(np.square(times[~own]).sum())
+        at, times = at[own], times[own]
+        order = np.argsort(at)
+        at = at[order]
+        values = times[order] * self.weights[at]
         if others:
             at, values = np.append(at, rest), np.append(values, self.unseen * np.sqrt(others))
         return at, values / np.sqrt((values**2).sum()) if len(at) else values
 
     def build(self, examples: list[tuple]) -> ExampleIndex:
         """From (id, toxic, class weight, text)."""
+        return self.build_of([(*e[:3], *self.vector(e[3])) for e in examples])
+
+    def build_of(self, examples: list[tuple]) -> ExampleIndex:
+        """From (id, toxic, class weight, term numbers, weights)."""
         groups: dict[tuple, list] = {}
-        for name, toxic, weight, text in examples:
-            at, values = self.vector(text)
+        for name, toxic, weight, at, values in examples:
             key = at.tobytes(), np.round(values, 9).tobytes()
             group = groups.setdefault(key, [at, values, 0, 0.0, 0.0, []])
             group[2] += 1
@@ -142,6 +151,9 @@ class ExampleIndex:
 
     def score(self, text: str | None) -> tuple[float, list[tuple]]:
         """Share of toxic votes weighted by nearness, smoothed by the prior, and the nearest examples."""
+        said = hashlib.blake2b(utf8(text), digest_size=16).digest()
+        if said in self.known:
+            return self.known[said]
         at, values = self.vector(text)
         key = hashlib.blake2b(at.tobytes() + values.tobytes(), digest_size=16).digest()
         if key in self.known:
@@ -155,13 +167,34 @@ class ExampleIndex:
         # Neighbours that aren't there vote as the prior does, from nearby.
         unsure = 2 + max(0, self.neighbours - self.votes[entries, 0].sum()) / self.SOFT
         result = float((toxic + unsure * self.prior) / (every + unsure)), evidence[:3]
-        if len(self.known) < self.KNOWN:
-            self.known[key] = result
+        if len(self.known) >= self.KNOWN:
+            self.known.clear()
+        self.known[said] = self.known[key] = result
         return result
 
 
+@dataclass
+class FittedIndex:
+    """An :class:`ExampleIndex` as tasks get it: bytes in a broadcast, which :meth:`release` gives back."""
+
+    shared: Broadcast
+
+    def load(self) -> ExampleIndex:
+        state = pickle.loads(self.shared.value)
+        index = ExampleIndex(state["terms"], state["weights"], state["prior"], state["neighbours"])
+        vars(index).update(state)
+        return index
+
+    @property
+    def terms(self) -> dict[str, int]:
+        return self.load().terms
+
+    def release(self) -> None:
+        self.shared.destroy()
+
+
 def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
-    """(term, docs, toxic, clean): rows with the term, and of these the labelled ones."""
+    """(term, docs, toxic, clean), several rows a term: documents with the term, and of these the labelled ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {None: Counter(), 1: Counter(), 0: Counter()}
@@ -181,8 +214,43 @@ def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counted = docs.select(text, "toxic").mapInArrow(run, "term string, docs long, toxic long, clean long")
-    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
+    return docs.select(text, "toxic").mapInArrow(run, "term string, docs long, toxic long, clean long")
+
+
+def _bags(examples: DataFrame) -> DataFrame:
+    """Examples (id, toxic, share, text) with their distinct words and how often each occurs, in place of the text."""
+    kind = examples.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            bags = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
+            columns = [batch.column(c) for c in ("id", "toxic", "share")]
+            words, times = pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))
+            yield pa.record_batch([*columns, words, times], ["id", "toxic", "share", "words", "times"])
+
+    return examples.mapInArrow(
+        run, f"id {kind.simpleString()}, toxic int, share double, words array<string>, times array<long>"
+    )
+
+
+def _built(bags: DataFrame, chosen: DataFrame, **settings) -> DataFrame:
+    """One row, the pickled index: a task gets the bounded examples and their terms, which are no more than their words."""
+
+    def run(examples: pa.Table, terms: pa.Table) -> pa.Table:
+        order = pc.sort_indices(terms, [("term", "ascending")])
+        terms = terms.take(order)
+        index = ExampleIndex(
+            terms={w: i for i, w in enumerate(terms.column("term").to_pylist())},
+            weights=np.array(terms.column("weight").to_pylist(), np.float64),
+            **settings,
+        )
+        columns = [examples.column(c).to_pylist() for c in ("id", "toxic", "share", "words", "times")]
+        rows = sorted(zip(*columns), key=lambda r: (r[0], r[3]))
+        index.build_of([(*r[:3], *index.vector_of(r[3], np.array(r[4], np.int64))) for r in rows])
+        return pa.table({"data": pa.array([pickle.dumps(vars(index), protocol=5)], pa.binary())})
+
+    one = lambda frame: frame.withColumn("all", F.lit(0)).groupBy("all")
+    return one(bags).cogroup(one(chosen)).applyInArrow(run, "data binary")
 
 
 def fit(
@@ -194,7 +262,7 @@ def fit(
     id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-) -> ExampleIndex:
+) -> FittedIndex:
     """Index of labelled examples.
 
     ``labels`` has ``id`` and ``label`` (0 or 1; others and nulls are no label;
@@ -217,42 +285,44 @@ def fit(
         .agg(F.max(label).cast("int").alias("toxic"))
     )
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    labelled = texts.join(broadcast_within(known, 300_000), "id", "left")
-    counts = keep(_term_counts(labelled, "text"))
     present = keep(texts.select("id").distinct().join(known, "id"))
-    sizes = {r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count("*").alias("n")).toLocalIterator()}
+    sizes = {r["toxic"]: r["n"] for r in present.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean, total = sizes.get(1, 0), sizes.get(0, 0), docs.count()
-    both = n_toxic + n_clean
-    examples = []
-    for value, size in sizes.items():
-        own = present.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(max_examples // 2)
+    both, most = n_toxic + n_clean, max_examples // 2
+    bags = None
+    for value, size in sorted(sizes.items()):
+        own = present.where(F.col("toxic") == value).orderBy(F.xxhash64("id"), "id").limit(most)
         # One row of each id, so that a repeated id brings no more than its text with the smallest hash.
         one = F.min(F.struct(F.xxhash64("text"), "text")).alias("one")
-        taken = texts.join(F.broadcast(own), "id").groupBy("id", "toxic").agg(one).select("id", "toxic", "one.text").toLocalIterator()
-        examples += [(r["id"], r["toxic"], size / min(size, max_examples // 2), r["text"]) for r in taken]
-    used = pa.table({"term": pa.array(sorted({w for e in examples for w in terms_of(e[3])}), pa.string())})
+        taken = texts.join(F.broadcast(own), "id").groupBy("id", "toxic").agg(one)
+        taken = taken.select("id", "toxic", F.lit(size / min(size, most)).alias("share"), "one.text")
+        bags = taken if bags is None else bags.unionByName(taken)
+    if bags is None:
+        bags = texts.limit(0).select("id", F.lit(0).alias("toxic"), F.lit(0.0).alias("share"), "text")
+    bags = keep(_bags(bags))
+    labelled = texts.join(broadcast_within(known, 300_000), "id", "left")
+    none = F.lit(0).cast("long")
+    used = bags.select(F.explode("words").alias("term")).distinct()
+    used = used.select("term", *[none.alias(c) for c in ("docs", "toxic", "clean")], F.lit(True).alias("used"))
+    counts = _term_counts(labelled, "text").withColumn("used", F.lit(False)).unionByName(used)
+    counts = keep(
+        counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")], F.max("used").alias("used"))
+    )
     seen = F.col("toxic") + F.col("clean")
     expected = seen * (n_toxic / max(both, 1))
     rest = seen - expected
     gap = F.col("toxic") - expected
     chi2 = F.when((expected > 0) & (rest > 0), gap * gap / expected + gap * gap / rest).otherwise(0.0)
     weighed = counts.withColumn("weight", F.log1p(F.lit(float(total)) / F.col("docs")) * (PLAIN + chi2 / 10))
-    # Few and narrow: no more than the words of the examples.
-    terms = F.broadcast(docs.sparkSession.createDataFrame(used))
-    chosen = weighed.join(terms, "term").select("term", "weight").orderBy("term").toArrow()
-    others = weighed.join(terms, "term", "left_anti")
+    others = weighed.where(~F.col("used"))
     unseen = others.agg(F.sqrt(F.sum(F.col("docs") * F.col("weight") ** 2) / F.sum("docs"))).first()[0]
-    index = ExampleIndex(
-        terms={w: i for i, w in enumerate(chosen.column("term").to_pylist())},
-        weights=np.array(chosen.column("weight").to_pylist(), np.float64),
-        prior=(n_toxic + 1) / (both + 10),
-        neighbours=neighbours,
-        unseen=unseen or 1.0,
-    )
-    return index.build(sorted(examples, key=lambda e: (e[0], e[3] or "")))
+    settings = {"prior": (n_toxic + 1) / (both + 10), "neighbours": neighbours, "unseen": unseen or 1.0}
+    row = _built(bags, weighed.where("used").select("term", "weight"), **settings).first()
+    data = bytes(row["data"]) if row else pickle.dumps(vars(ExampleIndex({}, np.zeros(0), **settings).build([])))
+    return FittedIndex(docs.sparkSession.sparkContext.broadcast(data))
 
 
-def toxicity(docs: DataFrame, index: ExampleIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, index: FittedIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs``, plus ``toxicity`` (0 to 1) and ``evidence``.
 
     The score is the share of toxic votes among the nearest examples by exact
@@ -267,7 +337,6 @@ def toxicity(docs: DataFrame, index: ExampleIndex, id: str = "doc_id", text: str
     an empty table. The index, bounded by its parameters, goes to the tasks by
     broadcast; nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
     kept = [f for f in docs.schema.fields if f.name not in ("toxicity", "evidence")]
     name_type = docs.schema[id].dataType
     evidence = pa.list_(
@@ -275,8 +344,9 @@ def toxicity(docs: DataFrame, index: ExampleIndex, id: str = "doc_id", text: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.load()
         for batch in batches:
-            found = [shared.value.score(t) for t in batch.column(text).to_pylist()]
+            found = [own.score(t) for t in batch.column(text).to_pylist()]
             shown = [[{"example": e, "toxic": t, "cosine": c} for e, t, c in near] for _, near in found]
             columns = [batch.column(f.name) for f in kept]
             yield pa.record_batch(

@@ -418,7 +418,7 @@ def test_examples_are_bounded_by_rows(spark):
     docs = [(i % 50 if i < 100 else 7, f"text {i}") for i in range(2000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.range(50).selectExpr("id as doc_id", "int(id % 2) as toxic")
-    index = toxicity.fit(frame, labels, max_examples=40)
+    index = toxicity.fit(frame, labels, max_examples=40).load()
     assert sum(e[0] for e in index.entries) == 40
     assert abs(sum(e[2] for e in index.entries) - 50) < 1e-9
 
