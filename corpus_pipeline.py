@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(docs.select("doc_id", "text"), index).where("toxicity >= 0.5")
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     toxic = keep(scored.select(k1.alias("k1"), k2.alias("k2")).distinct())
+    index.release()
     return _without(docs, toxic)
 
 
