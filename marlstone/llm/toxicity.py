@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -11,12 +12,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, slices, utf8
+from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, shared_dir, slices, utf8
 
 # A term weighs idf * (PLAIN + chi-squared / 10); a term that tells nothing about toxicity has a chi-squared of about 1.
 PLAIN = 0.2
@@ -173,14 +173,19 @@ class ExampleIndex:
         return result
 
 
-@dataclass
+@dataclass(frozen=True)
 class FittedIndex:
-    """An :class:`ExampleIndex` as tasks get it: bytes in a broadcast, which :meth:`release` gives back."""
+    """An :class:`ExampleIndex` in the shared folder. Tasks read it from there; it never passes the driver."""
 
-    shared: Broadcast
+    path: str
 
     def load(self) -> ExampleIndex:
-        state = pickle.loads(self.shared.value)
+        from pyarrow.dataset import dataset
+        from pyarrow.fs import FileSystem
+
+        system, place = FileSystem.from_uri(self.path)
+        data = dataset(place, filesystem=system, format="parquet").to_table().column("data")[0].as_buffer()
+        state = pickle.loads(data)
         index = ExampleIndex(state["terms"], state["weights"], state["prior"], state["neighbours"])
         vars(index).update(state)
         return index
@@ -190,7 +195,11 @@ class FittedIndex:
         return self.load().terms
 
     def release(self) -> None:
-        self.shared.destroy()
+        """Delete the files, when all that used them is written."""
+        from pyarrow.fs import FileSystem
+
+        system, place = FileSystem.from_uri(self.path)
+        system.delete_dir(place)
 
 
 def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
@@ -317,9 +326,13 @@ def fit(
     others = weighed.where(~F.col("used"))
     unseen = others.agg(F.sqrt(F.sum(F.col("docs") * F.col("weight") ** 2) / F.sum("docs"))).first()[0]
     settings = {"prior": (n_toxic + 1) / (both + 10), "neighbours": neighbours, "unseen": unseen or 1.0}
-    row = _built(bags, weighed.where("used").select("term", "weight"), **settings).first()
-    data = bytes(row["data"]) if row else pickle.dumps(vars(ExampleIndex({}, np.zeros(0), **settings).build([])))
-    return FittedIndex(docs.sparkSession.sparkContext.broadcast(data))
+    path = f"{shared_dir(docs.sparkSession)}/examples-{os.urandom(8).hex()}"
+    if n_toxic + n_clean:
+        keep(_built(bags, weighed.where("used").select("term", "weight"), **settings), path)
+    else:
+        data = pickle.dumps(vars(ExampleIndex({}, np.zeros(0), **settings).build([])))
+        keep(docs.sparkSession.createDataFrame([(data,)], "data binary"), path)
+    return FittedIndex(path)
 
 
 def toxicity(docs: DataFrame, index: FittedIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,8 +347,8 @@ def toxicity(docs: DataFrame, index: FittedIndex, id: str = "doc_id", text: str
     A null or empty text is scored like any text that shares no word with an
     example: all examples vote alike. Without labels every score is the prior, a
     tenth; a few labels cannot make every text toxic. Columns with the two new names are replaced. An empty table gives
-    an empty table. The index, bounded by its parameters, goes to the tasks by
-    broadcast; nothing is shuffled.
+    an empty table. Tasks read the index, bounded by its parameters, from the
+    shared folder; nothing is shuffled.
     """
     kept = [f for f in docs.schema.fields if f.name not in ("toxicity", "evidence")]
     name_type = docs.schema[id].dataType
