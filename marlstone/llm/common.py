@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Iterator
 
@@ -53,6 +55,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that Python, Arrow and the C library hold for later use.
+
+    Spark hands a worker on to the next stages; what a stage took would stay
+    with it while others need the executor's memory.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def broadcast_within(frame: DataFrame, rows: int) -> DataFrame:
     """``frame`` with a broadcast hint if it has at most ``rows`` rows, else with a shuffle hint.
 

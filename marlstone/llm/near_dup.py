@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import broadcast_within, keep, row_key, slices, words
+from marlstone.llm.common import broadcast_within, give_back, keep, row_key, slices, words
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 12, 4, 0.8
 # Documents are counted per shingle in a fixed number of slots.
@@ -176,6 +176,8 @@ def signatures(docs: DataFrame, idf, id: str, text: str) -> DataFrame:
             yield pa.record_batch(
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
             )
+        del known
+        give_back()
 
     k1, k2 = row_key(F.col(id), F.col(text))
     return docs.select(F.col(id).alias("id"), F.col(text).alias(text), k1.alias("k1"), k2.alias("k2")).mapInArrow(
@@ -219,6 +221,8 @@ def _vectors(docs: DataFrame, picks: DataFrame, text: str) -> DataFrame:
                 [part.column("node"), pa.array(features, pa.binary()), pa.array(times, pa.binary())],
                 ["node", "features", "times"],
             )
+        del known
+        give_back()
 
     return docs.join(picks, ["k1", "k2"]).select("node", text).mapInArrow(
         run, "node binary, features binary, times binary"

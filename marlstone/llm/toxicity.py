@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import WORD_BYTES, broadcast_within, keep, shared_dir, slices, utf8
+from marlstone.llm.common import WORD_BYTES, broadcast_within, give_back, keep, shared_dir, slices, utf8
 
 # A term weighs idf * (PLAIN + chi-squared / 10); a term that tells nothing about toxicity has a chi-squared of about 1.
 PLAIN = 0.2
@@ -184,8 +184,8 @@ class FittedIndex:
         from pyarrow.fs import FileSystem
 
         system, place = FileSystem.from_uri(self.path)
-        data = dataset(place, filesystem=system, format="parquet").to_table().column("data")[0].as_buffer()
-        state = pickle.loads(data)
+        state = pickle.loads(dataset(place, filesystem=system, format="parquet").to_table().column("data")[0].as_buffer())
+        give_back()
         index = ExampleIndex(state["terms"], state["weights"], state["prior"], state["neighbours"])
         vars(index).update(state)
         return index
@@ -222,6 +222,7 @@ def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
                 if sum(map(len, sums.values())) > most:
                     yield flush()
         yield flush()
+        give_back()
 
     return docs.select(text, "toxic").mapInArrow(run, "term string, docs long, toxic long, clean long")
 
@@ -366,6 +367,8 @@ def toxicity(docs: DataFrame, index: FittedIndex, id: str = "doc_id", text: str
                 [*columns, pa.array([s for s, _ in found], pa.float64()), pa.array(shown, evidence)],
                 [*(f.name for f in kept), "toxicity", "evidence"],
             )
+        del own
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(*[f.name for f in kept]).mapInArrow(
