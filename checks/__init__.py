@@ -24,9 +24,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def derived(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
-    """Input that SQL derives from the given tables."""
-    return spark.sql(sql, **{name: read_table(spark, folder, name) for name in tables})
+def derived(spark: SparkSession, folder: str, sql: str, *tables: str, dealt: bool = False) -> DataFrame:
+    """Input that SQL derives from the given tables.
+
+    ``dealt`` spreads it over the cores: sources that SQL puts together are few
+    bytes to adaptive execution, which leaves them in one partition, and much work.
+    """
+    frame = spark.sql(sql, **{name: read_table(spark, folder, name, dealt=False) for name in tables})
+    return frame.repartition(spark.sparkContext.defaultParallelism) if dealt else frame
 
 
 def for_spark(sql: str, *tables: str) -> str:

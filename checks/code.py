@@ -46,7 +46,7 @@ FILES = f"blocks as ({BLOCKS}), files as ({_files(False)})"
 
 def cpp_files(spark, folder) -> DataFrame:
     sql = f"with blocks as ({BLOCKS}) {_files(True)}"
-    files = derived(spark, folder, for_spark(sql, "part"), "part")
+    files = derived(spark, folder, for_spark(sql, "part"), "part", dealt=True)
     return files.select("rel_path", "text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -25,8 +26,8 @@ class Embedder(Protocol):
 class HashedWords:
     """Offline default: lower-cased word counts in md5 buckets.
 
-    Words become bucket numbers in the JVM; the worker only counts and
-    normalises whole Arrow batches with numpy and never sees the text.
+    The JVM cuts a text into words. The worker names the distinct words of an
+    Arrow batch by their md5 once each, then counts and normalises with numpy.
     """
 
     dim: int = 256
@@ -35,22 +36,22 @@ class HashedWords:
     def name(self) -> str:
         return f"hashed-words-{self.dim}"
 
-    def buckets(self, text: Column) -> Column:
-        found = F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
-        digits = lambda word: F.substring(F.md5(word.cast("binary")), 1, 4)
-        return F.transform(found, lambda w: (F.conv(digits(w), 16, 10).cast("int") % self.dim))
-
     def embed(self, text: Column) -> Column:
-        return _unit_counts(self.dim)(self.buckets(text))
+        found = F.regexp_extract_all(F.lower(text), F.lit(WORD + "+"), F.lit(0))
+        return _unit_counts(self.dim)(found)
 
 
 def _unit_counts(dim: int):
     @F.arrow_udf("array<float>")
-    def unit_counts(buckets: pa.Array) -> pa.Array:
-        lengths = np.asarray(buckets.value_lengths().fill_null(0), dtype=np.int64)
-        rows = np.repeat(np.arange(len(buckets)), lengths)
-        cells = rows * dim + np.asarray(buckets.flatten(), dtype=np.int64)
-        counts = np.bincount(cells, minlength=len(buckets) * dim).reshape(-1, dim)
+    def unit_counts(texts: pa.Array) -> pa.Array:
+        lengths = np.asarray(texts.value_lengths().fill_null(0), dtype=np.int64)
+        rows = np.repeat(np.arange(len(texts)), lengths)
+        words = texts.flatten().dictionary_encode()
+        bucket = np.array(
+            [int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim for w in words.dictionary.to_pylist()], np.int64
+        )
+        cells = rows * dim + bucket[np.asarray(words.indices)]
+        counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         unit = (counts / np.maximum(norms, 1e-300)).astype(np.float32)
         offsets = np.arange(0, unit.size + 1, dim, dtype=np.int32)
