@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from checks import query
 from checks.documents import CHUNK_ID, CHUNKS, DOCUMENT_PAGES, document_chunks
 from marlstone.functions.embedding import HashedWords
+from marlstone.operators.cells import build_cells
 from marlstone.operators.knn import nearest, similarity
 from marlstone.operators.render import render_context, render_search, results_from_response
+from marlstone.session import shared_dir
 from marlstone.sources.tables import read_table
 
 TOP_K = 5
@@ -181,6 +183,18 @@ def knn_batch(spark, folder):
     return _vector_hits(vectors, vectors)
 
 
+@query("knn_cells", f"with {_knn('embeddings')} {_HIT}")
+def knn_cells(spark, folder):
+    """The neighbours of ``knn_batch``, from cells of vectors instead of all of them."""
+    vectors = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = build_cells(vectors, shared_dir(spark))
+    found = index.nearest(vectors.withColumnRenamed("id", "query_id"), TOP_K)
+    return found.select(
+        "query_id", "id", "rank", F.round("distance", 6).alias("distance"),
+        F.round(similarity(F.col("distance")), 6).alias("score"),
+    )
+
+
 @query(
     "knn_centroids",
     f"""with dims as (

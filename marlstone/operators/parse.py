@@ -112,6 +112,7 @@ def parse_files(files: DataFrame, main_source: str = "", site_suffix: str = "")
                 ~suffix.isin(*MARKDOWN_SUFFIXES, ".rst", ".html", ".py"),
                 F.concat(F.lit("unsupported file type: "), suffix),
             ),
+            F.when(F.col("content").isNull(), F.lit("could not be read")),
             F.when((suffix != ".html") & F.col("raw").isNull(), F.lit("not valid UTF-8")),
             F.col("yaml.error"),
             F.col("html.error"),

@@ -19,14 +19,17 @@ def retrieve(index: ChunkIndex, questions: DataFrame, top_k: int = TOP_K) -> Dat
     """Hits of every question: query_id, rank, title, ..., text, distance, score.
 
     ``questions`` is (query_id, question). The vector scan decides the hits
-    before any chunk text is read.
+    before any chunk text is read; it is limited to the cells that can hold
+    one if :meth:`ChunkIndex.build_cells` has dealt the vectors over cells.
     """
     if not index.exists():
         raise RuntimeError("the index has not been built yet")
     index.check_model()
     asked = questions.select("query_id", index.embedder.embed(F.col("question")).alias("embedding"))
+    cells = index.cells()
+    found = nearest(asked, index.vectors(), top_k) if cells is None else cells.nearest(keep(asked), top_k)
     # Written once: the vector scan doesn't run again for the text.
-    hits = keep(nearest(asked, index.vectors(), top_k).withColumnRenamed("id", "chunk_id"))
+    hits = keep(found.withColumnRenamed("id", "chunk_id"))
     chunks = index.chunks().drop("embedding_text")
     if hits.limit(_BROADCAST_HITS + 1).count() <= _BROADCAST_HITS:
         hits = F.broadcast(hits)  # else both sides move by chunk id

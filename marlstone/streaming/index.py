@@ -6,6 +6,7 @@ Layout under ``<root>/<collection>``::
     changes/batch=N/op=drop  ids removed in batch N (they hide older batches)
     vectors/batch=N          chunk_id, embedding of the added chunks
     commits                  one small JSON row per finished batch
+    cells                    cells of the vectors of one batch, for searches
 
 A batch becomes visible with its commit row, written last. A sync writes only
 what changed, and vectors are stored apart from the text so that a search scans
@@ -16,6 +17,7 @@ commit hides all before it; so a read never sees more than MAX_BATCHES.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.embedding import Embedder
+from marlstone.operators.cells import CellIndex
 from marlstone.operators.chunk import CHUNK_COLUMNS, dedupe_chunks, embedding_text
 from marlstone.session import keep
 
@@ -31,6 +34,7 @@ STORED_COLUMNS = tuple(c for c in CHUNK_COLUMNS if c != "embedding_text")
 CHANGES_SCHEMA = ", ".join(f"{c} string" for c in STORED_COLUMNS) + ", batch long, op string"
 VECTORS_SCHEMA = "chunk_id string, embedding array<float>, batch long"
 COMMITS_SCHEMA = "batch long, added long, removed long, model string, base boolean"
+CELLS_SCHEMA = "batch long, folder string"
 MAX_BATCHES = 16
 # Added ids that are shipped to the tasks whole, at some 100 bytes each.
 BROADCAST_IDS = 200_000
@@ -171,6 +175,23 @@ class ChunkIndex:
             ),
         )
 
+    def cells(self) -> CellIndex | None:
+        """Cells of the vectors as they are now, if :meth:`build_cells` made some since the last change."""
+        made, done = self._read("cells/made", CELLS_SCHEMA, "json"), self.commits()
+        if made is None or not done:
+            return None
+        row = made.where(F.col("batch") == done[-1].batch).first()
+        return CellIndex(self.spark, f"{self.base}/cells/{row.folder}") if row else None
+
+    def build_cells(self, cells: int | None = None) -> CellIndex:
+        """Deal the live vectors over cells; searches use them until the next change of the index."""
+        folder = os.urandom(8).hex()
+        batch = self.commits()[-1].batch
+        made = CellIndex.build(self.vectors(), f"{self.base}/cells/{folder}", cells)
+        row = self.spark.createDataFrame([(batch, folder)], CELLS_SCHEMA)
+        row.coalesce(1).write.mode("append").json(f"{self.base}/cells/made")
+        return made
+
     def count(self) -> int:
         return sum(c.added - c.removed for c in self.commits())
 

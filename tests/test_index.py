@@ -201,6 +201,20 @@ def test_search_scans_vectors_once(spark, tmp_path):
     assert "/vectors" not in plan and "BroadcastHashJoin" in plan and "RoundRobin" not in plan
 
 
+def test_cells_change_no_answer(spark, tmp_path):
+    index = open_index(spark, tmp_path)
+    index.sync(chunks(spark, {f"p{i}": f"word{i} word{i % 7} common" for i in range(40)}))
+    asked = spark.createDataFrame([(0, "word3 common"), (1, "word11"), (2, "nothing of it")], "query_id long, question string")
+    answer = lambda: sorted(map(tuple, retrieve(index, asked, 5).select("query_id", "rank", "chunk_id", "distance").collect()))
+    flat = answer()
+    assert index.cells() is None
+    index.build_cells(6)
+    assert sum(c["size"] for c in index.cells().cells()) == 40
+    assert answer() == flat
+    index.sync(chunks(spark, {"p1": "word1 word1 common"}))
+    assert index.cells() is None and {r[2] for r in answer()} == {r.chunk_id for r in index.ids().collect()}
+
+
 def test_compaction_changes_no_answer(spark, tmp_path):
     index = open_index(spark, tmp_path)
     for step in range(3):
