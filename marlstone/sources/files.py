@@ -1,14 +1,12 @@
 """Document and source trees as DataFrames.
 
-Spark's own file listing hides names that start with "_" or "." and matches
-globs by case, so trees are walked here: the driver opens just enough folders
-to give the cluster work, executors walk the rest and read the contents. Tree
-roots must be visible to every executor.
+Listings come from the data source of ``sources.tree``: its planner opens just
+enough folders to give the cluster work, executors walk the rest and read the
+contents. Roots are paths that every executor sees, or URIs.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import paths
 from marlstone.functions import text as tx
+from marlstone.sources.tree import Tree, read_tree
 
 # Skipped folders and suffixes of documents and of code.
 SKIP_DIRS = (".git", ".gitbook", ".next", ".venv", "assets", "node_modules", "vendor")
@@ -29,7 +28,6 @@ CODE_SKIP_DIRS = (
 )
 CODE_SKIP_PREFIXES = ("cmake-build-", "bazel-")
 
-LISTING_SCHEMA = "rel_path string, size long"
 _ROWS_PER_BATCH = 10_000
 _BATCH_BYTES = 32 * 1024 * 1024
 _BYTES_PER_TASK = 64 * 1024 * 1024
@@ -61,69 +59,9 @@ DOC_FOLDERS = FolderFilter(SKIP_DIRS, (".",))
 CODE_FOLDERS = FolderFilter(CODE_SKIP_DIRS, CODE_SKIP_PREFIXES)
 
 
-def _subfolders(path: str, folders: FolderFilter) -> list[str]:
-    with os.scandir(path) as entries:
-        return sorted(
-            e.name for e in entries if e.is_dir(follow_symlinks=False) and not folders.skips(e.name)
-        )
-
-
-def _starting_points(root: str, folders: FolderFilter, wanted: int) -> list[tuple[str, bool]]:
-    """Folders to list, as (relative folder, walk below it too)."""
-    shallow: list[tuple[str, bool]] = []
-    frontier = [""]
-    while frontier and len(frontier) < wanted:
-        below = []
-        for folder in frontier:
-            shallow.append((folder, False))
-            names = _subfolders(os.path.join(root, folder), folders)
-            below += [os.path.join(folder, name) for name in names]
-        frontier = below
-    return shallow + [(folder, True) for folder in frontier]
-
-
-def _walker(root: str, folders: FolderFilter) -> Callable:
-    def files(folder: str, deep: bool) -> Iterator[tuple[str, int]]:
-        pending = [folder]
-        while pending:
-            here = pending.pop()
-            with os.scandir(os.path.join(root, here)) as entries:
-                for entry in entries:
-                    relative = os.path.join(here, entry.name)
-                    if entry.is_dir(follow_symlinks=False):
-                        if deep and not folders.skips(entry.name):
-                            pending.append(relative)
-                    elif entry.is_file():
-                        yield relative, entry.stat().st_size
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())],
-                names=["rel_path", "size"],
-            )
-
-        rows = []
-        for batch in batches:
-            for folder, deep in zip(*(column.to_pylist() for column in batch.columns)):
-                for row in files(folder, deep):
-                    rows.append(row)
-                    if len(rows) == _ROWS_PER_BATCH:
-                        yield flush(rows)
-                        rows = []
-        if rows:
-            yield flush(rows)
-
-    return walk
-
-
 def list_tree(spark: SparkSession, root: str, folders: FolderFilter) -> DataFrame:
     """rel_path, size of every file below ``root`` outside skipped folders."""
-    parallelism = spark.sparkContext.defaultParallelism
-    points = _starting_points(root, folders, 2 * parallelism)
-    tasks = min(len(points), 4 * parallelism)
-    starts = spark.createDataFrame(points, "folder string, deep boolean").repartition(tasks)
-    return starts.mapInArrow(_walker(root, folders), LISTING_SCHEMA)
+    return read_tree(spark, root, folders.names, folders.prefixes)
 
 
 def _reader(root: str) -> Callable:
@@ -134,13 +72,13 @@ def _reader(root: str) -> Callable:
                 names=["rel_path", "content"],
             )
 
+        content = Tree(root).reader()
         names, contents, held = [], [], 0
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with open(os.path.join(root, name), "rb") as file:
-                    contents.append(file.read())
+                contents.append(content(name))
                 names.append(name)
-                held += len(contents[-1])
+                held += len(contents[-1] or b"")
                 if held >= _BATCH_BYTES or len(names) == _ROWS_PER_BATCH:
                     yield flush(names, contents)
                     names, contents, held = [], [], 0
@@ -151,7 +89,10 @@ def _reader(root: str) -> Callable:
 
 
 def read_contents(listing: DataFrame, root: str, tasks: int) -> DataFrame:
-    """rel_path, content of the listed files, spread evenly over ``tasks``."""
+    """rel_path, content of the listed files, spread evenly over ``tasks``.
+
+    The content of a file that vanished after it was listed is null.
+    """
     spread = listing.select("rel_path").repartition(tasks, F.xxhash64("rel_path"))
     return spread.mapInArrow(_reader(root), "rel_path string, content binary")
 
