@@ -14,6 +14,7 @@ from marlstone.llm.queries import remainder, table, tokenizer
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic; null texts are scored as empty ones."""
+    _small_batches(spark)
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=remainder("doc_id", 5) != 0)
     scored = toxicity.toxicity(docs.select("doc_id", "text"), index).where("toxicity >= 0.5")
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
@@ -32,21 +33,29 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, that with the smallest id; texts without words stay."""
+    _small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item; null texts have no words and stay."""
+    _small_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
     return _without(docs, keep(found.where("n_hit > 0").select("k1", "k2").distinct()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 token ids; a null text is an empty one."""
+    _small_batches(spark)
     pieces = packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), max_tokens=2048, end_id=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts can be long: fewer rows in an Arrow batch bound what executors and their workers hold at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` that no key (k1, k2) names. Texts move only if the keys are too many to broadcast."""
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
