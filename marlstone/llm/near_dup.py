@@ -246,6 +246,7 @@ def _alike(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
                 good.append(found >= SIMILARITY)
             mask = pa.array(good, pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+        give_back()
 
     one = vectors.select(F.col("node").alias("a"), F.col("features").alias("fa"), F.col("times").alias("ta"))
     two = vectors.select(F.col("node").alias("b"), F.col("features").alias("fb"), F.col("times").alias("tb"))
