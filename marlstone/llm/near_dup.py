@@ -210,7 +210,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _vectors(docs: DataFrame, picks: DataFrame, text: str) -> DataFrame:
-    """(node, features, times) of picked rows (k1, k2, node): sorted shingles and how often each occurs, as bytes."""
+    """(node, features, times) of picked rows (k1, k2, node, many): sorted shingles and how often each occurs, as bytes.
+
+    ``many`` says that several rows have the key; one of them is taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
@@ -224,9 +227,11 @@ def _vectors(docs: DataFrame, picks: DataFrame, text: str) -> DataFrame:
         del known
         give_back()
 
-    return docs.join(picks, ["k1", "k2"]).select("node", text).mapInArrow(
-        run, "node binary, features binary, times binary"
-    )
+    one = docs.join(picks, ["k1", "k2"]).select("node", text, "many")
+    if not picks.where("many").isEmpty():
+        again = one.where("many").groupBy("node").agg(F.first(text).alias(text), F.lit(True).alias("many"))
+        one = one.where("not many").unionByName(again)
+    return one.select("node", text).mapInArrow(run, "node binary, features binary, times binary")
 
 
 def _slot_weights(features: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -367,9 +372,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     members = nodes.select(F.explode("bands").alias("key"), "node", "weight")
     crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = keep(members.join(crowded, "key", "left_semi"))
-    picks = keep(
-        nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("k.k1", "k.k2", "node")
-    )
+    picks = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("k.k1", "k.k2", "node")
+    repeated = rows.where(F.col("node").isNotNull()).groupBy("k1", "k2").agg((F.count("*") > 1).alias("many")).where("many")
+    picks = picks.join(repeated, ["k1", "k2"], "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    picks = keep(picks)
     k1, k2 = row_key(F.col(id), F.col(text))
     texts = docs.select(F.col(text).alias(text), k1.alias("k1"), k2.alias("k2"))
     vectors = keep(_vectors(texts, broadcast_within(picks, 300_000), text))
