@@ -16,6 +16,7 @@ from marlstone.llm.common import LOWER_BYTES, keep, row_key, slices, utf8
 
 ORDER = 5
 END = 0xFF  # ends every text and stands before it; no UTF-8 text has this byte
+_SPREAD = np.uint64(0x9E3779B1)  # times 16 bits it stays within a signed long
 END_WORD = np.uint64(0x5EED5EED5EED5EED)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32, END]] = True
@@ -239,8 +240,18 @@ def shard_of(keys: np.ndarray, grams: bool, shards: int) -> np.ndarray:
     """Grams go by the two bytes before the last, which all orders from 2 on share."""
     if shards == 1:
         return np.zeros(len(keys), np.int64)
-    part = (keys >> np.uint64(8)) & np.uint64(0xFFFF) if grams else keys
-    return (((part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    part = ((keys >> np.uint64(8)) & np.uint64(0xFFFF)) * _SPREAD >> np.uint64(16) if grams else keys >> np.uint64(33)
+    return (part % np.uint64(shards)).astype(np.int64)
+
+
+def _shard_column(grams: bool, shards: int) -> Column:
+    """:func:`shard_of` as a column expression of ``key``."""
+    key = F.col("key")
+    if grams:
+        part = F.shiftrightunsigned(F.shiftrightunsigned(key, 8).bitwiseAND(0xFFFF) * F.lit(int(_SPREAD)), 16)
+    else:
+        part = F.shiftrightunsigned(key, 33)
+    return part % shards
 
 
 def _shards(counts: DataFrame, max_entries: int) -> Iterator[Model]:
@@ -258,8 +269,7 @@ def _shards(counts: DataFrame, max_entries: int) -> Iterator[Model]:
         for kind in (0, 1):
             mine = counts.where(F.col("kind") == kind)
             if shards > 1:
-                of = F.udf(lambda k, g=kind == 0, s=shards: int(shard_of(np.array([k], np.int64).view(np.uint64), g, s)[0]), "int")
-                mine = mine.where(of("key") == shard)
+                mine = mine.where(_shard_column(kind == 0, shards) == shard)
             table = mine.select("key", "n").toArrow()
             keys, n = np.array(table.column("key")).view(np.uint64), np.array(table.column("n"))
             order = np.argsort(keys)
@@ -314,13 +324,15 @@ def code_lengths(
                 columns += [pa.array(v.astype(np.int64)) for v in found[:2]] + [pa.array(v) for v in found[2:]]
                 yield pa.record_batch(columns, schema=schema)
 
-        passes.append(
-            rows.mapInArrow(
-                run,
-                f"id {kind.simpleString()}, held_out boolean, k1 long, k2 long, n_tokens long, n_known long,"
-                " base_score double, score double",
-            )
+        found = rows.mapInArrow(
+            run,
+            f"id {kind.simpleString()}, held_out boolean, k1 long, k2 long, n_tokens long, n_known long,"
+            " base_score double, score double",
         )
+        if shards > 1:  # one shard at a time
+            found = keep(found)
+            shared.destroy()
+        passes.append(found)
     scored = passes[0]
     if len(passes) > 1:
         # Equal rows fall together, as often as they are there.
