@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import keep, row_key, words
+from marlstone.llm.common import give_back, keep, row_key, words
 
 SEGMENT_WORDS = 1 << 21
 
@@ -74,6 +74,8 @@ def build_index(docs: DataFrame, gap: int, id: str = "doc_id", text: str = "text
                 position += len(own) + gap
         if heads:
             yield segment()
+        del term_ids
+        give_back()
 
     k1, k2 = row_key(F.col(id), F.col(text))
     name = kind.simpleString()
@@ -84,28 +86,68 @@ def build_index(docs: DataFrame, gap: int, id: str = "doc_id", text: str = "text
     )
 
 
-def windows_of(text: str | None, size: int) -> list[tuple[bytes, ...]]:
-    """Distinct windows of ``size`` words; a shorter text with words is one window."""
-    own = words(text)
-    if not own:
-        return []
-    if len(own) < size:
-        return [tuple(own)]
-    return list(dict.fromkeys(tuple(own[i : i + size]) for i in range(len(own) - size + 1)))
-
-
 class Phrases:
-    """A block of test items: their distinct windows, and which items have each."""
+    """A block of test items: their distinct windows, and which items have each.
+
+    The words of all items stand one after the other in ``flat`` as numbers of
+    terms; window i is the ``lengths[i]`` words from ``starts[i]`` on, and its
+    items are ``owners[begins[i]:begins[i + 1]]``, which point into ``names``.
+    An item of fewer words than a window is one window, one without words none.
+    """
 
-    def __init__(self, items: list[tuple[object, str | None]], size: int):
+    def __init__(self, items: Iterable[tuple[object, str | None]], size: int):
         self.terms: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], list] = {}
+        self.names: list = []
+        flat, starts, lengths, owners, at = [], [], [], [], 0
         for name, text in items:
-            for window in windows_of(text, size):
-                key = tuple(self.terms.setdefault(w, len(self.terms)) for w in window)
-                owners.setdefault(key, []).append(name)
-        self.windows = [np.array(w, np.int64) for w in owners]
-        self.owners = list(owners.values())
+            own = words(text)
+            if not own:
+                continue
+            flat.append(np.fromiter((self.terms.setdefault(w, len(self.terms)) for w in own), np.int32, len(own)))
+            count = max(len(own) - size, 0) + 1
+            starts.append(np.arange(at, at + count))
+            lengths.append(np.full(count, min(len(own), size), np.int32))
+            owners.append(np.full(count, len(self.names), np.int32))
+            self.names.append(name)
+            at += len(own)
+        empty = np.zeros(0, np.int32)
+        self.flat = np.concatenate([empty, *flat])
+        starts, lengths, owners = (np.concatenate([empty, *x]).astype(np.int64) for x in (starts, lengths, owners))
+        hashes = lengths.astype(np.uint64)
+        for j in range(size):
+            inside = lengths > j
+            term = np.where(inside, self.flat[np.where(inside, starts + j, 0)] if len(self.flat) else 0, -1)
+            hashes = (hashes ^ (term.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        # Equal windows stand together; others with an equal hash stay apart.
+        order = np.lexsort((owners, hashes))
+        starts, lengths, owners, hashes = starts[order], lengths[order], owners[order], hashes[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])[: len(starts)]
+        same = np.flatnonzero(~new)
+        differs = lengths[same] != lengths[same - 1]
+        for j in range(size):
+            inside = np.flatnonzero(~differs & (lengths[same] > j))
+            pair = same[inside]
+            differs[inside] = self.flat[starts[pair] + j] != self.flat[starts[pair - 1] + j]
+        new[same[differs]] = True
+        kept = new | np.append(True, owners[1:] != owners[:-1])[: len(starts)]
+        self.starts, self.lengths = starts[new], lengths[new].astype(np.int32)
+        self.owners = owners[kept].astype(np.int32)
+        self.begins = np.append(np.flatnonzero(new[kept]), len(self.owners))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def window(self, i: int) -> np.ndarray:
+        return self.flat[self.starts[i] : self.starts[i] + self.lengths[i]]
+
+    def items(self, i: int) -> list:
+        return [self.names[o] for o in self.owners[self.begins[i] : self.begins[i + 1]]]
+
+    def possible(self, counts: np.ndarray) -> np.ndarray:
+        """Windows all of whose terms have a count."""
+        missing = np.append(0, np.cumsum(counts[self.flat] == 0))
+        return np.flatnonzero(missing[self.starts + self.lengths] == missing[self.starts])
 
 
 def phrase_starts(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
@@ -171,9 +213,8 @@ def search_segment(row: dict, phrases: Phrases, near: int | None) -> tuple[dict,
     length = int(starts[-1] + sizes[-1]) if len(starts) else 0
     hits = np.zeros(length + 1, np.int32)
     document = lambda places: np.searchsorted(starts, places, "right") - 1
-    for window, names in zip(phrases.windows, phrases.owners):
-        if not counts[window].all():
-            continue
+    for number in phrases.possible(counts).tolist():
+        window, names = phrases.window(number), phrases.items(number)
         found = phrase_starts(window, postings, counts)
         if len(found):
             hits[found] += 1
@@ -245,7 +286,7 @@ def contamination(
     passes = []
     for block in range(blocks):
         mine = names.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else names
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in mine.toLocalIterator()], window))
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(map(tuple, mine.toLocalIterator()), window))
 
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -260,8 +301,13 @@ def contamination(
                     columns.append([known(exact, d) for d in here])
                     columns.append([known(nearby, d) if near is not None else None for d in here])
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            give_back()
 
-        passes.append(index.mapInArrow(run, spark_schema))
+        found = index.mapInArrow(run, spark_schema)
+        if blocks > 1:  # one block of phrases at a time
+            found = keep(found)
+            phrases.destroy()
+        passes.append(found)
     found = passes[0]
     if blocks > 1:
         found = (

@@ -342,6 +342,26 @@ def test_proximity_does_not_hang_on_other_documents(spark, common):
         assert {r.doc_id: r.near_items for r in got} == {1: [7], 2: [], 3: []}
 
 
+def test_phrases_are_the_distinct_windows():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 2, 3, 4, 9]))) for _ in range(60)]
+    items = [(i % 50, t or None) for i, t in enumerate(texts)]
+    want: dict[tuple, set] = {}
+    for name, text in items:
+        own = (text or "").encode().split()
+        for i in range(max(len(own) - 4, 0) + 1 if own else 0):
+            want.setdefault(tuple(own[i : i + 4]), set()).add(name)
+    found = decontaminate.Phrases(items, 4)
+    terms = list(found.terms)
+    got = {tuple(terms[t] for t in found.window(i)): set(found.items(i)) for i in range(len(found))}
+    assert got == want and len(found) == len(want)
+    counts = np.arange(len(terms))
+    assert [terms[0] not in map(terms.__getitem__, found.window(i)) for i in range(len(found))] == [
+        i in found.possible(counts) for i in range(len(found))
+    ]
+    assert not len(decontaminate.Phrases([(1, None)], 4))
+
+
 def test_near_positions_are_those_of_a_plain_loop():
     rng = random.Random(6)
     for _ in range(300):
@@ -479,6 +499,15 @@ def test_lm(spark, entries):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("grams", [True, False])
+def test_shards_are_the_same_in_columns(spark, grams):
+    keys = np.random.default_rng(3).integers(0, 2**64, 500, np.uint64)
+    frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long")
+    got = {r.key: r.shard for r in frame.select("key", lm._shard_column(grams, 7).alias("shard")).collect()}
+    assert got == dict(zip(keys.view(np.int64).tolist(), lm.shard_of(keys, grams, 7).tolist()))
+    assert set(got.values()) == set(range(7))
+
+
 def test_adaptive_model_learns():
     assert lm.adaptive_bits("abcabcabc" * 20) < 0.5 * 8 * 180
     assert lm.adaptive_bits("") == pytest.approx(8)
@@ -541,6 +570,20 @@ def test_planted_copies(spark):
     assert sorted(r.doc_id for r in near_dup.drop_near_duplicates(frame).collect()) == sorted(set(want.values()))
 
 
+def test_rows_that_repeat_give_one_vector(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " more", " ".join(f"v{i}" for i in range(40))
+    docs = [(1, text)] * 5000 + [(2, near)] * 3 + [(None, other)] * 2 + [(4, None), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    made, plain = [], near_dup._vectors
+    monkeypatch.setattr(near_dup, "_vectors", lambda *a: made.append(plain(*a)) or made[-1])
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near_dup.near_duplicates(frame).collect())
+    assert got == {(1, 1, 5003): 5000, (2, 1, 5003): 3, (None, None, 2): 2, (4, 4, 1): 2}
+    assert made[0].count() == made[0].select("node").distinct().count() == 2
+    left = near_dup.drop_near_duplicates(frame).collect()
+    assert Counter(tuple(r) for r in left) == {(1, text): 1, (None, other): 1, (4, None): 1}
+
+
 def test_samples_follow_the_similarity():
     rng = np.random.default_rng(1)
     features = np.sort(rng.integers(0, 2**64, 300, np.uint64))
