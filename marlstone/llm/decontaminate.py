@@ -15,7 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.llm.common import give_back, keep, row_key, words
 
-SEGMENT_WORDS = 1 << 21
+# A segment passes through Arrow and Parquet as one row: about 4 MB at this size.
+SEGMENT_WORDS = 1 << 19
 
 
 def build_index(docs: DataFrame, gap: int, id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
