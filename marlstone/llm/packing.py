@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.llm.bpe import encoder
-from marlstone.llm.common import keep, slices, utf8
+from marlstone.llm.common import give_back, keep, slices, utf8
 
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 12
 
@@ -91,6 +91,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int | None, id: str, text: str
                     ],
                     schema=arrow,
                 )
+        give_back()
 
     return docs.select(id, text).mapInArrow(
         run, f"`{id}` {kind.simpleString()}, key long, width int, ids binary"
@@ -169,7 +170,7 @@ def pack_documents(
                     if used == max_tokens:
                         close()
                         used = 0
-                if len(done) >= 4096:
+                if len(done) >= 512:
                     yield flush()
         rest, size = list(opened), widest
         opened.clear()
@@ -185,6 +186,7 @@ def pack_documents(
                     close()
                     used -= size
         yield flush()
+        give_back()
 
     tokens = keep(tokenised(docs, path, end_id, id, text))
     ordered = tokens.repartitionByRange("key", id).sortWithinPartitions("key", id, "ids")
