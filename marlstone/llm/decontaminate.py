@@ -151,22 +151,45 @@ class Phrases:
         return np.flatnonzero(missing[self.starts + self.lengths] == missing[self.starts])
 
 
-def phrase_starts(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Positions at which the terms of a window stand one after the other.
+def phrase_starts(
+    phrases: Phrases, numbers: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, most: int = 1 << 19
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of ``numbers``, and positions at which their terms stand one after the other.
 
     Lists are shifted to the start of the window and intersected from the
-    rarest term on.
+    rarest term on, for about ``most`` positions of several windows at a time.
     """
-    order = np.argsort(counts[window], kind="stable")
-    found = postings[window[order[0]]] - order[0]
-    for j in order[1:]:
-        if not len(found):
-            break
-        other, wanted = postings[window[j]], found + j
-        at = np.searchsorted(other, wanted)
-        at[at == len(other)] = 0
-        found = found[other[at] == wanted]
-    return found
+    here = np.flatnonzero(counts)
+    begins = np.cumsum(counts) - counts
+    flat = np.concatenate([np.zeros(0, np.int64), *(postings[t] for t in here)])
+    codes = flat + (np.repeat(here, counts[here]) << 32)
+    for low in range(0, len(numbers), 4096):
+        part = numbers[low : low + 4096]
+        at = np.arange(phrases.lengths[part].max())
+        inside = at < phrases.lengths[part][:, None]
+        own = phrases.flat[np.where(inside, phrases.starts[part][:, None] + at, 0)].astype(np.int64)
+        order = np.argsort(np.where(inside, counts[own], 1 << 62), axis=1, kind="stable")
+        rarest = own[np.arange(len(part)), order[:, 0]]
+        ends = np.cumsum(counts[rarest])
+        first = 0
+        while first < len(part):
+            done = ends[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, done + most, "right")))
+            sizes = counts[rarest[first:stop]]
+            row = np.repeat(np.arange(first, stop), sizes)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = flat[begins[rarest[row]] + nth] - order[row, 0]
+            for step in at[1:]:
+                if not len(found):
+                    break
+                column = order[row, step]
+                wanted = found + column
+                code = (own[row, column] << 32) + wanted
+                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                good = ((codes[place] == code) & (wanted >= 0)) | ~inside[row, column]
+                row, found = row[good], found[good]
+            yield part[row], found
+            first = stop
 
 
 def near_positions(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, reach: int) -> np.ndarray:
@@ -214,17 +237,16 @@ def search_segment(row: dict, phrases: Phrases, near: int | None) -> tuple[dict,
     length = int(starts[-1] + sizes[-1]) if len(starts) else 0
     hits = np.zeros(length + 1, np.int32)
     document = lambda places: np.searchsorted(starts, places, "right") - 1
-    for number in phrases.possible(counts).tolist():
-        window, names = phrases.window(number), phrases.items(number)
-        found = phrase_starts(window, postings, counts)
-        if len(found):
-            hits[found] += 1
-            hits[found + len(window)] -= 1
-            for doc in np.unique(document(found)).tolist():
-                exact[doc].update(names)
-        if near is not None:
-            for doc in np.unique(document(near_positions(window, postings, counts, near))).tolist():
-                nearby[doc].update(names)
+    possible = phrases.possible(counts)
+    for numbers, found in phrase_starts(phrases, possible, postings, counts):
+        np.add.at(hits, found, 1)
+        np.add.at(hits, found + phrases.lengths[numbers], -1)
+        pairs = np.unique(np.stack([numbers, document(found)], axis=1), axis=0)
+        for number, doc in pairs.tolist():
+            exact[doc].update(phrases.items(number))
+    for number in possible.tolist() if near is not None else ():
+        for doc in np.unique(document(near_positions(phrases.window(number), postings, counts, near))).tolist():
+            nearby[doc].update(phrases.items(number))
     # The unused positions between documents keep every run inside one of them.
     edges = np.diff((np.cumsum(hits) > 0).astype(np.int8), prepend=0)
     begins, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)

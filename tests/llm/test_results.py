@@ -362,6 +362,27 @@ def test_phrases_are_the_distinct_windows():
     assert not len(decontaminate.Phrases([(1, None)], 4))
 
 
+@pytest.mark.parametrize("most", [1, 50, 1 << 19])
+def test_phrase_starts_are_those_of_a_plain_loop(most):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 3, 6])))) for i in range(30)]
+    found = decontaminate.Phrases(items, 3)
+    line = [rng.choice("abcdxy") for _ in range(400)]
+    postings = [np.array([i for i, w in enumerate(line) if w.encode() == t], np.int64) for t in found.terms]
+    counts = np.array(list(map(len, postings)))
+    got = [
+        pair
+        for numbers, starts in decontaminate.phrase_starts(found, found.possible(counts), postings, counts, most)
+        for pair in zip(numbers.tolist(), starts.tolist())
+    ]
+    terms = [t.decode() for t in found.terms]
+    want = []
+    for i in range(len(found)):
+        own = [terms[t] for t in found.window(i)]
+        want += [(i, at) for at in range(len(line) - len(own) + 1) if line[at : at + len(own)] == own]
+    assert sorted(got) == sorted(want) and len(want) > 30
+
+
 def test_near_positions_are_those_of_a_plain_loop():
     rng = random.Random(6)
     for _ in range(300):
