@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks import derived, for_spark, query, text_of
+from checks import ORACLES, derived, for_spark, query, text_of
 from marlstone.functions import code as cx
 from marlstone.functions import text as tx
 from marlstone.operators import code_text, cpp, relate
+from marlstone.session import shared_dir
+from marlstone.sinks.code_map import write_markdown
 
 # -- analyzer ------------------------------------------------------------------
 
@@ -471,6 +475,16 @@ def code_markdown(spark, folder):
     return pages.select("file", F.sha2("content", 256).alias("content_hash"))
 
 
+@query("code_markdown_sink", ORACLES["code_markdown"])
+def code_markdown_sink(spark, folder):
+    """The same pages, written by the sink and read back from their files."""
+    place = f"{shared_dir(spark)}/pages-{os.urandom(8).hex()}"
+    write_markdown(related_records(spark, folder), place)
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(place)
+    file = F.regexp_extract("path", rf"{os.path.basename(place)}/(.*)\.md$", 1)
+    return stored.select(file.alias("file"), F.sha2("content", 256).alias("content_hash"))
+
+
 @query(
     "code_json_fields",
     f"""with {RELATED}
