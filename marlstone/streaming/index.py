@@ -5,18 +5,22 @@ Layout under ``<root>/<collection>``::
     changes/batch=N/op=add   chunks first seen in batch N
     changes/batch=N/op=drop  ids removed in batch N (they hide older batches)
     vectors/batch=N          chunk_id, embedding of the added chunks
-    commits                  one small JSON row per finished batch
+    commits/N.json           one small row per finished batch, the Nth
     cells                    cells of the vectors of one batch, for searches
 
-A batch becomes visible with its commit row, written last. A sync writes only
-what changed, and vectors are stored apart from the text so that a search scans
+A batch becomes visible with its commit row, written last and never replaced:
+who finds the Nth row taken has lost to another writer, and nothing of the batch
+counts. The number of a batch is N * 2^32 plus a random part, so writers at the
+same time never share a folder. A sync writes only what changed, and vectors are stored apart from the text so that a search scans
 vectors alone and fetches the text of its few hits by id. When many batches
 have gathered, the live rows are written again as one batch, sorted by id, whose
-commit hides all before it; so a read never sees more than MAX_BATCHES.
+commit hides all before it; so a read never sees more than MAX_BATCHES. Folders
+that no commit shows any more are removed by :meth:`ChunkIndex.reclaim`.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass
 
@@ -28,6 +32,7 @@ from marlstone.functions.embedding import Embedder
 from marlstone.operators.cells import CellIndex
 from marlstone.operators.chunk import CHUNK_COLUMNS, dedupe_chunks, embedding_text
 from marlstone.session import keep
+from marlstone.sources.store import Store
 
 # embedding_text is derived from the other columns and not stored twice.
 STORED_COLUMNS = tuple(c for c in CHUNK_COLUMNS if c != "embedding_text")
@@ -36,6 +41,9 @@ VECTORS_SCHEMA = "chunk_id string, embedding array<float>, batch long"
 COMMITS_SCHEMA = "batch long, added long, removed long, model string, base boolean"
 CELLS_SCHEMA = "batch long, folder string"
 MAX_BATCHES = 16
+_SEQUENCE = 1 << 32  # a batch's place among the commits is above these bits
+# Folders out of use are kept so long for readers and writers that still run.
+KEEP_SECONDS = 7 * 24 * 3600
 # Added ids that are shipped to the tasks whole, at some 100 bytes each.
 BROADCAST_IDS = 200_000
 
@@ -71,6 +79,10 @@ def diff(desired: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed since this one read the index. Nothing of this write counts; try again."""
+
+
 @dataclass(frozen=True)
 class SyncResult:
     added: int
@@ -83,7 +95,7 @@ class SyncResult:
 
 
 class ChunkIndex:
-    """One collection of embedded chunks. Meant for one writer at a time."""
+    """One collection of embedded chunks. Of writers at the same time the first to commit wins."""
 
     def __init__(self, spark: SparkSession, root: str, collection: str, embedder: Embedder):
         self.spark = spark
@@ -240,7 +252,7 @@ class ChunkIndex:
         done = self.commits()
         if len(done) < 2:
             return
-        batch, total = done[-1].batch + 1, self.count()
+        batch, total = self._next_batch(), self.count()
         for table, rows, sub in (
             ("changes", self.chunks().select(*STORED_COLUMNS), "/op=add"),
             ("vectors", self.vectors().withColumnRenamed("id", "chunk_id"), ""),
@@ -268,13 +280,42 @@ class ChunkIndex:
         if added or removed:
             self._add_commit(batch, added, removed, base=False)
             if len(self.commits()) > MAX_BATCHES:
-                self.compact()
+                try:
+                    self.compact()
+                except CommitConflict:
+                    pass  # the next commit will find as many batches
 
     def _add_commit(self, batch: int, added: int, removed: int, base: bool) -> None:
-        row = [(batch, added, removed, self.embedder.name, base)]
-        self.spark.createDataFrame(row, COMMITS_SCHEMA).coalesce(1).write.mode("append").json(f"{self.base}/commits")
+        """The commit row of a batch, if no other batch has taken its place since it was begun."""
+        row = {"batch": batch, "added": added, "removed": removed, "model": self.embedder.name, "base": base}
+        place = batch // _SEQUENCE
+        if not Store(self.base).create_once(f"commits/{place}.json", json.dumps(row).encode() + b"\n"):
+            raise CommitConflict(f"another writer has committed batch {place} of {self.base}")
 
     def _next_batch(self) -> int:
+        """Number of the batch after those that are visible now."""
         self.check_model()
         done = self.commits()
-        return done[-1].batch + 1 if done else 1
+        place = done[-1].batch // _SEQUENCE + 1 if done else 1
+        return place * _SEQUENCE + int.from_bytes(os.urandom(4))
+
+    def reclaim(self, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Remove batches that were replaced or never committed, and cells of earlier states; returns how many folders.
+
+        Only folders in which nothing was written for ``keep_seconds`` go. A
+        search that began before the batches were replaced, or a write, must
+        not run longer than that.
+        """
+        store, commits = Store(self.base), self.commits()
+        shown = {f"batch={c.batch}" for c in commits}
+        live = {table: shown for table in ("changes", "vectors")}
+        made = self._read("cells/made", CELLS_SCHEMA, "json")
+        current = made.where(F.col("batch") == commits[-1].batch).collect() if made is not None and commits else []
+        live["cells"] = {"made"} | {row.folder for row in current}
+        removed = 0
+        for table, names in live.items():
+            for name in store.folders(table):
+                if name not in names and store.idle_seconds(f"{table}/{name}") >= keep_seconds:
+                    store.remove(f"{table}/{name}")
+                    removed += 1
+        return removed

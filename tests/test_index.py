@@ -13,7 +13,8 @@ from marlstone.functions.embedding import HashedWords, SentenceModel, embedder_f
 from marlstone.operators import knn, render
 from marlstone.operators.chunk import chunk_pages
 from marlstone.plans.search import context_text, retrieve, search_text
-from marlstone.streaming.index import ChunkIndex, diff
+from marlstone.sources.store import Store
+from marlstone.streaming.index import ChunkIndex, CommitConflict, diff
 
 PAGE = "source_path string, title string, url string, text string"
 
@@ -364,3 +365,63 @@ def test_empty_results_render(spark):
     assert render.render_context(asked, none).first().output == (
         "Question: why?\n\nRelevant XRPL docs:\nNo relevant XRPL docs were found."
     )
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    first, second = open_index(spark, tmp_path), open_index(spark, tmp_path)
+    first.sync(chunks(spark, {"a": "x"}))
+    commit = first._commit
+
+    def overtaken(*row):
+        second.sync(chunks(spark, {"a": "x", "c": "z"}))
+        commit(*row)
+
+    monkeypatch.setattr(first, "_commit", overtaken)
+    with pytest.raises(CommitConflict):
+        first.sync(chunks(spark, {"b": "y"}))
+    monkeypatch.undo()
+    assert {r.source_path for r in first.chunks().collect()} == {"a", "c"}
+    assert first.vectors().count() == first.count() == 2
+    # The loser tries again on what is there now.
+    again = first.sync(chunks(spark, {"b": "y"}))
+    assert (again.added, again.removed) == (1, 2)
+    assert {r.source_path for r in second.chunks().collect()} == {"b"}
+
+
+def test_reclaim_leaves_the_live_batches(spark, tmp_path):
+    index = open_index(spark, tmp_path)
+    index.sync(chunks(spark, {"a": "x", "b": "y"}))
+    index.build_cells(2)
+    index.sync(chunks(spark, {"a": "x", "c": "z"}))
+    index.build_cells(2)
+
+    class Crashing(Broken):
+        name = HashedWords(64).name
+
+    with pytest.raises(Exception, match="embedded a stored chunk"):
+        open_index(spark, tmp_path, Crashing()).sync(chunks(spark, {"d": "w"}))
+    index.compact()
+    index.build_cells(2)
+    before = {tuple(r) for r in index.chunks().collect()}, {tuple(r)[0] for r in index.vectors().collect()}
+    assert index.reclaim() == 0  # everything is young
+    # Two replaced batches and the crashed one (no vectors there or half of them), two sets of cells.
+    assert index.reclaim(keep_seconds=0) >= 3 + 2 + 2
+    store = Store(index.base)
+    assert [len(store.folders(t)) for t in ("changes", "vectors", "cells")] == [1, 1, 2]
+    assert index.reclaim(keep_seconds=0) == 0
+    assert ({tuple(r) for r in index.chunks().collect()}, {tuple(r)[0] for r in index.vectors().collect()}) == before
+    assert index.cells() is not None
+    assert index.sync(chunks(spark, {"c": "z", "e": "v"})).added == 1
+    assert {r.source_path for r in index.chunks().collect()} == {"c", "e"}
+
+
+def test_a_file_is_created_once(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    for root in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda n: Store(root).create_once("c/1.json", b"%d" % n), range(8)))
+        assert won.count(True) == 1
+        name = root.removeprefix("file://")
+        assert os.listdir(f"{name}/c") == ["1.json"]
+        assert open(f"{name}/c/1.json", "rb").read() == b"%d" % won.index(True)
