@@ -10,6 +10,7 @@ from checks.documents import CHUNK_ID, CHUNKS
 from marlstone.operators import markdown, rst
 from marlstone.operators.chunk import chunk_pages, page_sections
 from marlstone.operators.parse import good_pages, parse_files
+from marlstone.plans.code_map import ANALYZERS, analyze_files
 from marlstone.sources.tables import as_files
 
 # -- Markdown ------------------------------------------------------------------
@@ -393,3 +394,38 @@ def py_pages(spark, folder) -> DataFrame:
 )
 def python_api_docs(spark, folder):
     return py_pages(spark, folder).select("source_path", "title", "url", "text")
+
+
+_PY_RECORD = "'pkg/m' || cast(cast(module as int) as varchar) || '.py' as file, 'pkg.m' || cast(cast(module as int) as varchar)"
+
+
+@query(
+    "py_records",
+    f"""with objects as ({PY_OBJECTS}),
+    found as (
+      select module, 'function' as kind, name as raw, name, '' as class_name,
+        'def ' || name || '(a, b: int=' || cast(p_size as varchar) || ') -> str' as signature,
+        'Make ' || p_name || '.' || chr(10) || chr(10) || 'Args:' || chr(10) || '    a: ' || p_type as docstring
+      from objects where kind = 0
+      union all select module, 'class', 'C' || name, 'C' || name, '', '', p_name from objects where kind = 1
+      union all select module, 'function', 'C' || name || '.run', 'run', 'C' || name, 'async def run(self, *args)', ''
+      from objects where kind = 1
+      union all select module, 'function', 'C' || name || '._hidden', '_hidden', 'C' || name, 'def _hidden(self)', ''
+      from objects where kind = 1
+      union all select module, 'function', '_' || name, '_' || name, '', 'def _' || name || '()', ''
+      from objects where kind = 2
+      union all select module, 'class', 'D' || name, 'D' || name, '', '', '' from objects where kind = 3
+    )
+    select {_PY_RECORD} as namespace, 'pkg.m' || cast(cast(module as int) as varchar) || '.' || raw as qualified_name,
+      'python' as language, kind, name, class_name, signature, docstring
+    from found""",
+)
+def py_records(spark, folder):
+    """Records of Python modules, by the analyzer that the registry names for them."""
+    sql = f"with objects as ({PY_OBJECTS}), blocks as ({_py_blocks(True)}) {_py_modules(True)}"
+    modules = derived(spark, folder, for_spark(sql, "part"), "part")
+    path = F.concat(F.lit("pkg/m"), F.col("module").cast("int").cast("string"), F.lit(".py"))
+    files = modules.select(path.alias("rel_path"), F.lit("python").alias("language"), F.col("code").alias("text"))
+    return analyze_files(files, analyzers={"python": ANALYZERS["python"]}).select(
+        "file", "namespace", "qualified_name", "language", "kind", "name", "class_name", "signature", "docstring"
+    )

@@ -127,9 +127,16 @@ def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     return document_files(spark, root, MARKDOWN_SUFFIXES)
 
 
-def language(path: Column) -> Column:
+# Languages that a scan looks for, and their suffixes.
+LANGUAGES: dict[str, tuple[str, ...]] = {"cpp": CPP_SUFFIXES}
+
+
+def language(path: Column, languages: dict[str, tuple[str, ...]] = LANGUAGES) -> Column:
     """Language of a source file, or '' when none is supported."""
-    return F.when(paths.suffix(path).isin(*CPP_SUFFIXES), "cpp").otherwise("")
+    found = F.lit("")
+    for name, suffixes in languages.items():
+        found = F.when(paths.suffix(path).isin(*suffixes), name).otherwise(found)
+    return found
 
 
 def code_files(
@@ -137,9 +144,10 @@ def code_files(
     root: str,
     include: tuple[str, ...] = (),
     exclude: tuple[str, ...] = (),
+    languages: dict[str, tuple[str, ...]] = LANGUAGES,
 ) -> DataFrame:
     """Listing of a source tree: rel_path, size, language."""
-    listing = list_tree(spark, root, CODE_FOLDERS).withColumn("language", language(F.col("rel_path")))
+    listing = list_tree(spark, root, CODE_FOLDERS).withColumn("language", language(F.col("rel_path"), languages))
     path = F.col("rel_path")
     kept = F.col("language") != ""
     if include:

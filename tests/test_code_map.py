@@ -7,9 +7,10 @@ import pathlib
 import pytest
 
 from marlstone import cli
+from marlstone.operators import pycode
 from marlstone.plans.code_map import map_codebase
 from marlstone.sinks.code_map import write_jsonl, write_markdown, write_outputs
-from marlstone.sources.files import code_files
+from marlstone.sources.files import CPP_SUFFIXES, code_files
 
 STAGES = 4
 
@@ -122,3 +123,29 @@ def test_scanner_filters(spark, tmp_path):
     assert names(code_files(spark, str(tmp_path), include=("src/*.cpp",))) == ["src/A.cpp"]
     assert names(code_files(spark, str(tmp_path), include=("src/*.[cC]*",))) == ["src/A.cpp", "src/deep/B.CPP"]
     assert names(code_files(spark, str(tmp_path), include=("?.h*",), exclude=("*/_gen/*",))) == [".hidden/J.h", "test/F.hpp"]
+
+
+def test_languages_and_analyzers_are_the_callers_choice(spark, tree, tmp_path):
+    module = 'import os\nfrom . import x\n\n@wrap\ndef outer(a, *, b=1):\n    """Doc."""\n    return inner(a) + os.getcwd()\n\nclass K(Base):\n    def inner(self): return outer(1)\n'
+    (tree / "tools").mkdir()
+    (tree / "tools" / "make.py").write_text(module)
+    (tree / "tools" / "broken.py").write_text("def (:\n")
+    languages = {"cpp": CPP_SUFFIXES, "python": (".py",), "text": (".txt",)}
+    (tree / "notes.txt").write_text("x")
+    result = map_codebase(spark, str(tree), str(tmp_path / "out"), "jsonl", languages=languages)
+    assert (result.file_count, result.record_count) == (5, STAGES + 2 + 3)
+    assert result.warnings == ["No analyzer for notes.txt"]
+    rows = {r["qualified_name"]: r for r in jsonl_rows(result.outputs["jsonl"]) if r["language"] == "python"}
+    assert set(rows) == {"tools.make.outer", "tools.make.K", "tools.make.K.inner"}
+    outer, inner = rows["tools.make.outer"], rows["tools.make.K.inner"]
+    assert (outer["line_start"], outer["line_end"], outer["signature"]) == (4, 7, "def outer(a, *, b=1)")
+    assert (outer["docstring"], outer["imports"], outer["calls"]) == ("Doc.", ["os", "."], ["inner", "getcwd"])
+    assert outer["code"] == "\n".join(module.split("\n")[3:7])
+    assert (inner["class"], inner["called_by"], outer["called_by"]) == ("K", ["tools.make.outer"], ["tools.make.K.inner"])
+    # Without one for C++ its files are named, and the rest is mapped.
+    few = map_codebase(spark, str(tree), str(tmp_path / "few"), "jsonl", languages=languages,
+                       analyzers={"python": pycode.analyze})
+    assert few.record_count == 3
+    assert few.warnings == [f"No analyzer for {n}" for n in ("checks/tests/all.cpp", "engine/chain.hpp", "notes.txt")]
+    # By default only C and C++ are looked for.
+    assert map_codebase(spark, str(tree), str(tmp_path / "cpp"), "jsonl").file_count == 2
