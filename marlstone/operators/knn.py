@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from marlstone.session import keep
 
 # Largest question set shipped whole to every task. A larger one takes the
 # block join below.
@@ -22,6 +25,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Questions that one matrix product takes at a time.
 QUESTION_BLOCK = 256
+# Vectors, or questions, that a task of the block join is dealt.
+GROUP_BYTES = 32 * 1024 * 1024
+# Vectors that one of its matrix products takes, and values of its exact differences.
+STORED_PART, PAIR_VALUES = 4096, 1 << 22
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -88,10 +95,10 @@ def _candidates(questions: np.ndarray, k: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch as one row: ids, then the vectors end to end."""
-    for batch in batches:
-        if batch.num_rows:
-            ids, vectors = batch.columns
+    """Up to QUESTION_BLOCK rows as one: ids, then the vectors end to end."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, QUESTION_BLOCK):
+            ids, vectors = whole.slice(start, QUESTION_BLOCK).columns
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
@@ -163,36 +170,125 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _ranked(found.join(F.broadcast(names), "position").drop("position"), k)
 
 
+def _group_best(asked: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int):
+    """Rows of ``asked``, positions in ``stored`` and distances of the k nearest, ties broken by id.
+
+    As in :func:`_closest`, a matrix product shortlists and plain differences
+    decide; coordinates are taken from a point amid the vectors, so that the
+    product keeps its digits far from the origin. Stored rows are compared a
+    part at a time, later ones only with what can still displace a neighbour.
+    """
+    finite = np.isfinite(stored).all(axis=1)
+    centre = stored[finite].mean(axis=0) if finite.any() else np.zeros(stored.shape[1])
+    own_at = asked - centre
+    own = (own_at * own_at).sum(axis=1)
+    eps = 8 * (stored.shape[1] + 4) * np.finfo(np.float64).eps
+    at_once = max(1, PAIR_VALUES // stored.shape[1])
+    row, pos, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    last = np.full(len(asked), np.inf)
+    for start in range(0, len(stored), STORED_PART):
+        part = stored[start : start + STORED_PART] - centre
+        squares = (part * part).sum(axis=1)
+        rough = own[:, None] + squares - 2.0 * own_at @ part.T
+        room = eps * (own + squares.max())
+        cut = last
+        if len(part) > k and not np.isfinite(last).all():
+            cut = np.fmin(last, np.partition(rough, k - 1, axis=1)[:, k - 1] + room)
+        # What is not a number is never ruled out here; it sorts last below.
+        q, v = np.nonzero(~(rough > (cut + room)[:, None]))
+        if not len(q):
+            continue
+        v += start
+        distance = np.empty(len(q))
+        for at in range(0, len(q), at_once):
+            span = slice(at, at + at_once)
+            delta = stored[v[span]] - asked[q[span]]
+            distance[span] = (delta * delta).sum(axis=1)
+        row, pos, far = np.concatenate([row, q]), np.concatenate([pos, v]), np.concatenate([far, distance])
+        order = np.lexsort((ids[pos], far, row))
+        begins = np.searchsorted(row[order], np.arange(len(asked) + 1))
+        order = order[np.arange(len(order)) - begins[row[order]] < k]
+        row, pos, far = row[order], pos[order], far[order]
+        ends = np.searchsorted(row, np.arange(len(asked) + 1))
+        full = np.diff(ends) == k
+        last[full] = far[ends[1:][full] - 1]
+    return row, pos, far
+
+
+def _group_search(k: int, types: tuple):
+    """mapInArrow body: rows of a slot, its vectors before its questions, to the slot's k best per question."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, ids, parts, stored = None, [], [], None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                now, flat = batch.column("slot")[at].as_py(), batch.column("flat")[at].values
+                if now != slot:
+                    slot, ids, parts, stored = now, [], [], None
+                if not batch.column("asked")[at].as_py():
+                    names = batch.column("ids")[at].as_py()
+                    ids += names
+                    parts.append(np.asarray(flat, dtype=np.float64).reshape(len(names), -1))
+                    continue
+                if not parts and stored is None:
+                    continue  # a slot without vectors
+                if stored is None:
+                    stored, keys, parts = np.concatenate(parts), np.array(ids), []
+                    named = pa.array(ids, types[1])
+                names = batch.column("q_ids")[at].values
+                asked = np.asarray(flat, dtype=np.float64).reshape(len(names), -1)
+                row, pos, distance = _group_best(asked, stored, keys, k)
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(row)).cast(types[0]), named.take(pa.array(pos)), pa.array(distance)],
+                    names=["query_id", "id", "distance"],
+                )
+
+    return search
+
+
+def _grid(stored_bytes: int, asked_bytes: int, tasks: int) -> tuple[int, int]:
+    """Groups of vectors and shares of questions: each bounded in bytes, together tasks for every core."""
+    groups = max(1, -(-stored_bytes // GROUP_BYTES))
+    return groups, max(1, -(-asked_bytes // GROUP_BYTES), -(-3 * tasks // groups))
+
+
 def _nearest_blocks(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Any number of questions: packed blocks meet through a keyed join.
+    """Any number of questions: every share of them meets every group of vectors in one task.
 
-    Vector blocks are dealt over slots; every question block visits every slot.
+    Groups and shares are bounded in bytes, so that a task holds one group
+    whatever the size of the tables. Vectors move once for each share, questions
+    once for each group.
     """
     spark = questions.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = {
-        "query_id": questions.schema["query_id"].dataType.simpleString(),
-        "id": vectors.schema["id"].dataType.simpleString(),
-    }
-
-    def packed(df: DataFrame, key: str, item: str) -> DataFrame:
-        return df.select(key, "embedding").mapInArrow(
-            _pack, f"ids array<{item}>, flat array<double>"
-        )
+    key, item = questions.schema["query_id"].dataType, vectors.schema["id"].dataType
 
-    asked = packed(questions, "query_id", kind["query_id"]).select(
-        F.col("ids").alias("q_ids"),
-        F.col("flat").alias("q_flat"),
-        F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"),
+    def packed(df: DataFrame, name: str, kind) -> DataFrame:
+        blocks = df.select(name, "embedding").mapInArrow(
+            _pack, f"ids array<{kind.simpleString()}>, flat array<double>"
+        )
+        return keep(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+    asked, stored = packed(questions, "query_id", key), packed(vectors, "id", item)
+    values = F.coalesce(F.sum(F.size("flat")), F.lit(0))
+    sizes = [8 * side.agg(values).first()[0] for side in (stored, asked)]
+    groups, shares = _grid(*sizes, spark.sparkContext.defaultParallelism)
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    slot = (F.col("group") * shares + F.col("share")).alias("slot")
+
+    left = stored.select("ids", "flat", dealt(groups).alias("group"), all_of(shares).alias("share")).select(
+        slot, F.lit(False).alias("asked"), F.lit(None).cast(asked.schema["ids"].dataType).alias("q_ids"), "ids", "flat"
     )
-    stored = packed(vectors, "id", kind["id"]).withColumn(
-        "slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int")
+    right = asked.select("ids", "flat", dealt(shares).alias("share"), all_of(groups).alias("group")).select(
+        slot, F.lit(True).alias("asked"), F.col("ids").alias("q_ids"),
+        F.lit(None).cast(stored.schema["ids"].dataType).alias("ids"), "flat",
     )
-    result = f"array<struct<query_id:{kind['query_id']},id:{kind['id']},distance:double>>"
-    pairs = stored.join(asked, "slot").select(
-        F.explode(_pair_search(k, result)("q_ids", "q_flat", "ids", "flat")).alias("hit")
+    met = left.unionByName(right).repartitionById(groups * shares, F.col("slot")).sortWithinPartitions("slot", "asked")
+    found = met.mapInArrow(
+        _group_search(k, (to_arrow_type(key), to_arrow_type(item))),
+        f"query_id {key.simpleString()}, id {item.simpleString()}, distance double",
     )
-    return _ranked(pairs.select("hit.*"), k)
+    return _ranked(found, k)
 
 
 def similarity(distance: Column) -> Column:

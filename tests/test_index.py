@@ -169,6 +169,41 @@ def test_nearest_matches_brute_force(spark, monkeypatch):
         knn.nearest(questions, vectors, 0)
 
 
+def test_blocks_of_questions_meet_groups_of_vectors(spark, monkeypatch):
+    """No side is broadcast; a task holds a bounded group, whose parts and ties give the flat result."""
+    rng = np.random.default_rng(5)
+    points = rng.integers(-3, 4, size=(700, 3)) + 1e6
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [float("nan")] * 3)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    asked = vectors.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    keys = ("query_id", "rank", "id", "distance")
+    hits = lambda frame: sorted(tuple(r[c] for c in keys) for r in frame.where("query_id < 900").collect())
+    found = hits(knn.nearest(asked, vectors.where("id < 900"), 4))
+    monkeypatch.setattr(knn, "BROADCAST_QUESTIONS", 0)
+    blocks = knn.nearest(asked, vectors, 4)
+    assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
+    assert hits(blocks) == found
+    monkeypatch.setattr(knn, "GROUP_BYTES", 4000)
+    assert knn._grid(700 * 24, 234 * 24, 4) == (5, 3)
+    assert hits(knn.nearest(asked, vectors, 4)) == found
+
+
+@pytest.mark.parametrize("size", [3, 500])
+def test_parts_of_a_group_give_the_nearest(monkeypatch, size):
+    monkeypatch.setattr(knn, "STORED_PART", 37)
+    monkeypatch.setattr(knn, "PAIR_VALUES", 50)
+    rng = np.random.default_rng(6)
+    stored = rng.integers(-3, 4, size=(size, 3)) + 1e6
+    asked, ids = stored[:40] + 0.25, rng.permutation(size)
+    row, pos, distance = knn._group_best(asked, stored, ids, 4)
+    found = list(zip(row.tolist(), distance.tolist(), ids[pos].tolist()))
+    want = []
+    for q, point in enumerate(asked):
+        far = ((stored - point) ** 2).sum(axis=1)
+        want += [(q, d, i) for d, i in sorted(zip(far.tolist(), ids.tolist()))[:4]]
+    assert found == want
+
+
 def test_search_and_context(spark, tmp_path):
     index = open_index(spark, tmp_path)
     with pytest.raises(RuntimeError, match="not been built"):
