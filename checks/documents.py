@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import query
 from marlstone.operators.chunk import chunk_pages, dedupe_chunks
+from marlstone.session import small_batches
 from marlstone.sources.tables import read_table
 from marlstone.streaming.index import added_ids, diff, stale_ids, unchanged_ids
 
@@ -42,6 +43,7 @@ DOCUMENT_PAGES = """page as (
 
 
 def document_pages(spark, folder) -> DataFrame:
+    small_batches(spark)
     documents = read_table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
     return documents.select(
         "doc_id",

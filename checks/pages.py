@@ -8,6 +8,7 @@ from checks import query
 from checks.documents import CHUNK_ID, CHUNKS
 from marlstone.operators.chunk import chunk_pages, page_sections
 from marlstone.operators.parse import good_pages, parse_files
+from marlstone.session import small_batches
 from marlstone.sources.tables import as_files, read_table
 
 def _replace(inner: str, pattern: str, by: str) -> str:
@@ -50,6 +51,7 @@ PARSED = f"parsed as (select page_id, {H1} as title, {_html_text()} as text from
 
 
 def parsed_pages(spark, folder):
+    small_batches(spark)
     pages = read_table(spark, folder, "pages").select("page_id", "html")
     path = F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html"))
     files = as_files(pages, path, F.col("html"), "site", "https://site.example.com/", prefix_source_path=True)

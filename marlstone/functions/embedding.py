@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import WORD
 
 
+# Words that a worker counts at a time; a longer text is counted alone.
+WORDS_AT_ONCE = 1 << 18
+
+
 class Embedder(Protocol):
     """Anything with a name and a Column-to-Column embedding."""
 
@@ -41,9 +45,20 @@ class HashedWords:
         return _unit_counts(self.dim)(found)
 
 
+def word_parts(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts that have about ``most`` words, one text at least."""
+    ends = np.cumsum(lengths)
+    parts, start = [], 0
+    while start < len(lengths):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        parts.append((start, stop))
+        start = stop
+    return parts
+
+
 def _unit_counts(dim: int):
-    @F.arrow_udf("array<float>")
-    def unit_counts(texts: pa.Array) -> pa.Array:
+    def unit(texts: pa.Array) -> np.ndarray:
         lengths = np.asarray(texts.value_lengths().fill_null(0), dtype=np.int64)
         rows = np.repeat(np.arange(len(texts)), lengths)
         words = texts.flatten().dictionary_encode()
@@ -53,9 +68,16 @@ def _unit_counts(dim: int):
         cells = rows * dim + bucket[np.asarray(words.indices)]
         counts = np.bincount(cells, minlength=len(texts) * dim).reshape(-1, dim)
         norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        unit = (counts / np.maximum(norms, 1e-300)).astype(np.float32)
-        offsets = np.arange(0, unit.size + 1, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, unit.ravel())
+        return (counts / np.maximum(norms, 1e-300)).astype(np.float32)
+
+    @F.arrow_udf("array<float>")
+    def unit_counts(texts: pa.Array) -> pa.Array:
+        lengths = np.asarray(texts.value_lengths().fill_null(0), dtype=np.int64)
+        out = np.empty((len(texts), dim), np.float32)
+        for start, stop in word_parts(lengths, WORDS_AT_ONCE):
+            out[start:stop] = unit(texts.slice(start, stop - start))
+        offsets = np.arange(0, out.size + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, out.ravel())
 
     return unit_counts
 

@@ -63,6 +63,10 @@ def let_array(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(F.array(value), body))
 
 
+# Values that a reader holds as Python objects at a time.
+READ_ROWS = 64
+
+
 def evaluated_once(reader: Callable, schema: str) -> Callable[[Column], Column]:
     """An Arrow UDF whose calls the optimizer may not copy.
 
@@ -79,15 +83,30 @@ def read_each(read: Callable, values: pa.Array, kind: pa.StructType, name: str)
     that is not Unicode) becomes the row's ``error``, never the job's.
     """
 
-    def one(value) -> pa.Array:
+    def failed(problem: Exception) -> dict:
+        reason = f"{name}: {problem or type(problem).__name__}".encode("utf-8", "replace").decode()
+        return {"error": reason}
+
+    def one(value) -> dict | None:
         try:
-            return pa.array([None if value is None else read(value)], kind)
+            return None if value is None else read(value)
         except Exception as problem:
-            reason = f"{name}: {problem or type(problem).__name__}".encode("utf-8", "replace").decode()
-            return pa.array([{"error": reason}], kind)
+            return failed(problem)
 
-    rows = [one(value) for value in values.to_pylist()]
-    return pa.concat_arrays(rows) if rows else pa.array([], kind)
+    def column(rows: list) -> pa.Array:
+        try:
+            return pa.array(rows, kind)
+        except Exception as problem:  # Arrow cannot hold one of them
+            if len(rows) == 1:
+                return pa.array([failed(problem)], kind)
+            return pa.concat_arrays([column([row]) for row in rows])
+
+    # A few values at a time are held as Python objects.
+    parts = [
+        column([one(value.as_py()) for value in values.slice(at, READ_ROWS)])
+        for at in range(0, len(values), READ_ROWS)
+    ]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def strip(col: Column) -> Column:

@@ -32,6 +32,15 @@ def build_session(app_name: str = "marlstone", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a session that is not the library's own hand texts to Python in batches of the library's size.
+
+    Every worker of an executor holds a batch of texts and one of results.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, DEFAULT_CONF[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: the cluster's own, else a local one.
 

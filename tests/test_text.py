@@ -5,8 +5,13 @@ import pathlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+import checks
+from marlstone.functions.embedding import word_parts
 from marlstone.functions import paths
 from marlstone.functions import text as tx
 
@@ -95,3 +100,43 @@ def test_urls(spark):
     assert column(spark, files, lambda p: paths.docs_url(p, base)) == [prefix + cases[f][0] for f in files]
     assert column(spark, files, lambda p: paths.source_url(p, base)) == [prefix + cases[f][1] for f in files]
     assert column(spark, files, lambda p: paths.source_url(p, blob)) == [link + cases[f][2] for f in files]
+
+
+@pytest.mark.parametrize("name, table", [("html_headings", "pages"), ("embed_hash", "documents")])
+def test_texts_go_to_python_in_small_batches(spark, tmp_path, name, table):
+    pages = "page_id long, url string, html string"
+    documents = "doc_id long, text string, lang string, source string"
+    rows = {"pages": [(1, "u", "<h1>a</h1>b")], "documents": [(1, "reed pond", "en", "web")]}[table]
+    frame = spark.createDataFrame(rows, pages if table == "pages" else documents)
+    frame.write.parquet(f"{tmp_path}/{table}.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert checks.QUERIES[name](spark, str(tmp_path)).count() > 0
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_words_are_counted_in_parts():
+    assert word_parts(np.array([3, 0, 5, 9, 1, 1]), 5) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert word_parts(np.array([0, 0]), 5) == [(0, 2)]
+    assert word_parts(np.array([], np.int64), 5) == []
+
+
+def test_a_value_that_arrow_cannot_hold_spoils_no_other():
+    kind = pa.struct([("x", pa.string()), ("error", pa.string())])
+    values = pa.array([str(i) for i in range(150)] + [None])
+    bad = {"70": {"x": "\ud800"}, "90": {"x": 5}}
+
+    def read(value):
+        if value == "149":
+            raise ValueError("no")
+        return bad.get(value, {"x": value})
+
+    rows = tx.read_each(read, values, kind, "T").to_pylist()
+    assert len(rows) == 151 and rows[150] is None
+    assert rows[149] == {"x": None, "error": "T: no"}
+    assert {i for i, r in enumerate(rows) if r and r["error"]} == {70, 90, 149}
+    assert all(r["x"] == str(i) for i, r in enumerate(rows) if r and not r["error"])
