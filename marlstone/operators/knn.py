@@ -110,26 +110,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _pair_search(k: int, result: str):
-    @F.arrow_udf(result)
-    def search(q_ids: pa.Array, q_flat: pa.Array, ids: pa.Array, flat: pa.Array) -> pa.Array:
-        rows = []
-        for names, questions, keys, vectors in zip(q_ids, q_flat, ids, flat):
-            names, keys = names.as_py(), np.array(keys.as_py())
-            asked = np.asarray(questions.values, dtype=np.float64).reshape(len(names), -1)
-            stored = np.asarray(vectors.values, dtype=np.float64).reshape(len(keys), -1)
-            hits = []
-            for q, (found, distance) in enumerate(_closest(asked, stored, keys, k)):
-                hits += [
-                    {"query_id": names[q], "id": keys[i].item(), "distance": float(d)}
-                    for i, d in zip(found, distance)
-                ]
-            rows.append(hits)
-        return pa.array(rows)
-
-    return search
-
-
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -170,13 +150,23 @@ def nearest(questions: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _ranked(found.join(F.broadcast(names), "position").drop("position"), k)
 
 
-def _group_best(asked: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int):
+def _k_best(row: np.ndarray, pos: np.ndarray, far: np.ndarray, ids: np.ndarray, rows: int, k: int):
+    """The k best of each of ``rows``, ties broken by id; and where in them each row begins."""
+    order = np.lexsort((ids[pos], far, row))
+    begins = np.searchsorted(row[order], np.arange(rows + 1))
+    order = order[np.arange(len(order)) - begins[row[order]] < k]
+    row, pos, far = row[order], pos[order], far[order]
+    return row, pos, far, np.searchsorted(row, np.arange(rows + 1))
+
+
+def _group_best(asked: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int, last: np.ndarray | None = None):
     """Rows of ``asked``, positions in ``stored`` and distances of the k nearest, ties broken by id.
 
     As in :func:`_closest`, a matrix product shortlists and plain differences
     decide; coordinates are taken from a point amid the vectors, so that the
     product keeps its digits far from the origin. Stored rows are compared a
     part at a time, later ones only with what can still displace a neighbour.
+    ``last`` is a distance for each question beyond which nothing is wanted.
     """
     finite = np.isfinite(stored).all(axis=1)
     centre = stored[finite].mean(axis=0) if finite.any() else np.zeros(stored.shape[1])
@@ -185,7 +175,7 @@ def _group_best(asked: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int):
     eps = 8 * (stored.shape[1] + 4) * np.finfo(np.float64).eps
     at_once = max(1, PAIR_VALUES // stored.shape[1])
     row, pos, far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    last = np.full(len(asked), np.inf)
+    last = np.full(len(asked), np.inf) if last is None else last.copy()
     for start in range(0, len(stored), STORED_PART):
         part = stored[start : start + STORED_PART] - centre
         squares = (part * part).sum(axis=1)
@@ -205,13 +195,9 @@ def _group_best(asked: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int):
             delta = stored[v[span]] - asked[q[span]]
             distance[span] = (delta * delta).sum(axis=1)
         row, pos, far = np.concatenate([row, q]), np.concatenate([pos, v]), np.concatenate([far, distance])
-        order = np.lexsort((ids[pos], far, row))
-        begins = np.searchsorted(row[order], np.arange(len(asked) + 1))
-        order = order[np.arange(len(order)) - begins[row[order]] < k]
-        row, pos, far = row[order], pos[order], far[order]
-        ends = np.searchsorted(row, np.arange(len(asked) + 1))
+        row, pos, far, ends = _k_best(row, pos, far, ids, len(asked), k)
         full = np.diff(ends) == k
-        last[full] = far[ends[1:][full] - 1]
+        last[full] = np.fmin(last[full], far[ends[1:][full] - 1])
     return row, pos, far
 
 

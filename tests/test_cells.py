@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import knn
+from marlstone.operators import cells, knn
 from marlstone.operators.cells import CellIndex, build_cells
 from marlstone.session import shared_dir
 
@@ -80,3 +80,53 @@ def test_a_question_reads_few_files(spark, monkeypatch):
     files = [f for f in every.inputFiles() if int(f.split("cell=")[1].split("/")[0]) in read]
     assert 3 * sum(os.path.getsize(f.removeprefix("file://")) for f in files) < size(every)
     assert math.isclose(sum(c["size"] for c in index.cells()), 1800)
+
+
+def test_a_question_moves_once_for_a_group_of_cells(spark, monkeypatch):
+    # On a sphere of many dimensions nothing clusters: every question visits most of the 30 cells.
+    points = np.random.default_rng(3).standard_normal((900, 24))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    stored = vectors(spark, points)
+    index = build_cells(stored, shared_dir(spark), cells=30)
+    kept, plain = [], cells.keep
+    monkeypatch.setattr(cells, "keep", lambda frame, *path: kept.append(plain(frame, *path)) or kept[-1])
+    found = index.nearest(asked(stored), 5)
+    assert hits(found) == hits(knn.nearest(asked(stored), stored, 5))
+    # Neither a row for each question and cell nor one for each cell of a group is written or shuffled.
+    assert max(f.count() for f in kept) <= 5 * 900
+    shuffled = [f for f in kept if "visits" in f.columns]
+    assert [f.count() for f in shuffled] == [900, 900]
+    assert sum(f.select(F.explode("visits")).count() for f in shuffled) <= 2 * 900
+
+
+@pytest.mark.parametrize("copies", [0, 700])
+def test_groups_smaller_than_a_cell(spark, monkeypatch, copies):
+    points = np.concatenate([clusters(groups=6), np.tile(np.full(8, 3.0), (copies, 1))])
+    stored = vectors(spark, points)
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 16)
+    index = build_cells(stored, shared_dir(spark), cells=12)
+    monkeypatch.setattr(cells, "GROUP_BYTES", 50 * 8 * 8)
+    groups = cells._groups(index.cells(), 1)
+    assert max(span for _, span in groups) > 1 and len(cells._members(groups)) >= len(points) // 50
+    questions = asked(vectors(spark, np.concatenate([points[::7], points[:9] + 0.4]), 9000))
+    assert hits(index.nearest(questions, 6)) == hits(knn.nearest(questions, stored, 6))
+
+
+def test_groups_and_shares_are_bounded(monkeypatch):
+    monkeypatch.setattr(cells, "GROUP_BYTES", 100 * 8 * 2)
+    known = [{"cell": i, "size": n, "centre": [float(i % 3) * 50, float(i)]} for i, n in enumerate([30, 40, 250, 30, 60, 5])]
+    groups = cells._groups(known, 1)
+    held = {g: sum(known[i]["size"] / groups[i][1] for i in at) for g, at in cells._members(groups).items()}
+    assert max(held.values()) <= 100 and groups[2][1] == 3
+    assert cells._shares({0: 5, 1: 1000}, 2, 4) == {0: 1, 1: 10}  # 1000 questions of 16 bytes, 100 a share
+    assert sum(cells._shares({0: 9, 1: 9}, 2, 8).values()) == 2  # few questions do not move vectors more than once
+
+
+def test_a_question_that_is_not_a_number(spark):
+    points = clusters(groups=5)
+    stored = vectors(spark, points)
+    index = build_cells(stored, shared_dir(spark), cells=10)
+    questions = asked(vectors(spark, np.concatenate([points[:2], np.full((1, 8), np.nan)]), 9000))
+    near = {(r.query_id, r["rank"]): r.id for r in index.nearest(questions, 4).collect()}
+    flat = {(r.query_id, r["rank"]): r.id for r in knn.nearest(questions, stored, 4).collect()}
+    assert near == flat and len(near) == 8
