@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import pickle
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,15 +15,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import WORD_BYTES, broadcast_within, give_back, keep, shared_dir, slices, utf8
+from marlstone.llm.common import WORD_BYTES, broadcast_within, give_back, keep, shared_dir, slices
 
 # A term weighs idf * (PLAIN + chi-squared / 10); a term that tells nothing about toxicity has a chi-squared of about 1.
 PLAIN = 0.2
 
+_WORD_BYTES = np.frombuffer(WORD_BYTES, np.uint8)
+# Characters beyond ASCII that str.split takes for spaces.
+_WIDE_SPACE = re.compile(
+    rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+)
 
-def terms_of(text: str | None) -> list[str]:
-    """The words of a text, A-Z in lower case."""
-    return utf8(text).translate(WORD_BYTES).decode("utf-8", "surrogatepass").split()
+
+def _word_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, A-Z in lower case; then row, word number and count of each word of each text, in order.
+
+    Words end where ``str.split`` ends them.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not len(texts):
+        return texts, *[np.zeros(0, np.int64)] * 3
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = _WORD_BYTES[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends -= ends[0]
+    if (data >= 128).any():
+        data = np.frombuffer(_WIDE_SPACE.sub(lambda m: b" " * len(m[0]), data.tobytes()), np.uint8)
+    inside = data != 32
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = ends[:-1][ends[:-1] < len(data)]
+    begins[edges] = inside[edges]
+    begins = np.flatnonzero(begins)
+    row = np.searchsorted(ends, begins, side="right") - 1
+    # The words one after the other, without spaces.
+    starts = np.append((np.cumsum(inside) - 1)[begins], inside.sum()).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(starts), pa.py_buffer(data[inside]))
+    words = found.dictionary_encode()
+    many = max(1, len(words.dictionary))
+    keys, times = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
+    return words.dictionary, keys // many, keys % many, times
 
 
 def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -39,50 +68,68 @@ class ExampleIndex:
     Examples with equal vectors are one entry with their summed votes. Entries
     lie in blocks of ``BLOCK``. Of each term the index has its postings, cut at
     block borders, and its largest weight in each of its blocks; nothing is
-    stored where a term doesn't occur. Words outside ``terms`` count as one
-    common term, the last one, with the weight ``unseen`` for each of them.
+    stored where a term doesn't occur. The terms of the most entries are rows of
+    a dense matrix instead, of at most ``DENSE_BYTES``. Words outside ``terms``
+    count as one common term, the last one, with the weight ``unseen`` for each
+    of them.
     """
 
-    terms: dict[str, int]
+    terms: dict[str, int] | pa.Array
     weights: np.ndarray
     prior: float
     neighbours: int
     unseen: float = 1.0
     entries: list[tuple] = field(default_factory=list)
     BLOCK = 64
-    FIRST = 4
-    KNOWN = 2_000
+    DENSE = 512
+    DENSE_BYTES = 16 << 20
+    TEXTS = 64
     SOFT = 0.05
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text; unit length, or empty for a text without words."""
-        counts = Counter(terms_of(text))
-        return self.vector_of(list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
-
-    def vector_of(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same from distinct words and how often each occurs."""
-        get, rest = self.terms.get, len(self.terms)
-        at = np.fromiter((get(w, rest) for w in words), np.int64, len(words))
+    def __post_init__(self) -> None:
+        if isinstance(self.terms, dict):
+            self.terms = pa.array(sorted(self.terms, key=self.terms.get), pa.string())
+
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, term numbers and weights of texts, in order; unit length, or nothing for a text without words."""
+        words, row, at, times = _word_counts(texts)
+        return self.vectors_of(len(texts), row, words, at, times)
+
+    def vectors_of(
+        self, many: int, row: np.ndarray, words: pa.Array, at: np.ndarray, times: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same from rows, numbers in ``words`` and counts."""
+        rest = len(self.terms)
+        at = pc.fill_null(pc.index_in(words, value_set=self.terms), rest).to_numpy().astype(np.int64)[at]
         own = at < rest
-        others = int(np.square(times[~own]).sum())
-        at, times = at[own], times[own]
-        order = np.argsort(at)
-        at = at[order]
-        values = times[order] * self.weights[at]
-        if others:
-            at, values = np.append(at, rest), np.append(values, self.unseen * np.sqrt(others))
-        return at, values / np.sqrt((values**2).sum()) if len(at) else values
+        others = np.bincount(row[~own], np.square(times[~own]), many)
+        extra = np.flatnonzero(others)
+        row, at, times = row[own], at[own], times[own]
+        order = np.argsort(row * (rest + 1) + at)
+        row, at, times = row[order], at[order], times[order]
+        # The common term is the last one of its row.
+        last = np.searchsorted(row, extra, side="right")
+        values = np.insert(times * self.weights[at], last, self.unseen * np.sqrt(others[extra]))
+        row, at = np.insert(row, last, extra), np.insert(at, last, rest)
+        return row, at, values / np.sqrt(np.bincount(row, values**2, many))[row]
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of a text."""
+        return self.vectors(pa.array([text], pa.string()))[1:]
 
     def build(self, examples: list[tuple]) -> ExampleIndex:
         """From (id, toxic, class weight, text)."""
-        return self.build_of([(*e[:3], *self.vector(e[3])) for e in examples])
+        names = [e[:3] for e in examples]
+        return self.build_of(names, *self.vectors(pa.array([e[3] for e in examples], pa.string())))
 
-    def build_of(self, examples: list[tuple]) -> ExampleIndex:
-        """From (id, toxic, class weight, term numbers, weights)."""
+    def build_of(self, names: list[tuple], row: np.ndarray, at: np.ndarray, values: np.ndarray) -> ExampleIndex:
+        """From (id, toxic, class weight) of each row and the rows' vectors."""
         groups: dict[tuple, list] = {}
-        for name, toxic, weight, at, values in examples:
-            key = at.tobytes(), np.round(values, 9).tobytes()
-            group = groups.setdefault(key, [at, values, 0, 0.0, 0.0, []])
+        cuts = np.searchsorted(row, np.arange(len(names) + 1))
+        for (name, toxic, weight), begin, end in zip(names, cuts, cuts[1:]):
+            own, sizes = at[begin:end], values[begin:end]
+            key = own.tobytes(), np.round(sizes, 9).tobytes()
+            group = groups.setdefault(key, [own, sizes, 0, 0.0, 0.0, []])
             group[2] += 1
             group[3] += weight * toxic
             group[4] += weight
@@ -91,86 +138,107 @@ class ExampleIndex:
         order = sorted(groups.values(), key=lambda g: (int(g[0][g[1].argmax()]) if len(g[0]) else -1, g[0].tolist(), g[1].tolist()))
         self.entries = [(g[2], g[3], g[4], sorted(g[5])[:3]) for g in order]
         self.blocks = max(1, -(-len(order) // self.BLOCK))
-        sizes = [len(g[0]) for g in order]
         term = np.concatenate([np.zeros(0, np.int64), *(g[0] for g in order)])
-        entry = np.repeat(np.arange(len(order)), sizes)
+        entry = np.repeat(np.arange(len(order)), [len(g[0]) for g in order])
         value = np.concatenate([np.zeros(0), *(g[1] for g in order)])
+        # Terms of the most entries; a term has its row in the matrix, or -1.
+        spread = np.bincount(term, minlength=len(self.terms) + 1)
+        rows = min(self.DENSE, self.DENSE_BYTES // (8 * max(1, len(order))), len(spread))
+        top = np.argsort(-spread, kind="stable")[:rows]
+        self.dense_row = np.full(len(spread), -1, np.int32)
+        self.dense_row[top] = np.arange(rows)
+        mine = self.dense_row[term]
+        self.dense = np.zeros((rows, len(order)))
+        self.dense[mine[mine >= 0], entry[mine >= 0]] = value[mine >= 0]
+        term, entry, value = term[mine < 0], entry[mine < 0], value[mine < 0]
         sort = np.argsort(term, kind="stable")
         term, self.entry, self.value = term[sort], entry[sort].astype(np.int32), value[sort]
         # Postings of a term in a block are a run; of each term, the first of its runs.
         place = term * self.blocks + self.entry // self.BLOCK
         run = np.flatnonzero(np.diff(place, prepend=-1))
-        self.run = np.append(run, len(place))
+        self.run = np.append(run, len(place)).astype(np.int32)
         self.run_block = (place[run] % self.blocks).astype(np.int32)
         self.run_max = np.maximum.reduceat(self.value, run) if len(run) else np.zeros(0)
-        self.first_run = np.searchsorted(term[run], np.arange(len(self.terms) + 2))
+        self.first_run = np.searchsorted(term[run], np.arange(len(self.terms) + 2)).astype(np.int32)
         self.votes = np.array([(e[0], e[1], e[2]) for e in self.entries], np.float64).reshape(-1, 3)
-        self.known = {}
         return self
 
-    def _nearest(self, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines of the nearest examples, all ties of the last one included.
+    def _cosines(self, many: int, row: np.ndarray, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of texts and entries, and a limit for each text; an entry below its text's limit may have less than its cosine.
 
-        The blocks with the highest bounds set a limit; then those whose bound
-        reaches it are scored. No other block can hold a neighbour.
+        Products with the dense terms are a lower bound of all cosines, which
+        gives the limit. Blocks whose bound (the largest of these products, plus
+        the largest weights of the other terms) reaches it get the rest. No other
+        block can hold a neighbour.
         """
-        sizes = self.first_run[at + 1] - self.first_run[at]
-        runs, weights = _ranges(self.first_run[at], sizes), np.repeat(values, sizes)
-        bounds = np.bincount(self.run_block[runs], weights * self.run_max[runs], self.blocks)
-        first = np.argpartition(-bounds, self.FIRST)[: self.FIRST] if len(bounds) > self.FIRST else np.arange(len(bounds))
-        limit = self._kth(*self._scored(runs, weights, first))
-        found, near = self._scored(runs, weights, np.flatnonzero(bounds >= limit - 1e-9))
-        limit = self._kth(found, near)
-        best = near >= limit - 1e-9
-        found, near = found[best], near[best]
-        order = np.lexsort((found, -np.round(near, 9)))
-        return found[order], near[order]
-
-    def _scored(self, runs: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All entries of some blocks and their cosines, from the runs of a text's terms."""
-        if len(blocks) < self.blocks:
-            wanted = np.zeros(self.blocks, bool)
-            wanted[blocks] = True
-            mine = wanted[self.run_block[runs]]
-            runs, weights = runs[mine], weights[mine]
+        wide, size = self.dense_row[at], len(self.entries)
+        query = np.zeros((many, len(self.dense)))
+        query[row[wide >= 0], wide[wide >= 0]] = values[wide >= 0]
+        cosines = query @ self.dense
+        limits = self._least(cosines)
+        row, at, values = row[wide < 0], at[wide < 0], values[wide < 0]
+        begins = self.first_run[at]
+        sizes = self.first_run[at + 1] - begins
+        runs, row, values = _ranges(begins, sizes), np.repeat(row, sizes), np.repeat(values, sizes)
+        place = row * self.blocks + self.run_block[runs]
+        bounds = np.bincount(place, values * self.run_max[runs], many * self.blocks).reshape(many, self.blocks)
+        if size:
+            bounds = bounds + np.maximum.reduceat(cosines, np.arange(0, size, self.BLOCK), axis=1)
+        wanted = (bounds >= limits[:, None] - 1e-9).ravel()[place]
+        runs, row, values = runs[wanted], row[wanted], values[wanted]
         sizes = self.run[runs + 1] - self.run[runs]
         postings = _ranges(self.run[runs], sizes)
-        scores = np.bincount(self.entry[postings], np.repeat(weights, sizes) * self.value[postings], len(self.entries))
-        entries = (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel()
-        entries = entries[entries < len(self.entries)]
-        return entries, scores[entries]
+        cosines = cosines + np.bincount(
+            np.repeat(row * size, sizes) + self.entry[postings], np.repeat(values, sizes) * self.value[postings], many * size
+        ).reshape(many, size)
+        return cosines, self._least(cosines)
+
+    def _least(self, cosines: np.ndarray) -> np.ndarray:
+        """Of each row, the cosine at the place of the last neighbour if every entry were one example; -1 if they are too few."""
+        if cosines.shape[1] <= self.neighbours:
+            return np.full(len(cosines), -1.0)
+        return np.partition(cosines, -self.neighbours, axis=1)[:, -self.neighbours]
 
     def _kth(self, entries: np.ndarray, cosines: np.ndarray) -> float:
         """Cosine of the last neighbour among these entries, each as many as its examples; -1 if they are too few."""
-        if len(cosines) > 4 * self.neighbours:  # an entry is an example at least
-            cut = np.partition(cosines, -self.neighbours)[-self.neighbours]
-            entries, cosines = entries[cosines >= cut], cosines[cosines >= cut]
         order = np.argsort(-cosines)
         enough = np.searchsorted(np.cumsum(self.votes[entries[order], 0]), self.neighbours)
         return float(cosines[order[enough]]) if enough < len(order) else -1.0
 
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        """Share of toxic votes weighted by nearness, smoothed by the prior, and the nearest examples."""
-        said = hashlib.blake2b(utf8(text), digest_size=16).digest()
-        if said in self.known:
-            return self.known[said]
-        at, values = self.vector(text)
-        key = hashlib.blake2b(at.tobytes() + values.tobytes(), digest_size=16).digest()
-        if key in self.known:
-            return self.known[key]
-        entries, cosines = self._nearest(at, values)
+    def _vote(self, entries: np.ndarray, cosines: np.ndarray) -> tuple[float, list[tuple]]:
+        """Score and evidence from the entries that can be neighbours of a text."""
+        best = cosines >= self._kth(entries, cosines) - 1e-9
+        entries, cosines = entries[best], cosines[best]
+        order = np.lexsort((entries, -np.round(cosines, 9)))
+        entries, cosines = entries[order], cosines[order]
         weights = 1 / (self.SOFT + np.maximum(0, 1 - cosines))
-        toxic, every = (weights * self.votes[entries, 1]).sum(), (weights * self.votes[entries, 2]).sum()
+        every, toxic, both = self.votes[entries].T
         evidence = []
         for e, c in zip(entries[:3].tolist(), cosines[:3].tolist()):
             evidence += [(name, toxic_, min(1.0, c)) for name, toxic_ in self.entries[e][3]]
         # Neighbours that aren't there vote as the prior does, from nearby.
-        unsure = 2 + max(0, self.neighbours - self.votes[entries, 0].sum()) / self.SOFT
-        result = float((toxic + unsure * self.prior) / (every + unsure)), evidence[:3]
-        if len(self.known) >= self.KNOWN:
-            self.known.clear()
-        self.known[said] = self.known[key] = result
-        return result
+        unsure = 2 + max(0, self.neighbours - every.sum()) / self.SOFT
+        return float(((weights * toxic).sum() + unsure * self.prior) / ((weights * both).sum() + unsure)), evidence[:3]
+
+    def score(self, text: str | None) -> tuple[float, list[tuple]]:
+        """Share of toxic votes weighted by nearness, smoothed by the prior, and the nearest examples."""
+        return self.scores(pa.array([text], pa.string()))[0]
+
+    def scores(self, texts: pa.Array) -> list[tuple[float, list[tuple]]]:
+        """The same of each text; equal texts are scored once."""
+        texts = pc.fill_null(texts, "").dictionary_encode()
+        many = len(texts.dictionary)
+        row, at, values = self.vectors(texts.dictionary)
+        results = []
+        for first in range(0, many, self.TEXTS):
+            part = min(self.TEXTS, many - first)
+            begin, end = np.searchsorted(row, [first, first + part])
+            cosines, limits = self._cosines(part, row[begin:end] - first, at[begin:end], values[begin:end])
+            text, entry = np.nonzero(cosines >= limits[:, None] - 1e-9)
+            cuts = np.searchsorted(text, np.arange(part + 1))
+            near = cosines[text, entry]
+            results += [self._vote(entry[i:j], near[i:j]) for i, j in zip(cuts, cuts[1:])]
+        return [results[i] for i in texts.indices.to_pylist()]
 
 
 @dataclass(frozen=True)
@@ -184,14 +252,16 @@ class FittedIndex:
         from pyarrow.fs import FileSystem
 
         system, place = FileSystem.from_uri(self.path)
-        state = pickle.loads(dataset(place, filesystem=system, format="parquet").to_table().column("data")[0].as_buffer())
+        parts = dataset(place, filesystem=system, format="parquet").to_table().sort_by("part").column("data")
+        state = pickle.loads(b"".join(p.as_buffer() for p in parts))
+        del parts
         give_back()
         index = ExampleIndex(state["terms"], state["weights"], state["prior"], state["neighbours"])
         vars(index).update(state)
         return index
 
     @property
-    def terms(self) -> dict[str, int]:
+    def terms(self) -> pa.Array:
         return self.load().terms
 
     def release(self) -> None:
@@ -204,24 +274,26 @@ class FittedIndex:
 
 def _term_counts(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
     """(term, docs, toxic, clean), several rows a term: documents with the term, and of these the labelled ones."""
+    names = ["docs", "toxic", "clean"]
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by("term").aggregate([(n, "sum") for n in names])
+        return sums.select(["term", *(f"{n}_sum" for n in names)]).rename_columns(["term", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {None: Counter(), 1: Counter(), 0: Counter()}
-
-        def flush() -> pa.RecordBatch:
-            names = list(set().union(*sums.values()))
-            columns = [[sum(c[n] for c in sums.values()) for n in names], *([sums[k][n] for n in names] for k in (1, 0))]
-            out = pa.record_batch([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["term", "docs", "toxic", "clean"])
-            for c in sums.values():
-                c.clear()
-            return out
-
-        for batch in batches:
-            for value, toxic in zip(batch.column(text).to_pylist(), batch.column("toxic").to_pylist()):
-                sums[toxic].update(set(terms_of(value)))
-                if sum(map(len, sums.values())) > most:
-                    yield flush()
-        yield flush()
+        held = []
+        for batch in slices(batches, text):
+            words, row, at, _ = _word_counts(batch.column(text))
+            toxic = pc.fill_null(batch.column("toxic"), -1).to_numpy()[row]
+            counts = [np.bincount(own, minlength=len(words)) for own in (at, at[toxic == 1], at[toxic == 0])]
+            held.append(pa.table([words, *map(pa.array, counts)], ["term", *names]))
+            if sum(map(len, held)) > most:
+                held = [summed(held)]
+                if len(held[0]) > most // 2:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed(held).to_batches()
+        held.clear()
         give_back()
 
     return docs.select(text, "toxic").mapInArrow(run, "term string, docs long, toxic long, clean long")
@@ -233,34 +305,43 @@ def _bags(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            bags = [Counter(terms_of(t)) for t in batch.column("text").to_pylist()]
+            words, row, at, times = _word_counts(batch.column("text"))
+            cuts = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, c) for c in (words.take(pa.array(at)), pa.array(times))]
             columns = [batch.column(c) for c in ("id", "toxic", "share")]
-            words, times = pa.array([list(b) for b in bags], pa.list_(pa.string())), pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))
-            yield pa.record_batch([*columns, words, times], ["id", "toxic", "share", "words", "times"])
+            yield pa.record_batch([*columns, *lists], ["id", "toxic", "share", "words", "times"])
 
     return examples.mapInArrow(
         run, f"id {kind.simpleString()}, toxic int, share double, words array<string>, times array<long>"
     )
 
 
-def _built(bags: DataFrame, chosen: DataFrame, **settings) -> DataFrame:
-    """One row, the pickled index: a task gets the bounded examples and their terms, which are no more than their words."""
+def _built(bags: DataFrame, chosen: DataFrame, part: int = 4 << 20, **settings) -> DataFrame:
+    """The pickled index in parts: a task gets the bounded examples and their terms, which are no more than their words."""
 
     def run(examples: pa.Table, terms: pa.Table) -> pa.Table:
-        order = pc.sort_indices(terms, [("term", "ascending")])
-        terms = terms.take(order)
-        index = ExampleIndex(
-            terms={w: i for i, w in enumerate(terms.column("term").to_pylist())},
-            weights=np.array(terms.column("weight").to_pylist(), np.float64),
-            **settings,
-        )
-        columns = [examples.column(c).to_pylist() for c in ("id", "toxic", "share", "words", "times")]
-        rows = sorted(zip(*columns), key=lambda r: (r[0], r[3]))
-        index.build_of([(*r[:3], *index.vector_of(r[3], np.array(r[4], np.int64))) for r in rows])
-        return pa.table({"data": pa.array([pickle.dumps(vars(index), protocol=5)], pa.binary())})
+        terms = terms.sort_by("term").combine_chunks()
+        examples = examples.sort_by("id").combine_chunks()
+        names, weights = (terms.column(c).combine_chunks() for c in ("term", "weight"))
+        index = ExampleIndex(terms=names, weights=weights.to_numpy(), **settings)
+        lists, times = (examples.column(c).combine_chunks() for c in ("words", "times"))
+        sizes = pc.list_value_length(lists).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        row, at = np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy()
+        vectors = index.vectors_of(len(sizes), row, words.dictionary, at, times.flatten().to_numpy())
+        index.build_of(list(zip(*(examples.column(c).to_pylist() for c in ("id", "toxic", "share")))), *vectors)
+        data = pickle.dumps(vars(index), protocol=5)
+        del examples, terms, lists, times, words, row, at, vectors, index
+        give_back()
+        return _parts(data, part)
 
     one = lambda frame: frame.withColumn("all", F.lit(0)).groupBy("all")
-    return one(bags).cogroup(one(chosen)).applyInArrow(run, "data binary")
+    return one(bags).cogroup(one(chosen)).applyInArrow(run, "part int, data binary")
+
+
+def _parts(data: bytes, size: int) -> pa.Table:
+    cuts = range(0, len(data), size)
+    return pa.table({"part": pa.array(range(len(cuts)), pa.int32()), "data": pa.array([data[i : i + size] for i in cuts], pa.binary())})
 
 
 def fit(
@@ -332,7 +413,7 @@ def fit(
         keep(_built(bags, weighed.where("used").select("term", "weight"), **settings), path)
     else:
         data = pickle.dumps(vars(ExampleIndex({}, np.zeros(0), **settings).build([])))
-        keep(docs.sparkSession.createDataFrame([(data,)], "data binary"), path)
+        keep(docs.sparkSession.createDataFrame([(0, data)], "part int, data binary"), path)
     return FittedIndex(path)
 
 
@@ -359,8 +440,8 @@ def toxicity(docs: DataFrame, index: FittedIndex, id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.load()
-        for batch in batches:
-            found = [own.score(t) for t in batch.column(text).to_pylist()]
+        for batch in slices(batches, text):
+            found = own.scores(batch.column(text))
             shown = [[{"example": e, "toxic": t, "cosine": c} for e, t, c in near] for _, near in found]
             columns = [batch.column(f.name) for f in kept]
             yield pa.record_batch(

@@ -11,11 +11,12 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, decontaminate, lm, near_dup, packing, pii, quality, queries, token_counts, toxicity, warc
-from marlstone.llm.common import shared_dir, words
+from marlstone.llm.common import WORD_BYTES, shared_dir, words
 
 import odd
 
@@ -464,6 +465,60 @@ def test_examples_are_bounded_by_rows(spark):
     assert abs(sum(e[2] for e in index.entries) - 50) < 1e-9
 
 
+def test_words_of_a_batch_end_where_str_split_ends_them():
+    rng = random.Random(5)
+    letters = "ab A\u00e9\u3000\u00a0\u2003 \n\x85\x1c\u200b\U0001f600,"
+    batches = [[c + "a" + c for c in map(chr, range(0x3100))]]
+    batches += [[None if rng.random() < 0.1 else "".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(rng.randint(0, 9))] for _ in range(200)]
+    for batch in batches:
+        part = pa.array([*batch[:3], *batch], pa.string()).slice(len(batch[:3]))
+        words_, row, at, times = toxicity._word_counts(part)
+        got = [Counter() for _ in batch]
+        for r, a, n in zip(row.tolist(), at.tolist(), times.tolist()):
+            got[r][words_[a].as_py()] = n
+        assert got == [Counter((t or "").encode().translate(WORD_BYTES).decode().split()) for t in batch]
+
+
+@pytest.mark.parametrize("dense", [0, 5, 500])
+def test_batches_of_texts_are_scored_as_all_pairs_say(monkeypatch, dense):
+    monkeypatch.setattr(toxicity.ExampleIndex, "DENSE", dense)
+    monkeypatch.setattr(toxicity.ExampleIndex, "TEXTS", 7)
+    rng = random.Random(dense)
+    terms = [f"t{i:03d}" for i in range(300)]
+    often = [1 / (i + 1) for i in range(300)]
+    texts = [" ".join(rng.choices(terms, often, k=rng.randint(1, 30))) for _ in range(900)]
+    index = toxicity.ExampleIndex({t: i for i, t in enumerate(terms)}, np.linspace(1, 4, 300), 0.2, 15)
+    index.build([(i, i % 3 == 0, 1.0, t) for i, t in enumerate(texts)])
+    assert len(index.dense) == min(dense, 301) and index.blocks > 5
+
+    def wide(text):
+        out = np.zeros(301)
+        at, values = index.vector(text)
+        out[at] = values
+        return out
+
+    matrix, toxic = np.array([wide(t) for t in texts]), np.arange(900) % 3 == 0
+    asked = [*texts[:40], None, "", "other t001 words", *texts[:3]]
+    found = index.scores(pa.array(asked))
+    assert len(found) == len(asked) and found[-3:] == found[:3]
+    for text, (score, evidence) in zip(asked, found):
+        cosines = matrix @ wide(text)
+        near = cosines >= np.sort(cosines)[-15] - 1e-9
+        weights = 1 / (0.05 + np.maximum(0, 1 - cosines[near]))
+        assert abs(score - ((weights * toxic[near]).sum() + 2 * 0.2) / (weights.sum() + 2)) < 1e-9
+        assert abs(evidence[0][2] - min(1, cosines.max())) < 1e-9
+
+
+def test_no_row_of_a_stored_index_is_large(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"{rng.getrandbits(80):020x}" for _ in range(100))) for i in range(1500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    index = toxicity.fit(frame, frame.selectExpr("doc_id", "int(doc_id % 2) as toxic"))
+    sizes = [r[0] for r in spark.read.parquet(index.path).selectExpr("length(data)").collect()]
+    assert max(sizes) <= 4 << 20 < sum(sizes)
+    assert len(index.terms) == 150_000 and len(index.load().entries) == 1500
+
+
 def plain_lm(train, test):
     order = lm.ORDER
     contexts = {}
