@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import LOWER_BYTES, keep, row_key, slices, utf8
+from marlstone.llm.common import LOWER_BYTES, give_back, keep, row_key, slices, utf8
 
 ORDER = 5
 END = 0xFF  # ends every text and stands before it; no UTF-8 text has this byte
 _SPREAD = np.uint64(0x9E3779B1)  # times 16 bits it stays within a signed long
 END_WORD = np.uint64(0x5EED5EED5EED5EED)
+# Texts are worked on by arrays of up to 30 times their bytes.
+SLICE_BYTES = 2 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32, END]] = True
 
@@ -119,13 +121,15 @@ def _train(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, hashes = _Collected(0), _Collected(1), WordHashes()
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE_BYTES):
             data, begins = _joined(part.column(text).to_pylist())
             yield from grams.add(*_sums(gram_keys(data, begins)[0]))
             yield from words.add(*_sums(hashes(data, begins)[0]))
             yield from words.add(np.array([END_WORD]), np.array([len(begins)]))
         yield from grams.out()
         yield from words.out()
+        del grams, words, hashes
+        give_back()
 
     counted = docs.select(text).mapInArrow(run, "kind int, key long, n long")
     return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -140,6 +144,25 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the fewest bytes."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
+def _level(keys: np.ndarray, n: np.ndarray, order: int) -> dict:
+    """Contexts of an order: sorted grams and their counts, sums by context, where each context's grams begin."""
+    keys = keys & np.uint64((1 << 8 * (order + 1)) - 1)
+    by = np.argsort(keys)
+    keys, n = keys[by], n[by].astype(float)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    keys, n = keys[first], np.add.reduceat(n, first) if len(first) else np.zeros(0)
+    contexts = keys >> np.uint64(8)
+    first = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])[: len(keys)])
+    total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
+    distinct = np.diff(np.append(first, len(keys))).astype(float)
+    return {"keys": keys, "n": n, "contexts": contexts[first], "total": total, "distinct": distinct, "first": first}
+
+
 class Trie:
     """Context counts of all orders, flattened to sorted arrays; answers log10 P(byte | context).
 
@@ -154,25 +177,25 @@ class Trie:
     def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
         """``grams`` of the full order, sorted; ``pairs`` of order 1 of the whole corpus."""
         self.levels: list[dict] = [{} for _ in range(ORDER + 1)]
-        for order in range(ORDER, -1, -1):
+        lower: dict = {}
+        for order in range(ORDER + 1):
             keys, n = (grams, counts) if order >= 2 else (pairs, pair_counts)
-            keys = keys & np.uint64((1 << 8 * (order + 1)) - 1)
-            keys, inverse = np.unique(keys, return_inverse=True)
-            n = np.bincount(inverse, n, len(keys))
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
-            distinct = np.diff(np.append(first, len(keys))).astype(float)
-            self.levels[order] = {"keys": keys, "n": n, "contexts": contexts, "total": total, "distinct": distinct, "first": first}
-        for order in range(1, ORDER + 1):
-            own, lower = self.levels[order], self.levels[order - 1]
-            shorter = own["keys"] & np.uint64((1 << 8 * order) - 1)
-            at, _ = _find(lower["keys"], shorter)
-            out = np.add.reduceat(lower["n"][at], own["first"]) if len(own["first"]) else np.zeros(0)
-            up, _ = _find(lower["contexts"], own["contexts"] & np.uint64((1 << 8 * (order - 1)) - 1))
-            left = lower["distinct"][up] - own["distinct"] if len(up) else np.zeros(0)
-            own["next"] = (lower["total"][up] - out if len(up) else np.zeros(0)) + left
-            own["next_escape"] = left
-        self.unseen = 256 - (self.levels[0]["distinct"][0] if len(self.levels[0]["distinct"]) else 0)
+            own = _level(keys, n, order)
+            level = {c: own[c] for c in ("contexts", "total", "distinct")}
+            if order:
+                at, _ = _find(lower["keys"], own["keys"] & np.uint64((1 << 8 * order) - 1))
+                out = np.add.reduceat(lower["n"][at], own["first"]) if len(own["first"]) else np.zeros(0)
+                up, _ = _find(lower["contexts"], own["contexts"] & np.uint64((1 << 8 * (order - 1)) - 1))
+                left = lower["distinct"][up] - own["distinct"] if len(up) else np.zeros(0)
+                level["next"] = (lower["total"][up] - out if len(up) else np.zeros(0)) + left
+                level["next_escape"] = left
+            # A byte is found by the number of its context and itself.
+            place = np.repeat(np.arange(len(own["first"])), own["distinct"].astype(np.int64))
+            children = (place << 8) + (own["keys"] & np.uint64(0xFF)).astype(np.int64)
+            self.levels[order] = {c: v if c == "contexts" else _narrow(v) for c, v in level.items()}
+            self.levels[order] |= {"children": _narrow(children), "n": _narrow(own["n"])}
+            lower = own
+        self.unseen = 256 - (int(self.levels[0]["distinct"][0]) if len(self.levels[0]["distinct"]) else 0)
 
     def logs(self, keys: np.ndarray) -> np.ndarray:
         """log10 P of each gram's last byte after the others."""
@@ -183,13 +206,15 @@ class Trie:
         for order in range(ORDER, -1, -1):
             level = self.levels[order]
             own = keys[todo] & np.uint64((1 << 8 * (order + 1)) - 1)
-            at, hit = _find(level["keys"], own)
             context, seen = _find(level["contexts"], own >> np.uint64(8))
+            codes = (context << 8) + (own & np.uint64(0xFF)).astype(np.int64)
+            at, hit = _find(level["children"], codes.astype(level["children"].dtype))
+            hit &= seen
             fresh = seen & ~begun[todo]
-            room[todo[fresh]] = level["total"][context[fresh]] + level["distinct"][context[fresh]]
+            room[todo[fresh]] = level["total"][context[fresh]].astype(float) + level["distinct"][context[fresh]]
             escape[todo[fresh]] = level["distinct"][context[fresh]]
             done = todo[hit]
-            out[done] += np.log10(level["n"][at[hit]]) - np.log10(room[done])
+            out[done] += np.log10(level["n"][at[hit]].astype(float)) - np.log10(room[done])
             # Where nothing is left at a context, leaving it is certain.
             gone = ~hit & seen & (room[todo] > 0)
             out[todo[gone]] += np.log10(escape[todo[gone]]) - np.log10(room[todo[gone]])
@@ -211,29 +236,33 @@ class Model:
         self.trie = Trie(grams, gram_counts, pairs, pair_counts)
         self.tokens, self.vocabulary = tokens, vocabulary
 
-    def mine(self, keys: np.ndarray, grams: bool) -> np.ndarray:
-        return shard_of(keys, grams, self.shards) == self.shard
-
-    def score(self, texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
-        """Of each text: tokens, known tokens, base score, score; words and bytes of this shard only."""
-        data, begins = _joined(texts)
-        n = len(texts)
-        found, of = hashes(data, begins)
-        found, of = np.append(found, np.repeat(END_WORD, n)), np.append(of, np.arange(n))
-        codes, distinct = pd.factorize(found)
-        at, known = _find(self.words, distinct)
-        counts = np.zeros(len(distinct))
-        counts[known] = self.word_counts[at[known]]
-        here = self.mine(distinct, False)
-        logs = np.where(here, np.log10((counts + 1) / (self.tokens + self.vocabulary + 1)), 0)
-        sums = lambda values: np.bincount(of, values[codes], n)
-        keys, firsts = gram_keys(data, begins)
-        codes_, distinct_ = pd.factorize(keys)
-        own = np.flatnonzero(self.mine(distinct_, True))
-        scores = np.zeros(len(distinct_))
-        scores[own] = self.trie.logs(distinct_[own])
-        score = np.add.reduceat(scores[codes_], firsts) if n else np.zeros(0)
-        return [sums(here.astype(float)), sums((here & known).astype(float)), sums(logs), score]
+
+def score(models: list[Model], texts: list[str | None], hashes: WordHashes) -> list[np.ndarray]:
+    """Of each text: tokens, known tokens, base score, score; words and bytes of the models' shards only."""
+    data, begins = _joined(texts)
+    n, shards = len(texts), models[0].shards
+    found, of = hashes(data, begins)
+    found, of = np.append(found, np.repeat(END_WORD, n)), np.append(of, np.arange(n))
+    codes, distinct = pd.factorize(found)
+    shard = shard_of(distinct, False, shards)
+    here, known, counts = np.zeros(len(distinct)), np.zeros(len(distinct)), np.zeros(len(distinct))
+    for model in models:
+        own = np.flatnonzero(shard == model.shard)
+        at, there = _find(model.words, distinct[own])
+        here[own], known[own] = 1, there
+        counts[own[there]] = model.word_counts[at[there]]
+    logs = here * np.log10((counts + 1) / (models[0].tokens + models[0].vocabulary + 1))
+    sums = lambda values: np.bincount(of, values[codes], n)
+    keys, firsts = gram_keys(data, begins)
+    codes_, distinct_ = pd.factorize(keys)
+    del keys
+    shard = shard_of(distinct_, True, shards)
+    scores = np.zeros(len(distinct_))
+    for model in models:
+        own = np.flatnonzero(shard == model.shard)
+        scores[own] = model.trie.logs(distinct_[own])
+    total = np.add.reduceat(scores[codes_], firsts) if n else np.zeros(0)
+    return [sums(here), sums(known), sums(logs), total]
 
 
 def shard_of(keys: np.ndarray, grams: bool, shards: int) -> np.ndarray:
@@ -254,26 +283,28 @@ def _shard_column(grams: bool, shards: int) -> Column:
     return part % shards
 
 
-def _shards(counts: DataFrame, max_entries: int) -> Iterator[Model]:
-    """The model in parts of about ``max_entries`` words and grams each."""
+def _shards(counts: DataFrame, entries: int) -> Iterator[Model]:
+    """The model in parts of about ``entries`` words and grams each."""
     sizes = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).collect()}
     rows = lambda kind: sizes[kind]["rows"] if kind in sizes else 0
     tokens = sizes[1]["n"] if 1 in sizes else 0
-    shards = max(1, -(-max(rows(0), rows(1)) // max_entries))
+    shards = max(1, -(-max(rows(0), rows(1)) // entries))
     low = (
         counts.where("kind = 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     )
     pairs, pair_counts = (np.array(low.column(c)) for c in ("key", "n"))
     for shard in range(shards):
+        mine = counts
+        if shards > 1:
+            mine = mine.where(F.when(F.col("kind") == 0, _shard_column(True, shards)).otherwise(_shard_column(False, shards)) == shard)
+        table = mine.toArrow()
+        kinds, every, sums = (np.array(table.column(c)) for c in ("kind", "key", "n"))
         part = {}
         for kind in (0, 1):
-            mine = counts.where(F.col("kind") == kind)
-            if shards > 1:
-                mine = mine.where(_shard_column(kind == 0, shards) == shard)
-            table = mine.select("key", "n").toArrow()
-            keys, n = np.array(table.column("key")).view(np.uint64), np.array(table.column("n"))
+            keys, n = every[kinds == kind].view(np.uint64), sums[kinds == kind]
             order = np.argsort(keys)
-            part[kind] = keys[order], n[order].astype(np.uint32 if n.max(initial=0) < 2**32 else np.uint64)
+            part[kind] = keys[order], _narrow(n[order])
+        del table, kinds, every, sums
         yield Model(shard, shards, *part[1], *part[0], pairs.astype(np.uint64), pair_counts, tokens, rows(1))
 
 
@@ -283,6 +314,7 @@ def code_lengths(
     max_entries: int = 8_000_000,
     id: str = "doc_id",
     text: str = "text",
+    shard_entries: int = 1_000_000,
 ) -> DataFrame:
     """Of each row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -299,9 +331,10 @@ def code_lengths(
 
     Counts of all training texts merge in the tasks, then by a shuffle, to a
     table in the shared folder. The tables go to the tasks by broadcast, in
-    shards of about ``max_entries`` rows whatever the size of the corpus: each
-    shard scores the bytes and words that are its own in a pass over the texts,
-    and the parts of a text are added up.
+    shards of about ``shard_entries`` rows, so that the driver holds one such
+    shard at a time. Whatever the size of the corpus, a pass over the texts has
+    shards of about ``max_entries`` rows in all and scores the bytes and words
+    that are theirs; the parts of a text are added up.
     """
     held = ~F.coalesce(train, F.lit(True)) if train is not None else F.lit(False)
     k1, k2 = row_key(F.col(id), F.col(text))
@@ -312,27 +345,36 @@ def code_lengths(
     arrow = [to_arrow_type(kind), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     schema = pa.schema(list(zip(names, arrow)))
     passes = []
-    for model in _shards(counts, max_entries):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-        shards, tokens = model.shards, model.tokens
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    group: list = []
+    each = max(1, max_entries // shard_entries)
+    for model in _shards(counts, min(shard_entries, max_entries)):
+        group.append(docs.sparkSession.sparkContext.broadcast(model))
+        shard, shards, tokens = model.shard, model.shards, model.tokens
+        del model
+        if len(group) < each and shard < shards - 1:
+            continue
+
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for part in slices(batches, "text"):
-                found = shared.value.score(part.column("text").to_pylist(), hashes)
+            for part in slices(batches, "text", SLICE_BYTES):
+                found = score([b.value for b in group], part.column("text").to_pylist(), hashes)
                 columns = [part.column(c) for c in names[:4]]
                 columns += [pa.array(v.astype(np.int64)) for v in found[:2]] + [pa.array(v) for v in found[2:]]
                 yield pa.record_batch(columns, schema=schema)
+            del hashes
+            give_back()
 
         found = rows.mapInArrow(
             run,
             f"id {kind.simpleString()}, held_out boolean, k1 long, k2 long, n_tokens long, n_known long,"
             " base_score double, score double",
         )
-        if shards > 1:  # one shard at a time
+        if shards > each:  # the shards of one pass at a time
             found = keep(found)
-            shared.destroy()
+            for shared in group:
+                shared.destroy()
         passes.append(found)
+        group = []
     scored = passes[0]
     if len(passes) > 1:
         # Equal rows fall together, as often as they are there.

@@ -575,6 +575,33 @@ def test_lm(spark, entries):
     assert len(got) == len(want)
 
 
+def test_lm_passes_share_shards(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice(["ab", "bc", "Cab", "\u00e9t", str(rng.randrange(300))]) for _ in range(40))) for i in range(50)]
+    frame = spark.createDataFrame(docs + docs[:3], "doc_id long, text string")
+    train = queries.remainder("doc_id", 7) != 2
+    want = sorted(map(tuple, lm.code_lengths(frame, train=train).collect()))
+    seen, shards = [], lm._shards
+    monkeypatch.setattr(lm, "_shards", lambda counts, entries: (seen.append(len(m.words)) or m for m in shards(counts, entries)))
+    for most in (8_000_000, 300):
+        seen.clear()
+        got = sorted(map(tuple, lm.code_lengths(frame, train=train, max_entries=most, shard_entries=100).collect()))
+        assert len(seen) > 3 and max(seen) < 200
+        for a, b in zip(got, want, strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-12)
+
+
+def test_lm_tables_are_narrow():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(200)) for _ in range(100)]
+    keys, counts = np.unique(lm.gram_keys(*lm._joined(texts))[0], return_counts=True)
+    pairs, inverse = np.unique(keys & np.uint64(0xFFFF), return_inverse=True)
+    trie = lm.Trie(keys, counts, pairs, np.bincount(inverse, counts).astype(np.int64))
+    size = sum(a.nbytes for level in trie.levels for a in level.values())
+    entries = sum(len(level["n"]) + len(level["contexts"]) for level in trie.levels)
+    assert size < 12 * entries
+
+
 @pytest.mark.parametrize("grams", [True, False])
 def test_shards_are_the_same_in_columns(spark, grams):
     keys = np.random.default_rng(3).integers(0, 2**64, 500, np.uint64)
