@@ -151,18 +151,32 @@ class Phrases:
         return np.flatnonzero(missing[self.starts + self.lengths] == missing[self.starts])
 
 
-def phrase_starts(
-    phrases: Phrases, numbers: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, most: int = 1 << 19
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of ``numbers``, and positions at which their terms stand one after the other.
-
-    Lists are shifted to the start of the window and intersected from the
-    rarest term on, for about ``most`` positions of several windows at a time.
+class Postings:
+    """Positions of a segment's terms by number, and as one sorted list of (term, position)."""
+
+    def __init__(self, lists: list[np.ndarray], counts: np.ndarray):
+        self.lists, self.counts = lists, counts
+        here = np.flatnonzero(counts)
+        self.begins = np.cumsum(counts) - counts
+        self.flat = np.concatenate([np.zeros(0, np.int64), *(lists[t] for t in here)])
+        # The last one is beyond all terms.
+        self.codes = np.append(self.flat + (np.repeat(here, counts[here]) << 32), 1 << 62)
+
+    def first(self, terms: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """(term, position) of each term's first place from ``least`` on; that of a later term where it has none."""
+        return self.codes[np.searchsorted(self.codes, (terms << 32) + least)]
+
+
+def rarest_first(
+    phrases: Phrases, numbers: np.ndarray, postings: Postings, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows with their terms, each one's steps from its rarest term on, and that term's positions.
+
+    About ``most`` positions of several windows at a time: numbers of windows,
+    their terms, which of these are inside the window, and the steps; then of
+    each position its row in these and itself.
     """
-    here = np.flatnonzero(counts)
-    begins = np.cumsum(counts) - counts
-    flat = np.concatenate([np.zeros(0, np.int64), *(postings[t] for t in here)])
-    codes = flat + (np.repeat(here, counts[here]) << 32)
+    counts = postings.counts
     for low in range(0, len(numbers), 4096):
         part = numbers[low : low + 4096]
         at = np.arange(phrases.lengths[part].max())
@@ -178,48 +192,82 @@ def phrase_starts(
             sizes = counts[rarest[first:stop]]
             row = np.repeat(np.arange(first, stop), sizes)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            found = flat[begins[rarest[row]] + nth] - order[row, 0]
-            for step in at[1:]:
-                if not len(found):
-                    break
-                column = order[row, step]
-                wanted = found + column
-                code = (own[row, column] << 32) + wanted
-                place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                good = ((codes[place] == code) & (wanted >= 0)) | ~inside[row, column]
-                row, found = row[good], found[good]
-            yield part[row], found
+            yield part, own, inside, order, row, postings.flat[postings.begins[rarest[row]] + nth]
             first = stop
 
 
-def near_positions(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, reach: int) -> np.ndarray:
-    """First positions of the places of at most 2 ``reach`` + 1 words that have every term of the window, in any order.
+def phrase_starts(
+    phrases: Phrases, numbers: np.ndarray, postings: list[np.ndarray] | Postings, counts: np.ndarray, most: int = 1 << 19
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of ``numbers``, and positions at which their terms stand one after the other.
 
-    Counts only say which terms to look at first.
+    Lists are shifted to the start of the window and intersected from the
+    rarest term on, for about ``most`` positions of several windows at a time.
     """
-    width = 2 * reach
-    own = np.unique(window)
-    own = own[np.argsort(counts[own], kind="stable")]
-    found = postings[own[0]]
-    for t in own[1:]:
+    if not isinstance(postings, Postings):
+        postings = Postings(postings, counts)
+    for part, own, inside, order, row, found in rarest_first(phrases, numbers, postings, most):
+        found = found - order[row, 0]
+        for step in range(1, own.shape[1]):
+            if not len(found):
+                break
+            column = order[row, step]
+            wanted, term = found + column, own[row, column]
+            good = ((postings.first(term, wanted) == (term << 32) + wanted) & (wanted >= 0)) | ~inside[row, column]
+            row, found = row[good], found[good]
+        yield part[row], found
+
+
+def near_starts(
+    phrases: Phrases, numbers: np.ndarray, postings: Postings, reach: int, most: int = 1 << 19
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of ``numbers``, and first positions of the places of at most 2 ``reach`` + 1 words that have all its terms."""
+    for part, own, inside, order, row, found in rarest_first(phrases, numbers, postings, most):
+        for row, found in _near(own, inside, order, row, found, postings, reach, max(1, most >> 6)):
+            yield part[row], found
+
+
+def _near(
+    own: np.ndarray, inside: np.ndarray, order: np.ndarray, row: np.ndarray, found: np.ndarray,
+    postings: Postings, reach: int, most: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and first positions of places, of windows' rows and positions ``found`` of their rarest terms."""
+    width, columns = 2 * reach, range(own.shape[1])
+    for step in columns[1:]:
         if not len(found):
-            return found
-        other = postings[t]
-        at = np.searchsorted(other, found - width)
-        found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= found + width)]
+            return
+        column = order[row, step]
+        term = own[row, column]
+        good = (postings.first(term, found - width) <= (term << 32) + found + width) | ~inside[row, column]
+        row, found = row[good], found[good]
     # A place begins with one of the terms, at or before the rarest one in it.
-    firsts = []
-    for t in own:
-        low, high = np.searchsorted(postings[t], found - width), np.searchsorted(postings[t], found, "right")
-        low[1:] = np.maximum(low[1:], high[:-1])
-        sizes = np.maximum(high - low, 0)
-        firsts.append(postings[t][np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)])
-    firsts = np.unique(np.concatenate(firsts))
-    for t in own:
-        other = postings[t]
-        at = np.searchsorted(other, firsts)
-        firsts = firsts[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= firsts + width)]
-    return firsts
+    for at in range(0, len(found), most):
+        mine, place = row[at : at + most], found[at : at + most]
+        firsts = []
+        for column in columns:
+            term = own[mine, column] << 32
+            low = np.searchsorted(postings.codes, term + place - width)
+            sizes = np.searchsorted(postings.codes, term + place, "right") - low
+            sizes[~inside[mine, column]] = 0
+            nth = np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            firsts.append((np.repeat(mine, sizes) << 32) + postings.flat[nth])
+        firsts = np.unique(np.concatenate(firsts))
+        mine, place = firsts >> 32, firsts & 0xFFFFFFFF
+        for column in columns:
+            term = own[mine, column]
+            good = (postings.first(term, place) <= (term << 32) + place + width) | ~inside[mine, column]
+            mine, place = mine[good], place[good]
+        yield mine, place
+
+
+def near_positions(window: np.ndarray, postings: list[np.ndarray], counts: np.ndarray, reach: int) -> np.ndarray:
+    """:func:`near_starts` of one window, given as its terms."""
+    own = np.asarray(window, np.int64)[None]
+    order = np.argsort(counts[own], axis=1, kind="stable")
+    found = np.asarray(postings[own[0, order[0, 0]]], np.int64)
+    rows = np.zeros(len(found), np.int64)
+    parts = _near(own, np.ones(own.shape, bool), order, rows, found, Postings(postings, counts), reach, max(1, len(found)))
+    return np.concatenate([found[:0], *(place for _, place in parts)])
 
 
 def search_segment(row: dict, phrases: Phrases, near: int | None) -> tuple[dict, dict, dict]:
@@ -238,14 +286,16 @@ def search_segment(row: dict, phrases: Phrases, near: int | None) -> tuple[dict,
     hits = np.zeros(length + 1, np.int32)
     document = lambda places: np.searchsorted(starts, places, "right") - 1
     possible = phrases.possible(counts)
-    for numbers, found in phrase_starts(phrases, possible, postings, counts):
+    table = Postings(postings, counts)
+    for numbers, found in phrase_starts(phrases, possible, table, counts):
         np.add.at(hits, found, 1)
         np.add.at(hits, found + phrases.lengths[numbers], -1)
         pairs = np.unique(np.stack([numbers, document(found)], axis=1), axis=0)
         for number, doc in pairs.tolist():
             exact[doc].update(phrases.items(number))
-    for number in possible.tolist() if near is not None else ():
-        for doc in np.unique(document(near_positions(phrases.window(number), postings, counts, near))).tolist():
+    for numbers, found in near_starts(phrases, possible, table, near) if near is not None else ():
+        pairs = np.unique(np.stack([numbers, document(found)], axis=1), axis=0)
+        for number, doc in pairs.tolist():
             nearby[doc].update(phrases.items(number))
     # The unused positions between documents keep every run inside one of them.
     edges = np.diff((np.cumsum(hits) > 0).astype(np.int8), prepend=0)

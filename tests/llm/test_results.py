@@ -384,6 +384,40 @@ def test_phrase_starts_are_those_of_a_plain_loop(most):
     assert sorted(got) == sorted(want) and len(want) > 30
 
 
+@pytest.mark.parametrize("most", [1, 200, 1 << 19])
+def test_near_starts_are_those_of_a_plain_loop(most):
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice("abcdefghz") for _ in range(rng.choice([1, 2, 3, 6])))) for i in range(40)]
+    found = decontaminate.Phrases(items, 4)
+    line = [rng.choice("abcdefghxy") for _ in range(300)]
+    lists = [np.array([i for i, w in enumerate(line) if w.encode() == t], np.int64) for t in found.terms]
+    postings = decontaminate.Postings(lists, np.array(list(map(len, lists))))
+    got = [
+        pair
+        for numbers, starts in decontaminate.near_starts(found, found.possible(postings.counts), postings, 3, most)
+        for pair in zip(numbers.tolist(), starts.tolist())
+    ]
+    terms = [t.decode() for t in found.terms]
+    want = set()
+    for i in range(len(found)):
+        own = {terms[t] for t in found.window(i)}
+        want |= {(i, at) for at in range(len(line)) if line[at] in own and own <= set(line[at : at + 7])}
+    assert set(got) == want and len(want) > 100
+
+
+def test_near_windows_are_searched_together(monkeypatch):
+    rng = random.Random(9)
+    text = [rng.choice("abcdefgh").encode() for _ in range(2000)]
+    found = decontaminate.Phrases([(i, " ".join(rng.choice("abcdefgh") for _ in range(40))) for i in range(10)], 5)
+    lists = {t: [i for i, w in enumerate(text) if w == t] for t in found.terms}
+    row = {"starts": [0], "sizes": [len(text)], "terms": list(lists), "ends": np.cumsum([len(x) for x in lists.values()]).tolist()}
+    row["postings"] = np.array(sum(lists.values(), []), "<i4").tobytes()
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    _, nearby, _ = decontaminate.search_segment(row, found, 20)
+    assert nearby == {0: set(range(10))} and len(found) > 300 and len(calls) < len(found)
+
+
 def test_near_positions_are_those_of_a_plain_loop():
     rng = random.Random(6)
     for _ in range(300):
