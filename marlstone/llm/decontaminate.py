@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.llm.common import give_back, keep, row_key, words
+from marlstone.session import bound_batches
 
 # A segment passes through Arrow and Parquet as one row: about 4 MB at this size.
 SEGMENT_WORDS = 1 << 19
+# Rows so large have a row group each, else Parquet's writer and reader hold a hundred
+# of them at a time; and a batch for Python ends as soon as it has so many bytes.
+BATCH_BYTES = "4m"
+ONE_ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def build_index(docs: DataFrame, gap: int, id: str = "doc_id", text: str = "text", segment_words: int = SEGMENT_WORDS) -> DataFrame:
@@ -335,12 +340,15 @@ def contamination(
 
     Every word of the corpus gets into an index that is partitioned by
     document and kept in the shared folder, so matching shuffles no posting.
+    A task holds about one segment at a time, however many its partition has;
+    for this the session's Arrow batches are bounded to BATCH_BYTES from here on.
     Test items go to the tasks by broadcast, in blocks of about ``block_bytes``
     of text (or one item); each block is a pass over the index, and the
     passes' rows are merged by document.
     """
     gap = window + 2 * (near or 0) + 1
-    index = keep(build_index(docs, gap, id, text, segment_words))
+    bound_batches(docs.sparkSession, BATCH_BYTES)
+    index = keep(build_index(docs, gap, id, text, segment_words), **ONE_ROW_GROUPS)
     kind, item_kind = docs.schema[id].dataType, tests.schema[item].dataType
     names = tests.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     total = names.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,6 +364,24 @@ def test_phrases_are_the_distinct_windows():
     assert not len(decontaminate.Phrases([(1, None)], 4))
 
 
+def test_segments_of_a_partition_are_held_one_at_a_time(spark, monkeypatch):
+    """A hundred segments of 4 MB in a row group, or sixteen in a batch, are more than an executor has."""
+    kept, keep = [], decontaminate.keep
+    monkeypatch.setattr(decontaminate, "keep", lambda *a, **b: kept.append(keep(*a, **b)) or kept[-1])
+    monkeypatch.setattr(decontaminate, "BATCH_BYTES", "1k")
+    docs = spark.range(1, 31).selectExpr("id as doc_id", "array_join(transform(sequence(1, 200), x -> concat('w', id * x)), ' ') as text")
+    items = spark.createDataFrame([(1, "w3 w6 w9 w12")], "item_id long, text string")
+    try:
+        found = decontaminate.contamination(docs.coalesce(1), items, window=4, segment_words=200)
+        assert [r.doc_id for r in found.collect() if r.n_hit] == [3]
+        rows = kept[0].mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long")
+        assert [r.n for r in rows.collect()] == [1] * 30
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept[0].inputFiles()]
+    assert {m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)} == {1}
+
+
 @pytest.mark.parametrize("most", [1, 50, 1 << 19])
 def test_phrase_starts_are_those_of_a_plain_loop(most):
     rng = random.Random(5)
